@@ -8,5 +8,6 @@ QUERIES = {
     "op1_packing": queries.op1_packing,
     "op8_mixing": queries.op8_mixing,
     "op9_token_counts": queries.op9_token_counts,
+    "op10_jaccard_join": queries.op10_jaccard_join,
 }
 ORACLE_SQL = {"op8_mixing": oracle.OP8_MIXING}
