@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,9 +80,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def split_words(text: str) -> list[str]:
-    """Runs of characters other than space and U+0009 to U+000D."""
-    return text.translate(_TO_SPACE).split(" ") if not text else [w for w in text.translate(_TO_SPACE).split(" ") if w]
+#: What str.split takes for white space beyond space and U+0009 to U+000D.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-_TO_SPACE = {c: " " for c in range(9, 14)}
+def split_words(text: str) -> list[str]:
+    """Runs of characters other than space and U+0009 to U+000D."""
+    return WORD.findall(text) if OTHER_SPACE.search(text) else text.split()
