@@ -6,6 +6,7 @@ from . import oracle, queries
 
 QUERIES = {
     "op1_packing": queries.op1_packing,
+    "op4_toxicity": queries.op4_toxicity,
     "op5_substring_dedup": queries.op5_substring_dedup,
     "op8_mixing": queries.op8_mixing,
     "op9_token_counts": queries.op9_token_counts,
