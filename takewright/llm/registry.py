@@ -6,10 +6,14 @@ from . import oracle, queries
 
 QUERIES = {
     "op1_packing": queries.op1_packing,
+    "op2_quality": queries.op2_quality,
+    "op3_top_k": queries.op3_top_k,
     "op4_toxicity": queries.op4_toxicity,
     "op5_substring_dedup": queries.op5_substring_dedup,
+    "op6_fingerprints": queries.op6_fingerprints,
+    "op7_secrets": queries.op7_secrets,
     "op8_mixing": queries.op8_mixing,
     "op9_token_counts": queries.op9_token_counts,
     "op10_jaccard_join": queries.op10_jaccard_join,
 }
-ORACLE_SQL = {"op8_mixing": oracle.OP8_MIXING}
+ORACLE_SQL = {"op3_top_k": oracle.OP3_TOP_K, "op8_mixing": oracle.OP8_MIXING}
