@@ -1,15 +1,67 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences: five stages, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again before the next one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from takewright.llm import common, jaccard, mixing, packing, sampling, secrets, toxicity
+
+TOKENIZER = "byte_bpe_50k.json"
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on labelled documents of the input, scores below the threshold."""
+    labels = common.table(spark, sf_dir, "labels")
+    net = toxicity.fit(*sampling.labelled(docs, labels, "toxic", F.lit(True), 1500))
+    text = F.col("text").cast("string")
+    return toxicity.score(docs.withColumn("text", text), net).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a shingle similarity of 0.8 or more, the one with the smallest doc_id; of its repeated rows, one."""
+    links = jaccard.link(docs)
+    first = links.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(common.stash(first, "kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by their kinds, and ``n_chars`` that of the new text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; one that the mix does not take goes."""
+    repeats = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("mix_repeats")).withColumnRenamed("doc_id", "mix_id")
+    taken = docs.join(common.stash(repeats, "repeats"), F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id"))).where("mix_repeats > 0")
+    return taken.withColumn("mix_repeats", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_repeats")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), capacity=2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The first stage's network cannot be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
