@@ -33,12 +33,13 @@ def anchors(base: np.ndarray, span: int) -> np.ndarray:
 
 
 def earliest(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows come first, by (doc, at), among those of their hash, and how many rows each hash has."""
+    """Which rows stand where their hash comes first, by (doc, at), and how many rows each hash has."""
     order = np.lexsort((at, doc, h))
     new = np.r_[True, h[order][1:] != h[order][:-1]] if len(order) else np.zeros(0, bool)
     first, count = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    first[order] = new
     groups = np.cumsum(new) - 1
+    head = np.flatnonzero(new)[groups] if len(order) else order
+    first[order] = (doc[order] == doc[order][head]) & (at[order] == at[order][head])
     count[order] = np.bincount(groups)[groups] if len(order) else 0
     return first, count
 
