@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from . import scalar  # noqa: F401  (registers its queries)
+from .base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "e10_normalize_text"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
