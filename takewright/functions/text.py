@@ -300,9 +300,10 @@ def safe_recording_name(name: Column) -> Column:
 
 
 def syllables(word: Column, language: Column) -> Column:
-    folded = fold(word)
+    """Groups of vowels; in French a final e after others is silent; 1 at least."""
+    folded = F.regexp_replace(fold(word), "[^a-z]", "")
     groups = F.regexp_count(folded, F.lit("[aeiouy]+"))
-    silent = F.when((language == "fr") & folded.rlike("[^aeiouy]e$"), 1).otherwise(0)
+    silent = F.when((language == "fr") & folded.endswith("e") & (groups > 1), 1).otherwise(0)
     return F.greatest(F.lit(1), groups - silent).cast("long")
 
 

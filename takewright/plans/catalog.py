@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scalar  # noqa: F401  (registers its queries)
+from . import relational, scalar  # noqa: F401  (they register their queries)
 from .base import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "e10_normalize_text"
+FLAGSHIP = "m11_duplicate_readiness"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -18,6 +18,8 @@ FOLD = "lower(strip_accents({0}))"
 SPACES = r"regexp_replace(trim(text), '\s+', ' ', 'g')"
 TOKENS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 FIRST = TOKENS + "[1]"
+ASCII = "regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')"
+LETTERS = "regexp_replace(" + FOLD.format(FIRST) + ", '[^a-z]', '', 'g')"
 
 
 def js(x: str, digits: int = 0) -> str:
@@ -74,8 +76,8 @@ SCALARS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("c23_safe_recording_name", PAGE, lambda: X.safe_recording_name(F.concat(F.regexp_replace("url", "^https?://[^/]*/", ""), F.lit(".wav"))), r"length(regexp_replace(url, '^https?://[^/]*/', '')) <= 251 AND NOT regexp_matches(regexp_replace(url, '^https?://[^/]*/', ''), '[/\\\x00-\x1f\x7f]')"),
     ("c25_text_file", PAGE, lambda: F.lower("url").rlike("[.](txt|md|srt|vtt|html?)$"), "regexp_matches(lower(url), '[.](txt|md|srt|vtt|html?)$')"),
     ("m05_headroom", LINE, lambda: F.when(F.col("peak") >= -1, "fail").when(F.col("peak") >= -3, "review").otherwise("pass"), "CASE WHEN peak >= -1 THEN 'fail' WHEN peak >= -3 THEN 'review' ELSE 'pass' END"),
-    ("m27_syllables", DOC, lambda: X.syllables(first_word(), F.col("lang")), "greatest(1, len(regexp_extract_all(" + FOLD.format(FIRST) + ", '[aeiouy]+')) - CASE WHEN lang = 'fr' AND regexp_matches(" + FOLD.format(FIRST) + ", '[^aeiouy]e$') THEN 1 ELSE 0 END)"),
-    ("j12_similarity", DOC, lambda: X.similarity(F.substring("text", 1, 12), F.substring("text", 3, 12), 3), js("1 - levenshtein(substring(text, 1, 12), substring(text, 3, 12)) / greatest(length(substring(text, 1, 12)), length(substring(text, 3, 12)))", 3)),
+    ("m27_syllables", DOC, lambda: X.syllables(first_word(), F.col("lang")), f"greatest(1, len(regexp_extract_all({LETTERS}, '[aeiouy]+')) - CASE WHEN lang = 'fr' AND ends_with({LETTERS}, 'e') AND len(regexp_extract_all({LETTERS}, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END)"),
+    ("j12_similarity", DOC, lambda: X.similarity(F.substring(X.ascii_word("text"), 1, 12), F.substring(X.ascii_word("text"), 3, 12), 3), js(f"1 - levenshtein({ASCII}[1:12], {ASCII}[3:14]) / greatest(length({ASCII}[1:12]), length({ASCII}[3:14]))", 3)),
     ("l17_review_gain", LINE, lambda: N.js_round(N.clamp(N.decibels_to_linear(-14 - F.col("lufs")), 1.0, 8.0), 6), js("least(greatest(power(10.0, (-14 - lufs) / 20), 1.0), 8.0)", 6)),
     ("l23_band_weight", LINE, lambda: N.clamp(F.least((F.col("duration_ms") - 70) / 60, (7840 - F.col("duration_ms")) / (7840 - 6800)), 0.0, 1.0), "least(greatest(least((duration_ms - 70) / 60, (7840 - duration_ms) / (7840 - 6800)), 0.0), 1.0)"),
     ("q56_video_source", PAGE, lambda: F.lower("url").rlike("[.](mp4|mov|webm|mkv|m4v)$"), "regexp_matches(lower(url), '[.](mp4|mov|webm|mkv|m4v)$')"),
