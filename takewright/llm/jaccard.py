@@ -147,7 +147,7 @@ def link(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 1
     sums = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "first", "copies").join(sums, "node", "left").join(classes, "node", "left")
     known = common.stash(known.select("node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label")), "known")
-    least = known.groupBy("label").agg(F.min("first").alias("class_id"))
+    least = common.stash(known.groupBy("label").agg(F.min("first").alias("class_id")), "least")
     known = common.stash(known.join(least, "label").select("node", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
     return signed.select("doc_id", "node").join(known, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -156,6 +156,8 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, t
     """(node, links, root) for each node and block pair in which it has links; root: the smallest node reached there."""
     inside = nodes.select("node", "first", "copies", "n").join(groups, "node")
     sizes = inside.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") * 8 / block_bytes)).alias("blocks"))
+    # written, so that both sides of the join are dealt out for it and a large group's partition can be split
+    sizes = common.stash(sizes, "sizes")
     inside = common.stash(inside.join(sizes, "label").select("node", "first", "copies", "label", "blocks"), "inside")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, t
             grams = pa.array([x.tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], grams], names=[*batch.schema.names[1:], "grams"]).filter(keep)
 
-    texts = docs.join(inside, F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "node", "copies", "label", "blocks")
+    texts = docs.join(inside.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "node", "copies", "label", "blocks")
     sets = texts.mapInArrow(expand, "node binary, copies long, label binary, blocks long, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
