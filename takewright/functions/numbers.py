@@ -21,7 +21,8 @@ def js_round_int(x: Column | str) -> Column:
 
 
 def clamp(x: Column | str, low: float | Column, high: float | Column) -> Column:
-    return F.least(F.greatest(_col(x), _col(low)), _col(high))
+    """Null stays null, which greatest and least alone would skip."""
+    return F.when(_col(x).isNotNull(), F.least(F.greatest(_col(x), _col(low)), _col(high)))
 
 
 def finite(x: Column | str) -> Column:
