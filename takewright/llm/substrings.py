@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from . import common
 
 NO_ID = -(1 << 63)
+#: Bits of an anchor's hash that are compared: a chance match lets a window through to the next level, where all 64 count.
+FILTER = np.uint64((1 << 48) - 1)
 
 
 def windows(h: np.ndarray, length: int) -> np.ndarray:
@@ -44,10 +46,9 @@ def earliest(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     return first, count
 
 
-def apart(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Keys that spread rows whose fate is known already."""
-    with np.errstate(over="ignore"):
-        return common.mix64(common.mix64(doc.astype(np.uint64) + np.uint64(0x51ED27)) + at.astype(np.uint64))
+def apart(doc: np.ndarray) -> np.ndarray:
+    """Keys for rows whose fate is known already: they lie with the others of their document, where equal keys take little room."""
+    return common.mix64(doc.astype(np.uint64) + np.uint64(0x51ED27))
 
 
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
@@ -75,7 +76,7 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
             if found:
                 h, doc, at = map(np.concatenate, zip(*found, strict=True))
                 first, count = earliest(h, doc, at)
-                key = np.where(first, h, apart(doc, at)).view(np.int64)
+                key = (np.where(first, h, apart(doc)) & FILTER).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(np.minimum(count, 2).astype(np.int32))], names=["h", "doc", "at", "n"])
 
     def second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,16 +98,19 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
             if found:
                 h, doc, at = map(np.concatenate, zip(*found, strict=True))
                 first, _ = earliest(h, doc, at)
-                key = np.where(first, h, apart(doc, at)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(~first)], names=["h", "doc", "at", "late"])
+                key = np.where(first, h, apart(doc)).view(np.int64)
+                # a late window's place is told as a negative number
+                place = np.where(first, at, -1 - at).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(place)], names=["h", "doc", "at"])
 
     met = docs.mapInArrow(first_level, "h long, doc long, at int, n int")
     met = met.withColumn("n", F.sum("n").over(Window.partitionBy("h"))).where("n > 1")
     kept = met.groupBy("doc").agg(F.collect_list("at").alias("kept"))
-    both = docs.join(kept, "doc", "left").mapInArrow(second_level, "h long, doc long, at int, late boolean")
+    both = docs.join(kept, "doc", "left").mapInArrow(second_level, "h long, doc long, at int")
     place = F.struct("doc", "at")
-    both = both.withColumn("late", F.col("late") | (F.min(place).over(Window.partitionBy("h", "late")) < place)).where("late")
-    return both.groupBy("doc").agg(F.collect_list("at").alias("starts"))
+    earliest_place = F.min(F.when(F.col("at") >= 0, place)).over(Window.partitionBy("h"))
+    late = both.withColumn("earliest", earliest_place).where((F.col("at") < 0) | (F.col("earliest") < place))
+    return late.groupBy("doc").agg(F.collect_list(F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).alias("starts"))
 
 
 def windows_of_halves(base: np.ndarray, half: int) -> np.ndarray:
