@@ -121,25 +121,25 @@ def prosody(x: np.ndarray, rate: int) -> dict:
 
 
 def transients(x: np.ndarray, rate: int) -> tuple[float, float]:
-    """Shares of frames with plosives and with mouth noise: sudden low, and sudden high energy."""
+    """Shares of audible frames with plosives and with mouth noise: sudden ones, mostly below, or mostly above 250 Hz."""
     x = clean(x)
-    size, hop = max(1, rate // 50), max(1, rate // 100)
-    if len(x) < 2 * size:
-        return 0.0, 0.0
-    k = 1 - np.exp(-2 * np.pi * 250 / rate)
-    state, last, plosive, mouth, frames = 0.0, None, 0, 0, 0
-    for at in range(0, len(x) - size + 1, hop):
-        frame, low = x[at : at + size], np.empty(size)
+    size, hop = max(1, round(rate * 0.02)), max(1, round(rate * 0.01))
+    keep, state, last = np.exp(-2 * np.pi * 250 / rate), 0.0, -96.0
+    audible = plosive = mouth = 0
+    for at in range(0, len(x), hop):
+        frame = x[at : at + size]
+        low = np.empty(len(frame))
         for i, v in enumerate(frame.tolist()):  # the filter keeps its state although frames overlap
-            state += k * (v - state)
-            low[i] = state
-        whole, deep = np.sqrt(np.mean(frame**2)), np.sqrt(np.mean(low**2))
-        high = np.sqrt(np.mean((frame - low) ** 2))
-        if last is not None and whole > 0.01:
-            plosive += deep > 0.7 * whole and deep > 2.2 * max(last[0], 1e-4)
-            mouth += high > 0.8 * whole and high > 3 * max(last[1], 1e-4)
-        last, frames = (deep, high), frames + 1
-    return js_round(plosive / max(1, frames), 3), js_round(mouth / max(1, frames), 3)
+            low[i] = state = (1 - keep) * v + keep * state
+        power = float(frame @ frame)
+        level = dbfs(np.sqrt(power / len(frame)))
+        deep, high = float(low @ low) / max(power, 1e-7), float((frame - low) @ (frame - low)) / max(power, 1e-7)
+        if level >= -45:
+            audible += 1
+            plosive += level >= -35 and deep >= 0.52 and level - last >= 3
+            mouth += level >= -40 and high >= 0.62 and level - last >= 4
+        last = level
+    return js_round(plosive / max(1, audible), 3), js_round(mouth / max(1, audible), 3)
 
 
 def tail(x: np.ndarray, rate: int) -> float:

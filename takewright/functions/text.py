@@ -85,7 +85,7 @@ def timestamp_ms(x: Column | str) -> Column:
 
 
 def is_timing_line(x: Column | str) -> Column:
-    return _col(x).rlike(rf"^\s*{TIMESTAMP}\s+-->\s+{TIMESTAMP}")
+    return _col(x).rlike(rf"^\s*{TIMESTAMP}\s+-->\s+{TIMESTAMP}(?:\s|$)")
 
 
 def timing(x: Column | str) -> Column:
@@ -97,7 +97,7 @@ def timing(x: Column | str) -> Column:
 
 
 def is_subtitle(text: Column, name: Column) -> Column:
-    return F.lower(name).rlike("[.](srt|vtt)$") | F.trim(text).startswith("WEBVTT") | F.exists(F.split(text, "\n"), is_timing_line)
+    return F.lower(name).rlike("[.](srt|vtt)$") | text.rlike(r"^WEBVTT(?:\s|$)") | F.exists(F.split(text, "\n"), is_timing_line)
 
 
 def fnv1a(x: Column | str) -> Column:
@@ -214,18 +214,21 @@ def estimated_ms(x: Column | str) -> Column:
 def youtube_id(url: Column | str) -> Column:
     """The 11-character id in a watch, short, embed, shorts or live address of the site or its short host; null if there is none."""
     url = F.trim(_col(url))
+    bare = url.rlike("^[A-Za-z0-9_-]{11}$")
     host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), "^(www|m)[.]", "")
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     query = F.try_parse_url(url, F.lit("QUERY"), F.lit("v"))
     named = F.regexp_extract(path, "^/(?:embed|shorts|live)/([^/]+)", 1)
     found = F.when(host == "youtu.be", F.regexp_extract(path, "^/([^/]+)", 1)).when(host.isin("youtube.com", "music.youtube.com", "youtube-nocookie.com"), F.when(path == "/watch", query).otherwise(named))
-    return F.when(found.rlike("^[A-Za-z0-9_-]{11}$"), found)
+    return F.when(bare, url).when(found.rlike("^[A-Za-z0-9_-]{11}$"), found)
 
 
-def youtube_embed(video: Column, start_s: Column, end_s: Column) -> Column:
-    start, end = F.floor(start_s).cast("long"), F.ceil(end_s).cast("long")
-    parts = [F.lit("enablejsapi=1"), F.lit("playsinline=1"), F.lit("rel=0"), F.when(start > 0, F.concat(F.lit("start="), start)), F.when(end > F.coalesce(start, F.lit(0)), F.concat(F.lit("end="), end))]
-    return F.concat(F.lit("https://www.youtube.com/embed/"), video, F.lit("?"), F.array_join(F.array_compact(F.array(*parts)), "&"))
+def youtube_embed(video: Column, start_s: Column, end_s: Column, autoplay: bool = False, muted: bool = False) -> Column:
+    """Ordered parameters; a start after 0 and an end after it alone are named."""
+    start, end = F.greatest(F.lit(0), F.floor(start_s)).cast("long"), F.floor(end_s).cast("long")
+    fixed = f"autoplay={int(autoplay)}&controls=1&mute={int(muted)}&playsinline=1&rel=0"
+    parts = [F.lit(fixed), F.when(start > 0, F.concat(F.lit("start="), start)), F.when(end > start, F.concat(F.lit("end="), end))]
+    return F.concat(F.lit("https://www.youtube-nocookie.com/embed/"), video, F.lit("?"), F.array_join(F.array_compact(F.array(*parts)), "&"))
 
 
 def media_time(seconds: Column | str) -> Column:
@@ -236,8 +239,7 @@ def media_time(seconds: Column | str) -> Column:
 
 
 def capture_limit(ms: Column | str) -> Column:
-    seconds = js_round_int(_col(ms) / 1000)
-    minutes, rest = F.floor(seconds / 60).cast("long"), seconds % 60
+    minutes, rest = F.floor(_col(ms) / 60000).cast("long"), F.floor(_col(ms) % 60000 / 1000).cast("long")
     return F.when(rest == 0, F.concat(minutes, F.lit(" min"))).otherwise(F.concat(minutes, F.lit(" min "), rest, F.lit(" s")))
 
 
@@ -255,25 +257,29 @@ def speaker_languages(languages: Column) -> Column:
 
 
 def schema_version(path: Column) -> Column:
-    return F.when(path == "manifest.json", "voice.capture.package.v1").when(path.endswith("samples.jsonl"), "voice.capture.sample.v1").when(path.startswith("rights/"), "voice.capture.rights.v1")
+    """The schema that a path's files have."""
+    return F.when(path.endswith(".wav"), "audio.pcm_s24le.v1").when(path == "samples.jsonl", "voice.capture.samples.v1").when(path.startswith("rights/"), "voice.capture.rights.v1").when(path.startswith("reports/"), "voice.capture.report.v1").otherwise("voice.capture.package.v1")
+
+
+PROVENANCE = ["rights", "sessions", "speakers", "corpora", "text", "alignment", "quality", "reviews"]
 
 
 def artifact_type(path: Column) -> Column:
-    """Ordered: records of rights are provenance, whatever their ending."""
-    rules = [("^rights/", "provenance"), ("^checksums", "checksum"), ("[.]wav$", "audio"), ("^transcripts/", "transcript"), ("^alignments/", "alignment"), ("^reports/", "report"), ("[.]jsonl$", "index"), ("[.]json$", "metadata")]
-    out = F.when(F.lit(False), F.lit(""))
-    for pattern, kind in rules:
-        out = out.when(path.rlike(pattern), kind)
-    return out.otherwise("other")
+    """Ordered: what lies in a folder of provenance is provenance, whatever its ending; recordings are audio anywhere."""
+    folder = F.substring_index(path, "/", 1)
+    return (
+        F.when(path.endswith(".wav"), "audio").when(path.startswith("reports/"), "report").when(path.contains("/") & folder.isin(PROVENANCE), "provenance")
+        .when(path.endswith(".jsonl") | (path == "README.md"), "text").when(path == "checksums.sha256", "integrity").otherwise("metadata")
+    )
 
 
 def browser_runtime(agent: Column) -> Column:
     """First of Edge, Chrome, Firefox and Safari, with its version."""
-    rules = [("edge", r"Edg/([\d.]+)"), ("chrome", r"Chrome/([\d.]+)"), ("firefox", r"Firefox/([\d.]+)"), ("safari", r"Version/([\d.]+).*Safari/")]
+    rules = [("Edge", r"Edg/([\d.]+)"), ("Chrome", r"Chrome/([\d.]+)"), ("Firefox", r"Firefox/([\d.]+)"), ("Safari", r"Version/([\d.]+).*Safari")]
     out = F.when(F.lit(False), F.struct(F.lit("").alias("name"), F.lit("").alias("version")))
     for name, pattern in rules:
         out = out.when(agent.rlike(pattern), F.struct(F.lit(name).alias("name"), F.regexp_extract(agent, pattern, 1).alias("version")))
-    return out.otherwise(F.struct(F.lit("unknown").alias("name"), F.lit(None).cast("string").alias("version")))
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version")))
 
 
 def sha256(x: Column) -> Column:

@@ -73,17 +73,17 @@ def prompt_defaults(words: Column) -> list[Column]:
     return [low.alias("min_ms"), high.alias("max_ms"), F.when(words > 26, "high").when(words > 14, "medium").otherwise("low").alias("difficulty")]
 
 
-def infer_smile(smile: Column, tags: Column) -> Column:
-    some = F.array(*map(F.lit, ["smile", "warm", "playful", "joy"]))
-    return F.when(smile == "audible_smile", "audible").when(F.arrays_overlap(tags, some), "slight").otherwise("none")
+def infer_smile(tags: Column) -> Column:
+    some = F.array(*map(F.lit, ["slight_smile", "professional_smile", "light_smile", "smile"]))
+    return F.when(F.array_contains(tags, "audible_smile"), "audible").when(F.arrays_overlap(tags, some), "slight").otherwise("none")
 
 
-def infer_pause_style(pace: Column, text: Column) -> Column:
-    return F.when(pace.isin("fast", "medium_fast"), "urgent").when(F.lower(text).contains("pause"), "thoughtful").otherwise("structured")
+def infer_pause_style(pace: Column, instruction: Column) -> Column:
+    return F.when(pace.isin("fast", "medium_fast"), "urgent").when(F.lower(instruction).contains("pause"), "thoughtful").otherwise("structured")
 
 
 def infer_pitch(energy: Column) -> Column:
-    return F.when(energy.isin("high", "medium_high"), "lifted").when(energy == "low", "lower_stable").otherwise("natural")
+    return F.when(energy.isin("high", "medium_high"), "slightly_lifted").when(energy == "low", "lower_stable").otherwise("natural")
 
 
 def infer_pitch_variation(primary: Column) -> Column:
@@ -91,7 +91,7 @@ def infer_pitch_variation(primary: Column) -> Column:
 
 
 def infer_attack(primary: Column) -> Column:
-    return F.when(primary.rlike("assert|command|urgent|warning"), "assertive").when(primary.rlike("soft|calm|intimate|comfort"), "soft").otherwise("clean")
+    return F.when(primary.rlike("direct|urgent|firm|critique"), "assertive").when(primary.rlike("warm|thinking|narrative|encouragement"), "soft").otherwise("clean")
 
 
 def corpus_id(mode: str, language: Column, text: Column) -> Column:

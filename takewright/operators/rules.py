@@ -87,13 +87,22 @@ def prosody_score(deviation: Column, energy: Column) -> Column:
 
 
 def performance(pitch_range: Column, variation: Column, voiced: Column, sung: Column) -> Column:
-    kind = F.when(sung, "sung").when((pitch_range >= 7) & (variation >= 2.2) & (voiced >= 0.2), "sung_candidate").when(voiced >= 0.12, "spoken").otherwise("uncertain")
+    """Sung by intent, possibly sung by the signal, spoken, or undetermined; without a pitch never more than that."""
+    pitched = pitch_range.isNotNull() & variation.isNotNull()
+    kind = F.when(sung, "sung").when(pitched & (pitch_range >= 7) & (variation >= 2.2) & (voiced >= 0.2), "sung_candidate").when(pitched & (voiced >= 0.12), "spoken").otherwise("undetermined")
     confidence = F.when(kind == "sung", 1.0).when(kind == "sung_candidate", 0.55).when(kind == "spoken", 0.66).otherwise(0.35)
     return F.struct(kind.alias("kind"), confidence.alias("confidence"))
 
 
 def lifecycle(rating: Column) -> Column:
-    return F.when(rating == "keeper", "training_candidate").when(rating == "maybe", "review").when(rating == "reject", "rejected").otherwise("captured")
+    return F.when(rating == "keeper", "training_candidate").when(rating == "maybe", "needs_review").when(rating == "reject", "rejected").otherwise("captured")
+
+
+def lifecycle_reasons(rating: Column, alignment: Column, has_rights: Column, verdict: Column) -> Column:
+    """Why a take is not simply ready; the list is empty for a candidate without reservations."""
+    own = F.when(rating == "reject", "legacy_rejected_rating").when(rating == "maybe", "legacy_maybe_rating").when(rating == "unreviewed", "not_reviewed")
+    reservations = F.array_compact(F.array(F.when(alignment == "estimated_g2p", "alignment_is_estimated"), F.when(alignment == "local_acoustic_comparison", "local_acoustic_alignment_requires_confirmation"), F.when(~has_rights, "rights_not_granted"), F.when(verdict != "pass", "quality_requires_review")))
+    return F.when(own.isNotNull(), F.array(own)).otherwise(reservations)
 
 
 def included(rating: Column, statuses: list[str]) -> Column:
@@ -168,12 +177,13 @@ def bounded_distance(a: Column, b: Column, most: int) -> Column:
     return F.when(d < 0, most + 1).otherwise(d)
 
 
-def tokens_match(a: Column, b: Column) -> Column:
-    """Equal; one ends with or starts with the other (5 letters at least); else one or, from 7 letters, two edits apart."""
-    short = F.least(F.length(a), F.length(b))
-    part = (short >= 5) & (a.startswith(b) | b.startswith(a) | a.endswith(b) | b.endswith(a))
-    near = (short >= 3) & (F.levenshtein(a, b) <= F.when(short >= 7, 2).otherwise(1))
-    return (a == b) | part | near
+def tokens_match(expected: Column, actual: Column) -> Column:
+    """Equal; or of three letters each: one of five letters or more ends with the other, both of five where one begins with the
+    other, or one edit apart, two from seven letters on."""
+    short = F.least(F.length(expected), F.length(actual))
+    ends = ((F.length(expected) >= 5) & expected.endswith(actual)) | ((F.length(actual) >= 5) & actual.endswith(expected))
+    begins = (short >= 5) & (expected.startswith(actual) | actual.startswith(expected))
+    return (expected == actual) | ((short >= 3) & (ends | begins | (F.levenshtein(expected, actual) <= F.when(short >= 7, 2).otherwise(1))))
 
 
 def words_compatible(a: Column, b: Column) -> Column:

@@ -22,11 +22,11 @@ CLASS = "CASE WHEN value / 100 <= 0.35 THEN 'fast' WHEN value / 100 <= 0.8 THEN
 ROWS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("a03_prompt_minimum", DOC, lambda: corpus.prompt_defaults(X.count_words("text"))[0], f"CAST(greatest(900, floor(260 * len({TOKENS}) + 0.5)) AS BIGINT)"),
     ("q02_prompt_difficulty", DOC, lambda: corpus.prompt_defaults(X.count_words("text"))[2], f"CASE WHEN len({TOKENS}) > 26 THEN 'high' WHEN len({TOKENS}) > 14 THEN 'medium' ELSE 'low' END"),
-    ("q04_smile", ("prompts", ["prompt_id"]), lambda: corpus.infer_smile(F.col("intent"), F.array("intent", F.when(F.col("prompt_id") % 4 == 0, "warm"))), "CASE WHEN prompt_id % 4 = 0 THEN 'slight' ELSE 'none' END"),
+    ("q04_smile", ("prompts", ["prompt_id"]), lambda: corpus.infer_smile(F.array("intent", F.when(F.col("prompt_id") % 4 == 0, "smile"))), "CASE WHEN prompt_id % 4 = 0 THEN 'slight' ELSE 'none' END"),
     ("q05_pause_style", ("prompts", ["prompt_id"]), lambda: corpus.infer_pause_style(F.col("pace"), F.col("text")), "CASE WHEN pace IN ('fast', 'medium_fast') THEN 'urgent' WHEN contains(lower(text), 'pause') THEN 'thoughtful' ELSE 'structured' END"),
-    ("q06_pitch", ("prompts", ["prompt_id"]), lambda: corpus.infer_pitch(F.col("energy")), "CASE energy WHEN 'high' THEN 'lifted' WHEN 'low' THEN 'lower_stable' ELSE 'natural' END"),
+    ("q06_pitch", ("prompts", ["prompt_id"]), lambda: corpus.infer_pitch(F.col("energy")), "CASE energy WHEN 'high' THEN 'slightly_lifted' WHEN 'low' THEN 'lower_stable' ELSE 'natural' END"),
     ("q07_pitch_variation", ("prompts", ["prompt_id"]), lambda: corpus.infer_pitch_variation(F.col("intent")), "CASE WHEN regexp_matches(intent, 'thinking|question|surprise|narrative') THEN 'medium' ELSE 'low' END"),
-    ("q08_attack", ("prompts", ["prompt_id"]), lambda: corpus.infer_attack(F.col("intent")), "CASE WHEN regexp_matches(intent, 'assert') THEN 'assertive' WHEN regexp_matches(intent, 'soft|calm') THEN 'soft' ELSE 'clean' END"),
+    ("q08_attack", ("prompts", ["prompt_id"]), lambda: corpus.infer_attack(F.col("intent")), "CASE WHEN regexp_matches(intent, 'thinking|narrative') THEN 'soft' ELSE 'clean' END"),
     ("b03_words_per_minute", TAKE, lambda: F.when(F.col("duration_ms") > 0, N.js_round(F.col("words") * 60000 / F.col("duration_ms"), 2)), "CASE WHEN duration_ms > 0 THEN " + js("words * 60000 / CAST(duration_ms AS DOUBLE)", 2) + " END"),
     ("b05_sentences", DOC, lambda: F.size(F.split(F.trim("text"), r"(?<=[.!?])\s+")).cast("long"), r"CAST(len(regexp_extract_all(trim(text), '[.!?]\s+')) + 1 AS BIGINT)"),
     ("b06_signal_evidence", LINE, lambda: A.signal_evidence(F.col("duration_ms"), F.col("active"), F.lit(10))["speech_ms"], "CAST(floor(duration_ms * active * 1.0 + 0.5) AS BIGINT)"),
@@ -34,8 +34,8 @@ ROWS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("c18_words_compatible", DOC, lambda: F.coalesce(rules.words_compatible(F.substring(X.ascii_word("text"), 1, 8), F.substring(X.ascii_word("text"), 2, 8)), F.lit(False)), "CASE WHEN a = b AND a <> '' THEN true WHEN least(length(a), length(b)) >= 4 AND abs(length(a) - length(b)) <= 2 THEN 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= CASE WHEN greatest(length(a), length(b)) <= 5 THEN 0.8 ELSE 0.72 END ELSE false END"),
     ("c20_media_limits", DOC, lambda: rules.media_limits(F.col("n_chars") * 50000, F.col("n_chars") * 90), "n_chars * 50000 <= 200000000 AND n_chars * 90 <= 600000"),
     ("e46_crc32", DOC, lambda: F.crc32("text"), ""),
-    ("e44_browser", ("pages", ["page_id"]), lambda: X.browser_runtime(F.concat(F.lit("Mozilla/5.0 Chrome/"), F.col("page_id"), F.lit(".1 Safari/537 Edg/9.5")))["name"], "'edge'"),
-    ("e35_embed_url", ("pages", ["page_id"]), lambda: X.youtube_embed(F.lit("abcdefghijk"), F.col("page_id") % 5, F.col("page_id") % 7), "'https://www.youtube.com/embed/abcdefghijk?enablejsapi=1&playsinline=1&rel=0' || CASE WHEN page_id % 5 > 0 THEN '&start=' || page_id % 5 ELSE '' END || CASE WHEN page_id % 7 > page_id % 5 THEN '&end=' || page_id % 7 ELSE '' END"),
+    ("e44_browser", ("pages", ["page_id"]), lambda: X.browser_runtime(F.concat(F.lit("Mozilla/5.0 Chrome/"), F.col("page_id"), F.lit(".1 Safari/537 Edg/9.5")))["name"], "'Edge'"),
+    ("e35_embed_url", ("pages", ["page_id"]), lambda: X.youtube_embed(F.lit("abcdefghijk"), F.col("page_id") % 5, F.col("page_id") % 7), "'https://www.youtube-nocookie.com/embed/abcdefghijk?autoplay=0&controls=1&mute=0&playsinline=1&rel=0' || CASE WHEN page_id % 5 > 0 THEN '&start=' || page_id % 5 ELSE '' END || CASE WHEN page_id % 7 > page_id % 5 THEN '&end=' || page_id % 7 ELSE '' END"),
     ("k03_source_weight", LINE, lambda: rules.source_weight(F.when(F.col("clipping"), "acoustic").otherwise("estimated"), F.col("active")), js("CASE WHEN clipping THEN 1.0 ELSE 0.2 END * active", 3)),
     ("k08_fused_confidence", LINE, lambda: N.js_round(F.col("active") * (0.85 + 0.15 * F.col("reverb")), 3), js("active * (0.85 + 0.15 * reverb)", 3)),
     ("m04_transcript_gate", LINE, lambda: rules.transcript_status(F.lit("web_speech"), F.col("active"), F.col("clipping")), "CASE WHEN active < 0.75 THEN CASE WHEN clipping THEN 'review' ELSE 'fail' END WHEN active < 0.92 THEN 'review' ELSE 'pass' END"),
@@ -89,7 +89,7 @@ def _samples(t: Tables) -> DataFrame:
 
 
 SAMPLES = """(SELECT t.session_id || '__' || t.take_ord AS sample_id, t.session_id, t.take_ord, t.speaker_id, t.rating, t.duration_ms, p.language,
-  CASE t.rating WHEN 'keeper' THEN 'training_candidate' WHEN 'maybe' THEN 'review' WHEN 'reject' THEN 'rejected' ELSE 'captured' END AS lifecycle,
+  CASE t.rating WHEN 'keeper' THEN 'training_candidate' WHEN 'maybe' THEN 'needs_review' WHEN 'reject' THEN 'rejected' ELSE 'captured' END AS lifecycle,
   CASE WHEN p.language = 'fr' THEN 'fr-FR' ELSE 'en-US' END AS locale,
   CASE WHEN r.status = 'granted' AND r.evidence IS NOT NULL THEN 'resolved' WHEN r.status IS NULL OR r.status = 'unknown' THEN 'unknown' ELSE 'blocked' END AS rights,
   sha256(lower(regexp_replace(trim(CASE WHEN trim(t.text) = '' THEN p.text ELSE t.text END), '\\s+', ' ', 'g'))) AS text_sha256
@@ -145,7 +145,7 @@ def merge_hypotheses(t: Tables) -> DataFrame:
     return x.groupBy("user_id", "result").agg(F.max("event_id").alias("event_id"), F.min(F.when(F.col("final"), F.col("event_id"))).alias("first_final"))
 
 
-@query("o06_artifacts", "SELECT path, 'metadata' AS type, byte_size, sha256 FROM files")
+@query("o06_artifacts", "SELECT path, 'provenance' AS type, byte_size, sha256 FROM files")
 def artifacts(t: Tables) -> DataFrame:
     return package.artifacts(t.files.select("path", F.col("text").alias("content"))).select("path", "type", "byte_size", "sha256")
 

@@ -197,7 +197,7 @@ def keeper_takes(t: Tables) -> DataFrame:
     return t.takes.where("rating = 'keeper' and speaker_id = 3").join(french, "prompt_id").select("session_id", "take_ord", "prompt_id")
 
 
-@query("c01_included_takes", "SELECT session_id, take_ord FROM takes WHERE rating IN ('keeper', 'maybe') OR CASE rating WHEN 'keeper' THEN 'training_candidate' WHEN 'maybe' THEN 'review' WHEN 'reject' THEN 'rejected' ELSE 'captured' END IN ('captured')")
+@query("c01_included_takes", "SELECT session_id, take_ord FROM takes WHERE rating IN ('keeper', 'maybe') OR CASE rating WHEN 'keeper' THEN 'training_candidate' WHEN 'maybe' THEN 'needs_review' WHEN 'reject' THEN 'rejected' ELSE 'captured' END IN ('captured')")
 def included_takes(t: Tables) -> DataFrame:
     return t.takes.where(R.included(F.col("rating"), ["keeper", "maybe", "captured"])).select("session_id", "take_ord")
 
@@ -476,12 +476,12 @@ def gain_plan(t: Tables) -> DataFrame:
     return t.metrics.select("session_id", "take_ord", *R.auto_gain())
 
 
-@query("m10_lifecycle", "SELECT session_id, take_ord, CASE rating WHEN 'keeper' THEN 'training_candidate' WHEN 'maybe' THEN 'review' WHEN 'reject' THEN 'rejected' ELSE 'captured' END AS lifecycle FROM takes")
+@query("m10_lifecycle", "SELECT session_id, take_ord, CASE rating WHEN 'keeper' THEN 'training_candidate' WHEN 'maybe' THEN 'needs_review' WHEN 'reject' THEN 'rejected' ELSE 'captured' END AS lifecycle FROM takes")
 def lifecycle(t: Tables) -> DataFrame:
     return t.takes.select("session_id", "take_ord", R.lifecycle(F.col("rating")).alias("lifecycle"))
 
 
-@query("m09_performance", "SELECT session_id, take_ord, CASE WHEN peak >= -7 AND snr >= 2.2 AND active >= 0.2 THEN 'sung_candidate' WHEN active >= 0.12 THEN 'spoken' ELSE 'uncertain' END AS kind, CASE WHEN peak >= -7 AND snr >= 2.2 AND active >= 0.2 THEN 0.55 WHEN active >= 0.12 THEN 0.66 ELSE 0.35 END AS confidence FROM metrics")
+@query("m09_performance", "SELECT session_id, take_ord, CASE WHEN peak >= -7 AND snr >= 2.2 AND active >= 0.2 THEN 'sung_candidate' WHEN active >= 0.12 THEN 'spoken' ELSE 'undetermined' END AS kind, CASE WHEN peak >= -7 AND snr >= 2.2 AND active >= 0.2 THEN 0.55 WHEN active >= 0.12 THEN 0.66 ELSE 0.35 END AS confidence FROM metrics")
 def performance(t: Tables) -> DataFrame:
     x = t.metrics.withColumn("x", R.performance(F.col("peak") + 14, F.col("snr"), F.col("active"), F.lit(False)))
     return x.select("session_id", "take_ord", "x.kind", "x.confidence")

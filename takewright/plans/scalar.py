@@ -60,12 +60,12 @@ SCALARS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("e32_estimated_ms", DOC, lambda: X.estimated_ms("text"), f"CAST(greatest(1800, 520 * len({TOKENS})) AS BIGINT)"),
     ("e33_amplitude_dbfs", LINE, lambda: N.amplitude_to_dbfs("dc"), js("20 * log10(greatest(abs(dc), 1.5849e-5))", 1)),
     ("e36_media_time", DOC, lambda: X.media_time(F.col("n_chars") * 3), "CASE WHEN n_chars * 3 >= 3600 THEN concat(n_chars * 3 // 3600, ':', lpad(CAST(n_chars * 3 % 3600 // 60 AS VARCHAR), 2, '0')) ELSE CAST(n_chars * 3 // 60 AS VARCHAR) END || ':' || lpad(CAST(n_chars * 3 % 60 AS VARCHAR), 2, '0')"),
-    ("e37_capture_limit", DOC, lambda: X.capture_limit(F.col("n_chars") * 100), "CASE WHEN CAST(floor(n_chars / 10 + 0.5) AS BIGINT) % 60 = 0 THEN concat(CAST(floor(n_chars / 10 + 0.5) AS BIGINT) // 60, ' min') ELSE concat(CAST(floor(n_chars / 10 + 0.5) AS BIGINT) // 60, ' min ', CAST(floor(n_chars / 10 + 0.5) AS BIGINT) % 60, ' s') END"),
+    ("e37_capture_limit", DOC, lambda: X.capture_limit(F.col("n_chars") * 100), "concat(n_chars * 100 // 60000, ' min', CASE WHEN n_chars * 100 % 60000 // 1000 > 0 THEN concat(' ', n_chars * 100 % 60000 // 1000, ' s') ELSE '' END)"),
     ("e38_percent", LINE, lambda: X.percent(F.col("active") * 120), "concat(CAST(floor(least(greatest(active * 120, 0.0), 100.0) * 1.0 + 0.5) AS BIGINT), '%')"),
     ("e39_locale", DOC, lambda: X.locale(F.col("lang")), "CASE lang WHEN 'fr' THEN 'fr-FR' ELSE 'en-US' END"),
     ("e40_speaker_languages", DOC, lambda: F.array_join(X.speaker_languages(F.array("lang", "lang", F.lit("en"))), "|"), "CASE lang WHEN 'fr' THEN 'fr|en' ELSE 'en' END"),
     ("e41_schema_version", PAGE, lambda: X.schema_version(F.concat(F.lit("rights/"), F.col("url"))), "'voice.capture.rights.v1'"),
-    ("e42_artifact_type", DOC, lambda: X.artifact_type(F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".wav").when(F.col("doc_id") % 3 == 1, ".jsonl").otherwise(".json"))), "CASE doc_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'index' ELSE 'metadata' END"),
+    ("e42_artifact_type", DOC, lambda: X.artifact_type(F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".wav").when(F.col("doc_id") % 3 == 1, ".jsonl").otherwise(".json"))), "CASE doc_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'text' ELSE 'metadata' END"),
     ("e45_sha256", DOC, lambda: X.sha256(F.col("text")), "sha256(text)"),
     ("e43_environment_group", DOC, lambda: F.to_json(F.struct(F.col("lang"), F.col("source"))), "concat('{\"lang\":\"', lang, '\",\"source\":\"', source, '\"}')"),
     ("c10_usable_segment", DOC, lambda: X.count_words("text") > 0, f"len({TOKENS}) > 0"),

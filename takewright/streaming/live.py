@@ -21,7 +21,7 @@ class SpeechActivity:
 
     @staticmethod
     def start(floor: float | None = None) -> dict:
-        return {"floor": clip(-60.0 if floor is None else floor, -78, -28), "active": False, "above": 0.0, "below": 0.0}
+        return {"floor": clip(-60.0 if floor is None else floor, -78, -28), "active": False, "attack": 0.0, "heard": 0.0, "now": 0.0}
 
     @staticmethod
     def level(samples: np.ndarray) -> float:
@@ -36,15 +36,21 @@ class SpeechActivity:
     def step(state: dict, level: float, ms: float) -> dict:
         threshold = clip(state["floor"] + 10, -50, -27)
         s = dict(state)
-        if level >= threshold - (4 if s["active"] else 0):
-            s["above"], s["below"] = s["above"] + ms, 0.0
-            s["active"] = s["active"] or s["above"] >= 48
+        s["now"] += ms
+        if s["active"]:
+            if level >= threshold - 4:
+                s["heard"] = s["now"]
+            elif s["now"] - s["heard"] >= 260:
+                s["active"], s["attack"] = False, 0.0
+        elif level >= threshold:
+            s["attack"] += ms
+            if s["attack"] >= 48:
+                s["active"], s["attack"], s["heard"] = True, 0.0, s["now"]
         else:
-            s["below"], s["above"] = s["below"] + ms, 0.0
-            s["active"] = s["active"] and s["below"] < 260
-        if not s["active"]:
-            rate = 0.008 if level > s["floor"] else 0.035
-            s["floor"] = clip(s["floor"] + rate * (level - s["floor"]), -78, -28)
+            s["attack"] = 0.0
+            if level < threshold - 2:  # only what can be background moves the floor
+                rate = 0.008 if level > s["floor"] else 0.035
+                s["floor"] = clip(s["floor"] + rate * (level - s["floor"]), -78, -28)
         return s
 
 

@@ -76,6 +76,8 @@ def test_times(spark):
 def test_artifact_types_follow_their_order(spark):
     assert value(spark, X.artifact_type(F.lit("rights/consents.jsonl"))) == "provenance"
     assert value(spark, X.artifact_type(F.lit("audio/x.wav"))) == "audio"
+    assert value(spark, X.artifact_type(F.lit("checksums.sha256"))) == "integrity"
+    assert value(spark, X.schema_version(F.lit("manifest.json"))) == "voice.capture.package.v1"
 
 
 def test_phonemes():
