@@ -20,14 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels")
     net = toxicity.fit(*sampling.labelled(docs, labels, "toxic", F.lit(True), 1500))
     text = F.col("text").cast("string")
-    return toxicity.score(docs.withColumn("text", text), net).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs.withColumn("text", text), net, into="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a shingle similarity of 0.8 or more, the one with the smallest doc_id; of its repeated rows, one."""
     links = jaccard.link(docs)
-    first = links.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(common.stash(first, "kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    first = links.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = docs.join(common.stash(first, "kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))).drop("_kept_id")
     return kept.dropDuplicates(["doc_id", "text"])
 
 
@@ -38,9 +38,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one that the mix does not take goes."""
-    repeats = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("mix_repeats")).withColumnRenamed("doc_id", "mix_id")
-    taken = docs.join(common.stash(repeats, "repeats"), F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id"))).where("mix_repeats > 0")
-    return taken.withColumn("mix_repeats", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_repeats")))).select(*docs.columns)
+    repeats = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("_mix_repeats")).withColumnRenamed("doc_id", "_mix_id")
+    taken = docs.join(common.stash(repeats, "repeats"), F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))).where("_mix_repeats > 0")
+    return taken.withColumn("_mix_repeats", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_repeats")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,20 +187,21 @@ def score_texts(field: Field, texts: list[str | None]) -> np.ndarray:
     return sigmoid(summary(marginal[:, 1], long, sizes) @ field.head)
 
 
-def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) of the whole of each text; a null text counts as one empty line.
+def score(docs: DataFrame, field: Field, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with ``into`` (0 to 1; replaced if there) of the whole of each text; a null text counts as one empty line.
 
     Where nothing could be learned (no labels, or of one class alone), each score is the share of label 1, or a half.
     """
+    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     columns = [f"`{c}` {t}" for c, t in docs.dtypes]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text, 2 << 20):
             out = score_texts(shared.value, batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(scored, ", ".join([*columns, "score double"]))
+    return docs.mapInArrow(scored, ", ".join([*columns, f"`{into}` double"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: int = 0, per_class: int = 2000, threshold: float = 0.3) -> DataFrame:

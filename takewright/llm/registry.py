@@ -16,4 +16,9 @@ QUERIES = {
     "op9_token_counts": queries.op9_token_counts,
     "op10_jaccard_join": queries.op10_jaccard_join,
 }
-ORACLE_SQL = {"op3_top_k": oracle.OP3_TOP_K, "op8_mixing": oracle.OP8_MIXING}
+ORACLE_SQL = {
+    "op3_top_k": oracle.OP3_TOP_K,
+    "op5_substring_dedup": oracle.OP5_SUBSTRING_DEDUP,
+    "op8_mixing": oracle.OP8_MIXING,
+    "op10_jaccard_join": oracle.OP10_JACCARD_JOIN,
+}

@@ -122,13 +122,13 @@ def report(docs: DataFrame, scope: int = 200) -> DataFrame:
 def redact(docs: DataFrame, scope: int = 200) -> DataFrame:
     """``docs`` with each span of ``scan`` replaced by its kind in brackets; overlapping spans become one, under the first's kind."""
     found = scan(docs, scope).where(F.size("all") > 0).groupBy("doc_id", "key").agg(F.first("all").alias("all"))
-    found = common.stash(found.select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"), F.col("all").alias("found_spans")), "spans")
+    found = common.stash(found.select(F.col("doc_id").alias("_found_id"), F.col("key").alias("_found_key"), F.col("all").alias("_found_spans")), "spans")
     names = ", ".join(f"'{k}'" for k in KINDS)
-    clean = F.expr(f"""aggregate(found_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
+    clean = F.expr(f"""aggregate(_found_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (acc, x) -> if(x.s >= acc.at,
             named_struct('at', x.e, 'out', concat(acc.out, array(substring(text, acc.at + 1, x.s - acc.at), '[', array({names})[x.k], ']'))),
             named_struct('at', greatest(acc.at, x.e), 'out', acc.out)),
         acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))""")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("found_id")) & (F.md5(F.coalesce(F.col("text"), F.lit(""))) == F.col("found_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_found_id")) & (F.md5(F.coalesce(F.col("text"), F.lit(""))) == F.col("_found_key"))
     joined = docs.join(found, same, "left")
-    return joined.withColumn("text", F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_found_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

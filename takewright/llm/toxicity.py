@@ -316,11 +316,12 @@ class Scorer:
         return score
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) of the whole of each text; null, empty and wordless texts score 0.
+def score(docs: DataFrame, net: Network, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with ``into`` (0 to 1; replaced if there) of the whole of each text; null, empty and wordless texts score 0.
 
     Every window of a text is scored, whatever its length; where nothing could be learned, each score is the share of label 1.
     """
+    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     columns = [f"`{c}` {t}" for c, t in docs.dtypes]
 
@@ -328,9 +329,9 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
         scorer = Scorer(shared.value)
         for batch in common.slices(batches, text, 2 << 20):
             out = scorer.score(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(scored, ", ".join([*columns, "score double"]))
+    return docs.mapInArrow(scored, ", ".join([*columns, f"`{into}` double"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, kept_back: int = 1, per_class: int = 1500, threshold: float = 0.7) -> DataFrame:
