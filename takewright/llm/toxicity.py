@@ -17,6 +17,7 @@ LETTERS = 24  # of a word; a longer one counts as several
 WORD = re.compile(r"\w{1,%d}" % LETTERS)
 BUCKETS = 1 << 18
 EMBEDDED = 1 << 12
+BLOCK = 1 << 14  # words whose inputs are made together
 PREFIXES = (4, 5, 6, 7)  # with the mark of the start
 CHAR, OWN, HIDDEN = 6, 4, 8
 INPUTS = 3 + CHAR + OWN + 1
@@ -29,6 +30,9 @@ def words_of(text: str | None) -> list[str]:
 def grams(words: list[str]) -> dict[str, np.ndarray]:
     """Hashed inputs of words: the word, its prefixes, its runs of four letters and of three (for embeddings); -1: none."""
     n = len(words)
+    if n > BLOCK:
+        blocks = [grams(words[at : at + BLOCK]) for at in range(0, n, BLOCK)]
+        return {k: np.concatenate([b[k] for b in blocks]) for k in blocks[0]}
     letters = np.zeros((n, LETTERS + 2), np.uint64)
     letters[:, 1:-1] = np.array(words, f"U{LETTERS}").view(np.uint32).reshape(n, LETTERS)
     size = (letters[:, 1:-1] > 0).sum(axis=1) + 2
@@ -84,7 +88,10 @@ class Network:
 
     def inputs(self, g: dict[str, np.ndarray], label: int | None = None) -> np.ndarray:
         """Vectors of words; for training, without what the text itself (of this label) adds to the counts."""
-        out = np.ones((len(g["word"]), INPUTS), np.float32)
+        n = len(g["word"])
+        if n > BLOCK:
+            return np.concatenate([self.inputs({k: v[at : at + BLOCK] for k, v in g.items()}, label) for at in range(0, n, BLOCK)])
+        out = np.ones((n, INPUTS), np.float32)
 
         def known(name: str, index: np.ndarray) -> np.ndarray:
             if label is None:
