@@ -31,7 +31,7 @@ def frequent(docs: DataFrame, tokenizer: str, size: int, held: int = 60_000, tol
                 seen.update(encoder.chunks(text or ""))
             if len(seen) > held:
                 seen = Counter(dict(seen.most_common(held // 2)))
-        keep = [(x, n) for x, n in seen.most_common(told) if len(x) <= 64]
+        keep = [(x, n) for x, n in seen.most_common(told) if len(x) <= 64 and "\0" not in x]
         if keep:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], names=["chunk", "n"])
 
@@ -42,7 +42,7 @@ def frequent(docs: DataFrame, tokenizer: str, size: int, held: int = 60_000, tol
 
 
 class Frequent:
-    """The first tier as it is broadcast: an open-addressed table of 64-bit hashes with a byte of length each."""
+    """The first tier as it is broadcast: chunks in one string and a byte of length each, of which workers make their hash table."""
 
     def __init__(self, lengths: dict[str, int]):
         self.text = "\0".join(lengths).encode("utf-8", "surrogatepass")

@@ -21,7 +21,8 @@ def targets(sizes: DataFrame, weights: Column, epochs: int, share: float = 1.0)
 
     A source gets its weight's part, but ``epochs`` times its size at most; what it cannot take goes to the others by weight,
     until none is above.  That fixed point is found in one ordered pass: sources reach their caps in the order of cap / weight,
-    so those before the first that stays below are at their caps, and the rest divide what is left.
+    so those before the first that stays below are at their caps, and the rest divide what is left.  The table has one row per
+    source, and its rows meet in one task.
     """
     everywhere = Window.orderBy("fills_at", "ord")
     before = everywhere.rowsBetween(Window.unboundedPreceding, -1)

@@ -95,7 +95,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 8
 
     Rows are dealt to shards by a hash, queries to blocks; each pair of a shard and a block is one bounded group, which searches the
     shard's KD-tree.  A query first searches its own shard; its k-th score there is the floor below which the other shards' boxes
-    are not opened.  Vectors of different lengths are not compared.  Rows without vec_id, vector or finite components take no part; rows that
+    are not opened.  Scores are 64-bit integers.  Vectors of different lengths are not compared.  Rows without vec_id, vector or finite components take no part; rows that
     repeat a query's vec_id count as its own row (the smallest vector is searched), rows that repeat another are each a row.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")

@@ -21,6 +21,7 @@ def texts() -> list[tuple]:
     rows = [(i, prose(i, 30 + 7 * i)) for i in range(2, 14)]
     rows += [(20, base), (21, base), (22, near), (23, near.upper()), (24, None), (25, ""), (26, " \n\t "), (27, "one"), (None, "no id here"), (None, None)]
     rows += [(30, prose(30, 6000)), (31, prose(31, 40) + " " + base + " " + prose(32, 40)), (32, "a" * 9000), (20, base), (40, prose(5, 65))]
+    rows += [(50 + i, "a\0b <|endoftext|>") for i in range(2)]
     return rows
 
 
