@@ -214,9 +214,10 @@ def fit(sample: list[tuple[str, int]], prior: float, width: int = 32, stride: in
         chosen = (ranks == 0) | ((y[text] == 1) & (ranks < 0.4 * of_text) & (ranks < 4)) | ((y[text] == 0) & (rng.random(len(text)) < 1 / of_text))
         chosen = rng.permutation(np.flatnonzero(chosen & (length > 0)))
         rate = 0.01 * (1 - epoch / epochs) + 0.001
-        for at in range(0, len(chosen), 256):
+        size = int(np.clip(len(chosen) // 24, 16, 256))  # small samples need as many steps
+        for at in range(0, len(chosen), size):
             step += 1
-            _train(net, moment, g, ids, inputs, chosen[at : at + 256], text, start, length, y, len(vocab), rate, step)
+            _train(net, moment, g, ids, inputs, chosen[at : at + size], text, start, length, y, len(vocab), rate, step)
     # the score of a text from figures of its windows, weighed so that label 1 has the share it has outside the sample
     inputs = np.concatenate([net.inputs(g, 0), net.inputs(g, 1)])
     fair = net.score_windows((inputs @ net.p["wx"]).astype(np.float32), ids, start, length)
