@@ -69,18 +69,23 @@ def sketch(digest: np.ndarray, text: np.ndarray, count: int, cells: int) -> tupl
 
 
 def peel(n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From differences of sketches: digests in the first alone and in the second alone (numbers), and whether all were recovered."""
+    """From differences of sketches: digests in the first alone and in the second alone (numbers), and whether all were recovered.
+
+    A cell that passes its check by chance would put in what it takes out, again and again; so a sketch from which more
+    digests come than it has cells has failed.
+    """
     n, key = n.copy(), key.copy()
     rows, cells = n.shape
     found = np.zeros((2, rows), np.int64)
     while True:
-        row, cell = np.nonzero(np.abs(n) == 1)
+        sound = found.sum(axis=0) <= cells
+        row, cell = np.nonzero((np.abs(n) == 1) & sound[:, None])
         k = key[row, cell]
         good = check_of(k >> np.uint64(16)) == k & np.uint64(0xFFFF)
         good &= (cells_of(k, cells)[cell // (cells // PARTS), np.arange(len(k))] == cell) if len(k) else good
         row, cell, k = row[good], cell[good], k[good]
         if not len(row):
-            return found[0], found[1], (n == 0).all(axis=1) & (key == 0).all(axis=1)
+            return found[0], found[1], sound & (n == 0).all(axis=1) & (key == 0).all(axis=1)
         sign = n[row, cell]
         order = np.lexsort((k, row))
         fresh = order[np.r_[True, (k[order][1:] != k[order][:-1]) | (row[order][1:] != row[order][:-1])]]
@@ -108,6 +113,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
         common_ = total[0][left] - only_a
         out[left] = np.where(common_ + only_a + only_b > 0, common_ / np.maximum(common_ + only_a + only_b, 1), 1.0)
         left, cells = left[~good], cells * 4
+        # digests that collide can never be told apart by any sketch
+        for i in left[cells > 16 * (total[0] + total[1])[left] + 96]:
+            both = len(np.intersect1d(a[0][a[1] == i], b[0][b[1] == i]))
+            out[i] = both / (total[0][i] + total[1][i] - both)
+        left = left[cells <= 16 * (total[0] + total[1])[left] + 96]
     return out
 
 
