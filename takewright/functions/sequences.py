@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from statistics import median
 
+import numpy as np
+
 
 def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not "̀" <= c <= "ͯ").lower()
@@ -22,13 +26,32 @@ def js_round(x: float, digits: int = 0) -> float:
     return float(int((x * f + 0.5) // 1)) / f
 
 
+def _places(b: list[str] | str) -> dict[str, int]:
+    """Each token's places in ``b`` as bits."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    return at
+
+
+def _edit_rows(a: list[str] | str, b: list[str] | str) -> Iterator[tuple[int, int, int, int]]:
+    """The table of edit costs row by row as bits (Myers): where a row rises and falls along ``b``, and where above the row before."""
+    at, ones = _places(b), (1 << len(b)) - 1
+    rises, falls = ones, 0
+    for x in a:
+        same = at.get(x, 0)
+        level = ((((same & rises) + rises) ^ rises) | same | falls) & ones
+        higher, lower = falls | (ones & ~(level | rises)), level & rises
+        left, drop = (higher << 1 | 1) & ones, (lower << 1) & ones
+        rises, falls = drop | (ones & ~(level | left)), left & level
+        yield rises, falls, higher, lower
+
+
 def edit_distance(a: list[str] | str, b: list[str] | str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    rises, falls = (1 << len(b)) - 1, 0
+    for rises, falls, _, _ in _edit_rows(a, b):  # noqa: B007
+        pass
+    return len(a) + rises.bit_count() - falls.bit_count()
 
 
 def similarity(a: str, b: str) -> float:
@@ -44,30 +67,103 @@ def compatible(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) >= 4 and abs(len(a) - len(b)) <= 2 and similarity(a, b) >= (0.8 if longest <= 5 else 0.72))
 
 
-def compatible_timings(a: dict, b: dict) -> bool:
-    """Compatible words whose middles are near, measured by the longer of them."""
-    if not compatible(word_key(a["word"]), word_key(b["word"])):
-        return False
+def _unlike(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of words a lower bound of their edits (letters that only one of them has) and the longer one's length."""
+
+    def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        bits = [sum(1 << k for k in {ord(c) & 63 for c in w}) for w in words]
+        return np.array(bits, np.uint64), np.array([len(w) for w in words], np.int64)
+
+    (x, n), (y, m) = letters(a), letters(b)
+    x, n = x[:, None], n[:, None]
+    least = np.maximum(np.bitwise_count(x & ~y), np.bitwise_count(y & ~x)).astype(np.int64)
+    return np.maximum(least, np.abs(n - m)), np.maximum(n, m)
+
+
+def compatible_words(words: Iterable[str], rows: int = 256) -> dict[str, list[str]]:
+    """Each of the distinct words that are not empty with those that are compatible with it; ``rows`` words are compared at a time."""
+    each = sorted({w for w in words if w})
+    found = {w: [w] for w in each}
+    long = [w for w in each if len(w) >= 4]
+    for k in range(0, len(long), rows):
+        least, longest = _unlike(long[k : k + rows], long)
+        # no more edits than compatible() allows, of which the exact test is made only for these
+        for i, j in np.argwhere(least <= np.maximum(1, 0.28 * longest + 1e-9)).tolist():
+            if k + i < j and compatible(long[k + i], long[j]):
+                found[long[k + i]].append(long[j])
+                found[long[j]].append(long[k + i])
+    return found
+
+
+def compatible_masks(a: list[str], b: list[str], near: dict[str, list[str]]) -> list[int]:
+    """For each word of ``a`` the places in ``b`` of the words that are compatible with it, as bits."""
+    at = _places(b)
+    masks = {}
+    for x in set(a):
+        masks[x] = 0
+        for y in near.get(x, []):
+            masks[x] |= at.get(y, 0)
+    return [masks[x] for x in a]
+
+
+def _near_in_time(a: dict, b: dict) -> bool:
     longest = max(a["end_ms"] - a["start_ms"], b["end_ms"] - b["start_ms"])
     return abs((a["start_ms"] + a["end_ms"]) / 2 - (b["start_ms"] + b["end_ms"]) / 2) <= max(450, min(1200, 1.5 * longest))
 
 
-def common_pairs(n: int, m: int, same: Callable[[int, int], bool], greedy: bool = False) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, traced back from the end.
-
-    At a match the trace goes diagonally, if the table allows it (``greedy``: always); else up on equal lengths.
+def compatible_timings(a: dict, b: dict) -> bool:
+    """Compatible words whose middles are near, measured by the longer of them."""
+    return compatible(word_key(a["word"]), word_key(b["word"])) and _near_in_time(a, b)
+
+
+def timing_masks(a: list[dict], b: list[dict], near: dict[str, list[str]]) -> list[int]:
+    """For each word of ``a`` the places in ``b`` of compatible timings; only middles within 1200 ms are looked at, as none is farther."""
+    order = sorted(range(len(b)), key=lambda j: b[j]["start_ms"] + b[j]["end_ms"])
+    twice = [b[j]["start_ms"] + b[j]["end_ms"] for j in order]
+    keys = [word_key(w["word"]) for w in b]
+    masks = []
+    for w in a:
+        middle, like, mask = w["start_ms"] + w["end_ms"], near.get(word_key(w["word"]), []), 0
+        for j in order[bisect_left(twice, middle - 2400) : bisect_right(twice, middle + 2400)]:
+            if keys[j] in like and _near_in_time(w, b[j]):
+                mask |= 1 << j
+        masks.append(mask)
+    return masks
+
+
+def _common_rows(masks: list[int], m: int) -> Iterator[int]:
+    """The table of common lengths row by row as bits, which are 0 where a row rises."""
+    ones = (1 << m) - 1
+    row = ones
+    for mask in masks:
+        both = row & mask
+        row = ((row + both) | (row - both)) & ones
+        yield row
+
+
+def common_length(masks: list[int], m: int) -> int:
+    row = (1 << m) - 1
+    for row in _common_rows(masks, m):  # noqa: B007
+        pass
+    return m - row.bit_count()
+
+
+def common_pairs(masks: list[int], m: int) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, traced back from the end; ``masks`` has the places among ``m`` that go with each
+    item, as bits.
+
+    At a match the trace goes diagonally; else up on equal lengths.  The table takes a bit a cell.
     """
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    match = [[same(i, j) for j in range(m)] for i in range(n)]
-    for i in range(n):
-        for j in range(m):
-            table[i + 1][j + 1] = table[i][j] + 1 if match[i][j] else max(table[i][j + 1], table[i + 1][j])
-    pairs, i, j = [], n, m
+    rows = [(1 << m) - 1, *_common_rows(masks, m)]
+    pairs, i, j = [], len(masks), m
     while i and j:
-        if match[i - 1][j - 1] and (greedy or table[i][j] == table[i - 1][j - 1] + 1):
+        if masks[i - 1] >> (j - 1) & 1:
             i, j = i - 1, j - 1
             pairs.append((i, j))
-        elif table[i - 1][j] >= table[i][j - 1]:
+            continue
+        below = (1 << j) - 1
+        here, above = (j - (rows[k] & below).bit_count() for k in (i, i - 1))
+        if above >= here - (not rows[i] >> (j - 1) & 1):
             i -= 1
         else:
             j -= 1
@@ -83,18 +179,20 @@ def transcript_match(expected: list[str], observed: list[str]) -> dict:
     return {"score": js_round(max(0.0, score), 2), "source": "web_speech", "missing": list(missing.elements()), "extra": list(extra.elements())}
 
 
-def agreement(a: list[str], b: list[str]) -> float:
-    """Dice's measure over a fuzzy longest common subsequence, to three places."""
+def agreement(a: list[str], b: list[str], near: dict[str, list[str]] | None = None) -> float:
+    """Dice's measure over a fuzzy longest common subsequence, to three places; ``near``: compatible_words of both, if known."""
     if not a or not b:
         return 0.0
-    shared = len(common_pairs(len(a), len(b), lambda i, j: compatible(a[i], b[j])))
+    near = compatible_words([*a, *b]) if near is None else near
+    shared = common_length(compatible_masks(a, b, near), len(b))
     return js_round(2 * shared / (len(a) + len(b)), 3)
 
 
 def compare_timings(estimated: list[dict], heard: list[dict]) -> dict:
     """Boundary differences of words that two timings share, and how good that is."""
     a, b = [word_key(w["word"]) for w in estimated], [word_key(w["word"]) for w in heard]
-    pairs = common_pairs(len(a), len(b), lambda i, j: a[i] == b[j] != "", greedy=True)
+    at = _places(b) | {"": 0}
+    pairs = common_pairs([at.get(x, 0) for x in a], len(b))
     gaps = [max(abs(estimated[i]["start_ms"] - heard[j]["start_ms"]), abs(estimated[i]["end_ms"] - heard[j]["end_ms"])) for i, j in pairs]
     rate = js_round(len(pairs) / max(len(a), len(b), 1), 3)
     middle = float(median(gaps)) if gaps else None
@@ -102,6 +200,7 @@ def compare_timings(estimated: list[dict], heard: list[dict]) -> dict:
     return {"match_rate": rate, "median_ms": middle, "maximum_ms": float(max(gaps)) if gaps else None, "status": status}
 
 
+@lru_cache(1 << 16)
 def token_similarity(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
@@ -114,6 +213,19 @@ def token_similarity(a: str, b: str) -> float:
     return 1 - d / longest if d <= max(2, -(-45 * longest // 100)) else 0.0
 
 
+def _similarities(prompt: list[str], spoken: list[str]) -> np.ndarray:
+    """The similarity of each pair of words, or 0 where it is below 0.5."""
+    a, b = sorted(set(prompt)), sorted(set(spoken))
+    least, longest = _unlike(a, b)
+    begins = np.array([[x[:1] == y[:1] for y in b] for x in a])  # beginnings of each other are alike whatever their lengths
+    alike = np.zeros((len(a), len(b)))
+    for i, j in np.argwhere(begins | (2 * least <= longest)).tolist():
+        s = token_similarity(a[i], b[j])
+        alike[i, j] = s if s >= 0.5 else 0.0
+    rows, columns = {x: i for i, x in enumerate(a)}, {y: j for j, y in enumerate(b)}
+    return alike[np.ix_([rows[x] for x in prompt], [columns[y] for y in spoken])]
+
+
 def align_spoken(prompt: list[str], spoken: list[str]) -> dict:
     """Global alignment of what was said with a prompt of which only the beginning may be said.
 
@@ -123,28 +235,28 @@ def align_spoken(prompt: list[str], spoken: list[str]) -> dict:
     if not prompt or not spoken:
         return {"coverage": 0.0, "matched": 0, "position": 0, "score": 0.0}
     n, m = len(prompt), len(spoken)
-    alike = [[token_similarity(p, s) for s in spoken] for p in prompt]
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    step = [[""] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        best[i][0], step[i][0] = best[i - 1][0] - 0.34, "prompt"
-    for j in range(1, m + 1):
-        best[0][j], step[0][j] = best[0][j - 1] - 0.58, "spoken"
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            s = alike[i - 1][j - 1]
-            options = [(best[i - 1][j - 1] + (0.35 + s if s >= 0.5 else -0.82), "match"), (best[i - 1][j] - 0.34, "prompt"), (best[i][j - 1] - 0.58, "spoken")]
-            best[i][j], step[i][j] = max(options, key=lambda o: o[0])
-    i, j = max(range(n + 1), key=lambda r: (best[r][m], r)), m
+    alike = _similarities(prompt, spoken)
+    gain = np.where(alike >= 0.5, 0.35 + alike, -0.82)
+    best = np.zeros((n + 1, m + 1))
+    step = np.zeros((n + 1, m + 1), np.int8)
+    best[1:, 0], step[1:, 0] = np.cumsum(np.full(n, -0.34)), 1
+    best[0, 1:], step[0, 1:] = np.cumsum(np.full(m, -0.58)), 2
+    for d in range(2, n + m + 1):  # cells of one anti-diagonal do not depend on each other
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        options = np.stack([best[i - 1, j - 1] + gain[i - 1, j - 1], best[i - 1, j] - 0.34, best[i, j - 1] - 0.58])
+        step[i, j] = options.argmax(0)
+        best[i, j] = options.max(0)
+    i, j = max(range(n + 1), key=lambda r: (best[r, m], r)), m
     matched, total, position = 0, 0.0, None
     while i or j:
-        if step[i][j] == "match":
-            s = alike[i - 1][j - 1]
+        if step[i, j] == 0:
+            s = float(alike[i - 1, j - 1])
             if s >= 0.5:
                 matched, total = matched + 1, total + s
                 position = i - 1 if position is None else position
             i, j = i - 1, j - 1
-        elif step[i][j] == "prompt":
+        elif step[i, j] == 1:
             i -= 1
         else:
             j -= 1
@@ -163,20 +275,20 @@ def merge_transcripts(a: str, b: str, most: int = 12) -> str:
 
 def edit_operations(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """Operations from ``a`` to ``b``; the trace prefers match, substitution, deletion, insertion."""
-    n, m = len(a), len(b)
-    table = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            table[i][j] = min(table[i - 1][j - 1] + (a[i - 1] != b[j - 1]), table[i - 1][j] + 1, table[i][j - 1] + 1)
-    out, i, j = [], n, m
+    rows = [((1 << len(b)) - 1, 0, 0, 0), *_edit_rows(a, b)]
+    out, i, j = [], len(a), len(b)
+
+    def bit(k: int, what: int) -> int:
+        return rows[k][what] >> (j - 1) & 1
+
     while i or j:
-        if i and j and a[i - 1] == b[j - 1] and table[i][j] == table[i - 1][j - 1]:
+        if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append(("match", i, j))
-        elif i and j and table[i][j] == table[i - 1][j - 1] + 1:
+        elif i and j and bit(i, 2) - bit(i, 3) + bit(i - 1, 0) - bit(i - 1, 1) == 1:
             i, j = i - 1, j - 1
             out.append(("substitute", i, j))
-        elif i and table[i][j] == table[i - 1][j] + 1:
+        elif i and (not j or bit(i, 2)):
             i -= 1
             out.append(("delete", i, -1))
         else:
@@ -211,13 +323,15 @@ def consensus(hypotheses: list[dict]) -> dict:
     are needed, and words that two others share between anchor words are recovered.
     """
     mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
+    keys_of = {id(h): [word_key(w["word"]) for w in h["words"]] for h in hypotheses}
+    near = compatible_words(k for keys in keys_of.values() for k in keys)
 
     def score(h: dict) -> float:
         if not h["words"]:
             return -100.0
-        keys = [word_key(w["word"]) for w in h["words"]]
+        keys = keys_of[id(h)]
         others = [o for o in hypotheses if o is not h]
-        shared = mean([agreement([k for k in keys if k], [k for w in o["words"] if (k := word_key(w["word"]))]) for o in others]) if others else 0.5
+        shared = mean([agreement([k for k in keys if k], [k for k in keys_of[id(o)] if k], near) for o in others]) if others else 0.5
         bonus = 0.65 * (h.get("status") == "review") + 0.35 * (h["model"] == "base") + 0.12 * (h["signal"] == "spectral_vocal")
         return 3.4 * shared + 0.9 * h.get("overlap", 0) + 0.7 * h.get("acceptance", 0) + bonus - 1.2 * (longest_run(keys) >= 4) - 1.4 * (h.get("density", 0) > 320)
 
@@ -233,7 +347,7 @@ def consensus(hypotheses: list[dict]) -> dict:
 
     anchor = max(hypotheses, key=score)
     others = [h for h in hypotheses if h is not anchor]
-    aligned = [(h, dict(common_pairs(len(anchor["words"]), len(h["words"]), lambda i, j, h=h: compatible_timings(anchor["words"][i], h["words"][j])))) for h in others]
+    aligned = [(h, dict(common_pairs(timing_masks(anchor["words"], h["words"], near), len(h["words"])))) for h in others]
     out, rejected, fuzzy = [], 0, 0
     for i, word in enumerate(anchor["words"]):
         same = [h["words"][m[i]] for h, m in aligned if i in m]
@@ -244,21 +358,26 @@ def consensus(hypotheses: list[dict]) -> dict:
         part = len(same) / len(others) if others else 0.5
         support = mean([w.get("support", 0.0) for w in (word, *same)])
         out.append(voted([word, *same], word, 0.18 + 0.47 * part + 0.25 * support + (0.1 if anchor["model"] == "base" else 0.04)))
-    clusters: list[tuple[int, list[tuple[dict, dict]]]] = []
+    clusters: list[list[tuple[dict, dict]]] = []
+    of_gap: dict[int, list[list[tuple[dict, dict]]]] = {}
     for h, m in aligned if len(hypotheses) >= 3 else []:
         taken = {j: i for i, j in m.items()}
+        gap, gaps = len(anchor["words"]), {}
+        for j in range(len(h["words"]) - 1, -1, -1):
+            gaps[j] = gap
+            gap = taken.get(j, gap)
         for j, word in enumerate(h["words"]):
             if j in taken:
                 continue
-            gap = next((taken[k] for k in range(j + 1, len(h["words"])) if k in taken), len(anchor["words"]))
-            for place, members in clusters:
-                if place == gap and all(o is not h for o, _ in members) and any(compatible_timings(w, word) for _, w in members):
+            for members in of_gap.get(gaps[j], []):
+                if all(o is not h for o, _ in members) and any(compatible_timings(w, word) for _, w in members):
                     members.append((h, word))
                     break
             else:
-                clusters.append((gap, [(h, word)]))
+                clusters.append([(h, word)])
+                of_gap.setdefault(gaps[j], []).append(clusters[-1])
     recovered = 0
-    for _, members in clusters:
+    for members in clusters:
         if len(members) > 1:
             recovered += 1
             first = max(members, key=lambda x: 2 * (x[0]["model"] == "base") + (x[0]["signal"] == "spectral_vocal"))[1]
