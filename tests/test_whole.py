@@ -71,3 +71,19 @@ def test_turns_are_compared_whole(spark, long_tables):
             best[i][j] = max(best[i - 1][j - 1] + (0.35 + s if s >= 0.5 else -0.82), best[i - 1][j] - 0.34, best[i][j - 1] - 0.58)
     assert 0 < found.score <= 1
     assert max(r[m] for r in best) <= found.matched * 0.35 + found.score * m + 1e-6
+
+
+def test_timings_are_compared_whole(spark, long_tables):
+    found = catalog.QUERIES["j05_compare_timings"](spark, long_tables).where("media_id = 1").first()
+    a, b = [i for i in range(LONG) if i % 1000 != 1], [i for i in range(LONG) if i % 7 != 1]  # every word is another one
+    assert found.match_rate == rounded(len(set(a) & set(b)) / max(len(a), len(b)), 3)
+    assert found.median_ms == 90.0
+
+
+def test_consensus_is_of_all_words(spark, long_tables):
+    found = catalog.QUERIES["k04_lexical_consensus"](spark, long_tables).where("media_id = 1")
+    # a longest common subsequence has at least the words that both of two heard, and each word of it has two votes
+    heard = [{i for i in range(LONG) if i % every != 1} for every in (9, 7, 5)]
+    assert found.count() >= min(len(x & y) for x in heard for y in heard if x is not y)
+    last = spark.read.parquet(f"{long_tables}/documents.parquet").where("doc_id = 1").first().text.split()[-1]
+    assert found.where(F.col("word") == last).count() == 1
