@@ -82,14 +82,14 @@ def timing_consensus(t: Tables) -> DataFrame:
 
 @query("f08_f09_phonemes")
 def phonemes(t: Tables) -> DataFrame:
-    x = t.documents.select("doc_id", "lang", F.explode(F.slice(X.tokens_by_space("text"), 1, 20)).alias("word"))
+    x = t.documents.select("doc_id", "lang", F.explode(X.tokens_by_space("text")).alias("word"))
     return x.select("doc_id", "word", F.array_join(A.phonemes("word", "lang"), " ").alias("phonemes"))
 
 
 @query("f11_align_prompt")
 def align_prompt(t: Tables) -> DataFrame:
-    x = t.documents.select("doc_id", F.explode(A.align_prompt(F.substring("text", 1, 300), F.least(F.col("n_chars"), F.lit(300)) * 70, "lang")).alias("w"))
-    return x.select("doc_id", "w.word", "w.start_ms", "w.end_ms", "w.confidence")
+    x = t.documents.select("doc_id", "text", (F.coalesce("n_chars", F.length("text"), F.lit(0)) * 70).cast("long").alias("duration_ms"), "lang")
+    return A.align_prompts(x).select("doc_id", "word", "start_ms", "end_ms", "confidence")
 
 
 @query("l01_analyze_pcm")

@@ -87,3 +87,14 @@ def test_consensus_is_of_all_words(spark, long_tables):
     assert found.count() >= min(len(x & y) for x in heard for y in heard if x is not y)
     last = spark.read.parquet(f"{long_tables}/documents.parquet").where("doc_id = 1").first().text.split()[-1]
     assert found.where(F.col("word") == last).count() == 1
+
+
+def test_phonemes_are_of_all_words(spark, long_tables):
+    assert catalog.QUERIES["f08_f09_phonemes"](spark, long_tables).where("doc_id = 1").count() == LONG
+
+
+def test_prompts_are_aligned_whole(spark, long_tables):
+    doc = spark.read.parquet(f"{long_tables}/documents.parquet").where("doc_id = 1").first()
+    found = catalog.QUERIES["f11_align_prompt"](spark, long_tables).where("doc_id = 1").orderBy("start_ms", "end_ms").collect()
+    assert [r.word for r in found] == doc.text.split()
+    assert found[-1].end_ms == doc.n_chars * 70
