@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,14 +100,31 @@ def hysteresis(frames: DataFrame, frame_ms: int = 32, enter: float = 0.5, stay:
 
 
 def resolve_overlaps(timings: DataFrame, key: str = "media_id") -> DataFrame:
-    """Neighbours that overlap meet at the clamped middle; each repair feeds the next, so this folds each medium's ordered words."""
-    rows = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "idx")))
-    x = timings.groupBy(key).agg(rows.alias("w"))
-    fold = """aggregate(w, cast(array() as array<struct<start_ms:bigint,end_ms:bigint,idx:bigint>>), (a, n) ->
-      if(size(a) = 0 or element_at(a, -1).end_ms <= n.start_ms, array_append(a, n),
-        transform(array(greatest(element_at(a, -1).start_ms + 1, least(n.end_ms - 1, cast(floor((element_at(a, -1).end_ms + n.start_ms) / 2 + 0.5) as bigint)))), b ->
-          array_append(array_append(slice(a, 1, size(a) - 1), named_struct('start_ms', element_at(a, -1).start_ms, 'end_ms', b, 'idx', element_at(a, -1).idx)), named_struct('start_ms', b, 'end_ms', n.end_ms, 'idx', n.idx)))[0]))"""
-    return x.select(key, F.explode(F.expr(fold)).alias("x")).select(key, "x.idx", "x.start_ms", "x.end_ms")
+    """Neighbours that overlap meet at the clamped middle; each repair feeds the next, so this is one pass over each medium's ordered
+    words, of which a worker holds the last alone."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # the word whose end the next one may move: key, start, end, idx
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            out: list[list] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                this = list(row)
+                if held is not None:
+                    if held[0] == this[0] and held[2] > this[1]:
+                        edge = max(held[1] + 1, min(this[2] - 1, (held[2] + this[1] + 1) // 2))
+                        held[2] = this[1] = edge
+                    out.append(held)
+                held = this
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(held, schema, strict=True)], schema=schema)
+
+    x = timings.select(key, F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.col("idx").cast("long").alias("idx"))
+    ordered = x.repartition(key).sortWithinPartitions(key, "start_ms", "end_ms", "idx")
+    return ordered.mapInArrow(each, x.schema).select(key, "idx", "start_ms", "end_ms")
 
 
 def word_at(words: DataFrame, times: DataFrame, key: str = "media_id") -> DataFrame:

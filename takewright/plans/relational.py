@@ -361,7 +361,7 @@ def hysteresis(t: Tables) -> DataFrame:
 @query("i13_resolve_overlaps")
 def resolve_overlaps(t: Tables) -> DataFrame:
     """Words stretched so that neighbours overlap; a fold, so that it is tested on a small table instead of by SQL."""
-    return I.resolve_overlaps(t.word_timings.where("idx < 400").withColumn("end_ms", F.col("end_ms") + 60))
+    return I.resolve_overlaps(t.word_timings.withColumn("end_ms", F.col("end_ms") + 60))
 
 
 @query("i09_capture_time", "WITH s AS (SELECT *, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY media_id ORDER BY start_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM speech_segments), x AS (SELECT doc_id AS media_id, unnest(range(0, n_chars * 50, 2000)) AS t FROM documents) SELECT x.media_id, x.t, CAST(least(s.end_ms, s.start_ms + x.t - s.before) AS BIGINT) AS capture_ms FROM x ASOF JOIN s ON x.media_id = s.media_id AND x.t >= s.before")

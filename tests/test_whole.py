@@ -98,3 +98,16 @@ def test_prompts_are_aligned_whole(spark, long_tables):
     found = catalog.QUERIES["f11_align_prompt"](spark, long_tables).where("doc_id = 1").orderBy("start_ms", "end_ms").collect()
     assert [r.word for r in found] == doc.text.split()
     assert found[-1].end_ms == doc.n_chars * 70
+
+
+def test_overlaps_of_all_words_are_repaired(spark, long_tables):
+    doc = spark.read.parquet(f"{long_tables}/documents.parquet").where("doc_id = 1").first()
+    wanted, at = [], 0
+    for w in doc.text.split():
+        start, end, at = at * 90, at * 90 + len(w) * 80 + 60, at + len(w)
+        if wanted and wanted[-1][1] > start:
+            start = max(wanted[-1][0] + 1, min(end - 1, (wanted[-1][1] + start + 1) // 2))
+            wanted[-1] = (wanted[-1][0], start)
+        wanted.append((start, end))
+    found = catalog.QUERIES["i13_resolve_overlaps"](spark, long_tables).where("media_id = 1").orderBy("idx").collect()
+    assert [(r.start_ms, r.end_ms) for r in found] == wanted
