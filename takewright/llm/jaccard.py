@@ -1,4 +1,4 @@
-"""N-gram Jaccard join through a MinHash LSH forest, with exact verification."""
+"""N-gram Jaccard join through MinHash banding at the depth where a forest's descent would end, with exact verification."""
 
 from __future__ import annotations
 
@@ -124,8 +124,8 @@ def link(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 1
     """One row per document: ``doc_id``, ``class_id`` (the smallest doc_id linked with it, over any number of links) and ``n_links``
     (other documents whose sets of ``width``-word shingles have a Jaccard index of ``threshold`` or more with its own).
 
-    Documents of one shingle set are one node.  Each node has a prefix of MinHash minima in each tree of the forest; starting at
-    ``deepest``, prefixes are shortened until the trees together reach ``recall`` at the threshold.  Nodes that share a prefix are
+    Documents of one shingle set are one node.  Each node has one key for each tree, of as many MinHash minima as ``depth_for`` says: at
+    most ``deepest``, and so few that the trees together reach ``recall`` at the threshold.  Nodes that share a key are
     joined into candidate groups by links to the prefix's smallest node, never by pairs.  Each group is then verified on exact
     shingle sets in pairs of blocks of bounded size, which return counts and a spanning link for each node, so that a group of any
     size neither meets in one task nor is written out as pairs.
