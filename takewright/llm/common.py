@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Rows a DataFrame may have to be sent to every executor; callers check it.
 BROADCAST_ROWS = 1 << 16
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset a temporary one, for a session in one process alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +42,39 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or what is like it and no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        at = 0
+        while at < len(values):
+            to = at
+            while to < len(values) and values[to] == values[at]:
+                to += 1
+            if held and values[at] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, to - at))
+            last, at = values[at], to
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts take about ``most`` bytes at most, or one row where its text alone is longer."""
     for batch in batches:
@@ -53,6 +90,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             at = to
 
 
+def with_score(docs: DataFrame, text: str, into: str, start: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """``docs`` with ``into`` (replaced if there), a number for each text; ``start`` makes a worker's function for a batch of texts.  Other columns may have any names."""
+    docs = docs.drop(into)
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    at = plain[docs.columns.index(text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = start()
+        for batch in slices(batches, at, 2 << 20):
+            out = pa.array(score(batch.column(at).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*plain, "score"])
+
+    schema = StructType([*(StructField(p, f.dataType, f.nullable) for p, f in zip(plain, docs.schema, strict=True)), StructField("score", DoubleType())])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns, into)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit numbers."""
     with np.errstate(over="ignore"):
