@@ -8,24 +8,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .tokens import Encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long"
+PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64())])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """The pieces of every document: whole where its ids fit, else cut so that all but the first have ``capacity`` ids.
 
-    A row of ``docs`` needs ``doc_id`` and ``text``; a null text counts as empty, and a repeated row makes its pieces again.
+    A row of ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  A null or empty text is one piece, of the end id alone; a
+    null doc_id stays null; a repeated row makes its pieces again; an empty table has none.  ``turn`` numbers the pieces of a task one by one.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder, turn = Encoder(tokenizer), None
         for batch in common.slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -35,27 +36,31 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 ends = range(n % capacity or capacity, n + 1, capacity)
                 for piece, to in enumerate(ends):
                     at = ends[piece - 1] if piece else 0
-                    rows.append((doc, piece, at, to - at, zlib.crc32(raw[4 * at : 4 * to])))
+                    crc = zlib.crc32(raw[4 * at : 4 * to])
+                    turn = crc if turn is None else turn + 1
+                    rows.append((doc, piece, at, to - at, crc, turn))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECE_SCHEMA, strict=True)], schema=PIECE_SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum-of-squares packing of ``sizes`` in their order.
+def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum-of-squares packing of ``sizes`` in their order: the bin of each, and the places left in each bin.
 
-    Of the bins, open[g] have g places left.  An item goes where the sum of the squares of open becomes smallest,
-    ties to the fullest bin.  Returns bin and offset of each item, and the places left in each bin.
+    Of the bins, open[g] have g > 0 places left.  An item goes where the sum of the squares of open becomes smallest,
+    ties to the fullest bin.
     """
+    never = np.iinfo(np.int64).max
     open_ = np.zeros(capacity + 1, np.int64)
     of_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins, offsets, left = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), []
+    bins, left = np.empty(len(sizes), np.int64), []
     for i, s in enumerate(sizes.tolist()):
-        # from gap g to g - s: (open[g]-1)^2 - open[g]^2 + (open[g-s]+1)^2 - open[g-s]^2; a full bin (gap 0) counts for nothing
+        # from gap g to g - s the sum changes by (open[g]-1)^2 - open[g]^2 + (open[g-s]+1)^2 - open[g-s]^2, here less 2;
+        # gap 0, a full bin, counts for nothing, and a new bin leaves no other gap
         change = 2 * (open_[: capacity - s + 1] - open_[s:])
-        change[0] = -2 * open_[s] - 1
-        change[capacity - s] = 2 * open_[capacity - s]
-        change[: capacity - s][open_[s:capacity] == 0] = np.iinfo(np.int64).max
+        change[0] -= 1
+        change[open_[s:] == 0] = never
+        change[capacity - s] = 2 * open_[capacity - s] - 1
         gap = int(change.argmin()) + s
         if gap == capacity:
             b = len(left)
@@ -63,86 +68,84 @@ def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.n
         else:
             b = of_gap[gap].pop()
             open_[gap] -= 1
-        bins[i], offsets[i] = b, capacity - left[b]
+        bins[i] = b
         left[b] = gap - s
         if gap > s:
             of_gap[gap - s].append(b)
             open_[gap - s] += 1
-    return bins, offsets, np.array(left, np.int64)
+    return bins, np.array(left, np.int64)
 
 
-class Plan:
-    """Places for the items of each size: its runs of slots, each in consecutive sequences at one offset.
+def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest first, each where it leaves the least: the bin of each, and the places left in each bin."""
+    have = np.zeros(capacity + 1, bool)
+    of_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
+    bins, left = np.empty(len(sizes), np.int64), []
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        s = int(sizes[i])
+        gap = s + int(have[s:].argmax())
+        if have[gap]:
+            b = of_gap[gap].pop()
+            have[gap] = bool(of_gap[gap])
+        else:
+            gap, b = capacity, len(left)
+            left.append(capacity)
+        bins[i] = b
+        left[b] = gap - s
+        if gap > s:
+            of_gap[gap - s].append(b)
+            have[gap - s] = True
+    return bins, np.array(left, np.int64)
 
-    A histogram of more than ``most`` items is packed in levels: with M = items / most (rounded up), every M-th item of a
-    size is packed, and each full enough bin stands for M sequences; the rest goes to the next level with a smaller M.
-    So a plan has about ``most`` runs for each of log2(M) levels, whatever the number of documents.
+
+def fewest(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each item: by the sum-of-squares rule, largest first, after which the emptiest bins are packed again.
+
+    Eight of the emptiest bins are emptied and their items put where they leave the least; while that saves no bin, twice as many are, up to all;
+    it ends where no fewer bins could hold the items or nothing is saved any more.
     """
+    order = np.argsort(-sizes, kind="stable")
+    bins = np.empty(len(sizes), np.int64)
+    bins[order], left = fill(sizes[order], capacity)
+    least, some = -(-int(sizes.sum()) // capacity), 8
+    while len(left) > least:
+        n = min(some, len(left))
+        pool = np.zeros(len(left), bool)
+        pool[np.argsort(-left, kind="stable")[:n]] = True
+        items = np.flatnonzero(pool[bins])
+        again, rest = best_fit(sizes[items], capacity)
+        if len(rest) < n:
+            bins = (np.cumsum(~pool) - 1)[bins]
+            bins[items] = len(left) - n + again
+            left = np.r_[left[~pool], rest]
+        elif n == len(left):
+            break
+        else:
+            some *= 2
+    order, used = np.argsort(bins, kind="stable"), np.bincount(bins, sizes).astype(np.int64)
+    offsets = np.empty(len(sizes), np.int64)
+    offsets[order] = np.cumsum(sizes[order]) - sizes[order] - (np.cumsum(used) - used)[bins[order]]
+    return bins, offsets
 
-    def __init__(self, histogram: dict[int, int], capacity: int, most: int = 1 << 18, spare: float = 0.005):
-        rest = np.zeros(capacity + 1, np.int64)
-        for size, n in histogram.items():
-            rest[size] = n
-        used = np.zeros(capacity + 1, np.int64)
-        runs: list[tuple[np.ndarray, ...]] = []
-        self.sequences = 0
-        times = max(1, -(-int(rest.sum()) // most))
-        while rest.any():
-            share = rest // times
-            sizes = np.repeat(np.arange(capacity + 1), share)[::-1]
-            bins, offsets, left = fill(sizes, capacity)
-            good = left <= (spare * capacity if times > 1 else capacity)
-            taken = good[bins]
-            number = np.cumsum(good) - 1
-            sizes, bins, offsets = sizes[taken], number[bins[taken]], offsets[taken]
-            order = np.argsort(sizes, kind="stable")
-            sizes, bins, offsets = sizes[order], bins[order], offsets[order]
-            before = np.arange(len(sizes)) - np.searchsorted(sizes, sizes)
-            runs.append((sizes, used[sizes] + before * times, self.sequences + bins * times, offsets))
-            each = np.bincount(sizes, minlength=capacity + 1) * times
-            used, rest = used + each, rest - each
-            self.sequences += int(good.sum()) * times
-            times = times // 2 if times > 1 else 1
-        sizes, slots, sequences, offsets = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else [np.zeros(0, np.int64)] * 4
-        order = np.lexsort((slots, sizes))
-        self.slots, self.to, self.offsets = slots[order], sequences[order], offsets[order]
-        self.starts = np.searchsorted(sizes[order], np.arange(capacity + 2))
-
-    def place(self, sizes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and offset of the slot-th item of each size."""
-        sequence, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-        for size in np.unique(sizes):
-            these = np.flatnonzero(sizes == size)
-            a, b = self.starts[size], self.starts[size + 1]
-            run = a + np.searchsorted(self.slots[a:b], slots[these], "right") - 1
-            sequence[these], offset[these] = self.to[run] + slots[these] - self.slots[run], self.offsets[run]
-        return sequence, offset
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, most: int = 1 << 18, bucket_rows: int = 2000) -> DataFrame:
-    """Pack all documents into sequences of at most ``capacity`` tokens by the sum-of-squares rule.
-
-    Returns ``pieces`` with ``sequence_id`` and ``offset``.  Only the histogram of piece lengths (at most ``capacity`` rows) comes
-    to the driver, which packs it into a ``Plan`` of bounded size.  A piece then finds its place by its rank among the pieces of
-    its length: ranks are taken within hashed buckets of about ``bucket_rows`` rows, after the buckets' counts before it, so that
-    no length, however common, meets in one task.  An empty table gives an empty result; columns other than ``doc_id`` and
-    ``text`` are ignored.
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, group_rows: int = 1 << 16) -> DataFrame:
+    """Pack all documents into sequences of at most ``capacity`` tokens by the sum-of-squares rule (``fewest``).
+
+    Returns ``pieces`` with ``sequence_id`` and ``offset``.  Pieces are dealt in turn to groups of about ``group_rows``; each group is packed
+    by itself in one task, every piece of it by the rule, so that work and memory of a task have a bound and nothing comes to the
+    driver.  A group wastes less than one sequence more than its tokens need.  An empty table gives an empty result; of nulls and repeated rows see ``pieces``.
     """
-    spark = docs.sparkSession
     cut = common.stash(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(Plan(histogram, capacity, most))
-    buckets = -(-sum(histogram.values()) // bucket_rows) or 1
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    of_length = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(of_length), F.lit(0)))
-    in_bucket = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("rank", F.row_number().over(in_bucket)).join(counts.select("length", "bucket", "before"), ["length", "bucket"])
-    slots = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank") - 1).alias("slot"))
+    groups = -(-cut.count() // group_rows) or 1
+    dealt = cut.withColumn("group", F.pmod("turn", F.lit(groups))).drop("turn").repartition(groups, "group").sortWithinPartitions("group")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sequence, offset = plan.value.place(batch.column("length").to_numpy(), batch.column("slot").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
-
-    return slots.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+        for group in common.sorted_groups(batches, ["group"]):
+            group = group.combine_chunks()
+            sequence, offset = fewest(group["length"].to_numpy(), capacity)
+            sequence += group["group"][0].as_py() << 32
+            for batch in pa.table([*(group[k] for k in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"]).to_batches(1 << 14):
+                yield batch
+
+    return dealt.mapInArrow(place, PIECES.replace("turn long", "sequence_id long, offset long"))
