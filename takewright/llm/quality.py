@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,22 +190,18 @@ def score(docs: DataFrame, field: Field, text: str = "text", into: str = "score"
 
     Where nothing could be learned (no labels, or of one class alone), each score is the share of label 1, or a half.
     """
-    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    columns = [f"`{c}` {t}" for c, t in docs.dtypes]
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text, 2 << 20):
-            out = score_texts(shared.value, batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, into])
-
-    return docs.mapInArrow(scored, ", ".join([*columns, f"`{into}` double"]))
+    return common.with_score(docs, text, into, lambda: lambda texts: score_texts(shared.value, texts))
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, kept_back: int = 0, per_class: int = 2000, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, by a field fitted on ``per_class`` documents of each class at most."""
+    """doc_id, held_out, score and predicted of every document, by a field fitted on ``per_class`` documents of each class at most.
+
+    A row is held out where crc32 of its doc_id's text, modulo ``modulus``, is ``kept_back``; one without doc_id is not, but nothing is
+    learned from it.  A null or empty text scores as one empty line, repeated rows keep their rows, an empty table gives an empty result, and other columns are ignored.
+    """
     train_rows = sampling.remainder(F.col("doc_id"), modulus) != kept_back
-    field = fit(*sampling.labelled(docs, labels, "quality", train_rows, per_class))
+    field = sampling.fitted(*sampling.labelled(docs, labels, "quality", train_rows, per_class), fit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score(rows, field).select("doc_id", "score")
     return scored.select("doc_id", sampling.held_out(F.col("doc_id"), modulus, kept_back).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

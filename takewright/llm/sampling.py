@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,8 +20,9 @@ def held_out(doc_id: Column, modulus: int, kept_back: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == kept_back, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> tuple[list[tuple[str, int]], float]:
-    """Texts and labels (0, 1) of ``per_class`` documents of each class at most, and the share of label 1 among all that may be learned from.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, most_bytes: int = 64 << 20) -> tuple[DataFrame, float]:
+    """(text, y): texts and labels (0, 1) of ``per_class`` documents of each class at most, whose texts take ``most_bytes`` a class at most; and
+    the share of label 1 among all that may be learned from.
 
     ``train`` says of ``labels`` rows which may be used.  Of each class those come whose md5 is smallest, so that a rerun takes the same.
     Null doc_ids, other labels and documents without a row are left out; of repeated rows one counts.
@@ -28,9 +34,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_
     chosen = [rows.where(F.col("y") == y).orderBy(order).limit(per_class) for y in (0, 1)]
     # two classes of per_class ids: small enough to send to every task
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).where("text is not null").orderBy("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids, "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(order, "doc_id"))
+    texts = texts.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "y")
     total = sum(counts.values())
-    return [(r["text"], r["y"]) for r in texts.collect()], counts.get(1, 0) / total if total else 0.5
+    return texts, counts.get(1, 0) / total if total else 0.5
+
+
+def fitted(sample: DataFrame, prior: float, fit: Callable[[list[tuple[str, int]], float], Any]) -> Any:
+    """What ``fit`` makes of a sample of bounded size: it runs in one task, and the driver gets the model alone."""
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, int]] = []
+        for batch in batches:
+            rows += zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, prior))], pa.binary())], names=["model"])
 
+    made = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "y").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], prior)

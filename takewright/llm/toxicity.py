@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -327,25 +325,21 @@ class Scorer:
 def score(docs: DataFrame, net: Network, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with ``into`` (0 to 1; replaced if there) of the whole of each text; null, empty and wordless texts score 0.
 
-    Every window of a text is scored, whatever its length; where nothing could be learned, each score is the share of label 1.
+    Every window of a text is scored, whatever its length; where nothing could be learned, each score, of wordless texts too, is the share of label 1.
     """
-    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    columns = [f"`{c}` {t}" for c, t in docs.dtypes]
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in common.slices(batches, text, 2 << 20):
-            out = scorer.score(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, into])
-
-    return docs.mapInArrow(scored, ", ".join([*columns, f"`{into}` double"]))
+    return common.with_score(docs, text, into, lambda: Scorer(shared.value).score)
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, kept_back: int = 1, per_class: int = 1500, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, by a network fitted on ``per_class`` documents of each class at most."""
+    """doc_id, held_out, score and predicted of every document, by a network fitted on ``per_class`` documents of each class at most.
+
+    A row is held out where crc32 of its doc_id's text, modulo ``modulus``, is ``kept_back``; one without doc_id is not, but nothing is
+    learned from it.  Null, empty and wordless texts score 0 where anything could be learned, repeated rows keep their rows, an empty table gives an empty result, and
+    other columns are ignored.
+    """
     train = sampling.remainder(F.col("doc_id"), modulus) != kept_back
-    net = fit(*sampling.labelled(docs, labels, "toxic", train, per_class))
+    net = sampling.fitted(*sampling.labelled(docs, labels, "toxic", train, per_class), fit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score(rows, net).select("doc_id", "score")
     return scored.select("doc_id", sampling.held_out(F.col("doc_id"), modulus, kept_back).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
