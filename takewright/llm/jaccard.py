@@ -1,4 +1,4 @@
-"""N-gram Jaccard join through MinHash banding at the depth where a forest's descent would end, with exact verification."""
+"""N-gram Jaccard join through a MinHash LSH forest, with exact verification."""
 
 from __future__ import annotations
 
@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .graph import components
 
-SIGNED = "doc_id long, node binary, n int, prefixes array<long>"
+BITS, HALF = 16, 4  # of a level of a signature, and levels in each of its two numbers
+SIGNED = "doc_id long, text_key long, node binary, n int, upper array<long>, lower array<long>"
 
 
 def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
@@ -24,6 +25,24 @@ def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
     return depth
 
 
+def least_index(n: int, threshold: float) -> float | None:
+    """The smallest Jaccard index from ``threshold`` on that a set of ``n`` can have with a different set; None: it can have none.
+
+    With i elements in common and m in the other set it is i / (n + m - i), where i is n, and m larger, or i is smaller, and m at least i.
+    """
+    found = [i / (n + m - i) for i in range(1, n + 1) for m in range(i + (i == n), int(n / threshold) + 2) if i / (n + m - i) >= threshold - 1e-9]
+    return min(found) if found else None
+
+
+def depths(threshold: float, trees: int, deepest: int, recall: float, sizes: int = 64) -> tuple[list[int], int]:
+    """How far the prefixes of a set are shortened, for sets of 1 to ``sizes`` and for larger ones; deeper than ``deepest``: the set can have no partner.
+
+    Small sets have few possible indices, so that theirs may stay longer: a set of 3 is at least 0.8 alike to itself alone, one of 7 at least 0.857.
+    """
+    least = [least_index(n, threshold) for n in range(1, sizes + 1)]
+    return [deepest + 1 if t is None else depth_for(t, trees, deepest, recall) for t in least], depth_for(threshold, trees, deepest, recall)
+
+
 def shingles(texts: list[str | None], width: int, hashes: common.WordHashes) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's runs of ``width`` words; of a shorter text, its words as one run; without words, none."""
     hashes.forget()
@@ -45,9 +64,9 @@ def node_of(grams: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
-def sign(docs: DataFrame, width: int, trees: int, depth: int, seed: int = 1) -> DataFrame:
-    """Each document's shingle set as a 128-bit digest, its size, and a prefix of ``depth`` minima for each tree."""
-    keys = common.mix64(np.arange(2 * trees * depth, dtype=np.uint64) + np.uint64(seed << 32)).reshape(2, trees, depth)
+def sign(docs: DataFrame, width: int, trees: int, seed: int = 1) -> DataFrame:
+    """Each document's shingle set as a 128-bit digest, its size, and for each tree a signature: BITS bits of each of 2 HALF minima, first levels first."""
+    keys = common.mix64(np.arange(4 * trees * HALF, dtype=np.uint64) + np.uint64(seed << 32)).reshape(2, trees, 2 * HALF)
     masks, factors = keys[0], keys[1] | np.uint64(1)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,44 +74,57 @@ def sign(docs: DataFrame, width: int, trees: int, depth: int, seed: int = 1) ->
         for batch in common.slices(batches):
             sets = shingles(batch.column("text").to_pylist(), width, hashes)
             some = [i for i, x in enumerate(sets) if len(x)]
-            prefixes: list = [None] * len(sets)
+            halves: tuple[list, list] = ([None] * len(sets), [None] * len(sets))
             if some:
                 flat = np.concatenate([sets[i] for i in some])
                 starts = np.cumsum([0, *(len(sets[i]) for i in some[:-1])])
-                out = np.empty((len(some), trees), np.uint64)
+                out = np.zeros((2, len(some), trees), np.uint64)
                 with np.errstate(over="ignore"):
                     for t in range(trees):
-                        prefix = np.full(len(some), t, np.uint64)
-                        for k in range(depth):
+                        for k in range(2 * HALF):
                             least = np.minimum.reduceat((flat ^ masks[t, k]) * factors[t, k], starts)
-                            prefix = common.mix64(prefix * np.uint64(0x9E3779B97F4A7C15) + least)
-                        out[:, t] = prefix
-                for i, row in zip(some, out.view(np.int64).tolist(), strict=True):
-                    prefixes[i] = row
-            columns = [batch.column("doc_id"), pa.array([node_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "prefixes"])
+                            out[k // HALF, :, t] = (out[k // HALF, :, t] << np.uint64(BITS)) | (common.mix64(least) >> np.uint64(64 - BITS))
+                for half, rows in zip(halves, out.view(np.int64).tolist(), strict=True):
+                    for i, row in zip(some, rows, strict=True):
+                        half[i] = row
+            longs = pa.list_(pa.int64())
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array([node_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(halves[0], longs), pa.array(halves[1], longs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "upper", "lower"])
 
     return docs.mapInArrow(signed, SIGNED)
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each key, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        values = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-        at = 0
-        while at < len(values):
-            to = at
-            while to < len(values) and values[to] == values[at]:
-                to += 1
-            if held and values[at] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(at, to - at))
-            last, at = values[at], to
-    if held:
-        yield pa.Table.from_batches(held)
+def prefix(level: int) -> list[Column]:
+    """The first ``level`` minima of a signature, as its two numbers with all else 0."""
+    bits = [BITS * min(level, HALF), BITS * max(level - HALF, 0)]
+    masks = [-(1 << (64 - b)) if b else 0 for b in bits]
+    return [F.col(c).bitwiseAND(F.lit(m).cast("long")).alias(c) for c, m in zip(("upper", "lower"), masks, strict=True)]
+
+
+def candidates(nodes: DataFrame, threshold: float, trees: int, recall: float) -> DataFrame:
+    """(a, b): links that join all nodes which share a prefix at the depth where their own descent ends.
+
+    A tree is a trie of signatures, its nodes the groups of equal prefixes.  From the deepest level on, rows of a group are linked to its smallest node, which
+    alone goes on with the prefix shortened by one, until its set's size allows to stop (``depths``): so the rows that reach
+    the shallow levels are few, however many share a prefix there.  What shares no prefix at the last level is left out before the first.
+    """
+    deepest = 2 * HALF
+    by_size, last = depths(threshold, trees, deepest, recall)
+    stop = F.coalesce(F.get(F.array(*map(F.lit, by_size)), F.col("n") - 1), F.lit(last)).alias("stop")
+    rows = nodes.select("node", stop, F.explode(F.arrays_zip("upper", "lower")).alias("x")).where(F.col("stop") <= deepest)
+    rows = rows.select("node", "stop", "x.upper", "x.lower")
+    start = prefix(min(last, HALF))[0].alias("start")
+    shared = rows.select(start).groupBy("start").agg(F.count("*").alias("c")).where("c > 1")
+    rows = common.stash(rows.withColumn("start", start).join(shared, "start").select("node", "stop", "upper", "lower"), "matched")
+    links = None
+    for level in range(deepest, last - 1, -1):
+        here = rows.where(F.col("stop") <= level).select("node", "stop", *prefix(level))
+        groups = here.groupBy("upper", "lower").agg(F.min("node").alias("least"), F.min("stop").alias("stop"), F.count("*").alias("c"))
+        groups = common.stash(groups, f"level-{level}")
+        found = here.join(groups.where("c > 1").select("upper", "lower", "least"), ["upper", "lower"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        rows = groups.select(F.col("least").alias("node"), "stop", "upper", "lower")
+    return links
 
 
 def verify(sets: list[np.ndarray], block: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -120,36 +152,64 @@ def verify(sets: list[np.ndarray], block: np.ndarray, across: bool, threshold: f
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def link(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 16, deepest: int = 8, recall: float = 0.9995, block_rows: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 16, recall: float = 0.9995, block_rows: int = 256, block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node) of every document, and (node, label, first, links, copies) of every shingle set: ``label`` is the same for sets that are linked,
+    ``first`` the first document of the set, as (doc_id, text_key), and ``links`` the number of documents of other sets linked with it.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    signed = common.stash(sign(docs, width, trees), "signed")
+    nodes = signed.where("node is not null").groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("upper").alias("upper"), F.first("lower").alias("lower")
+    )
+    nodes = common.stash(nodes, "nodes")
+    groups = common.stash(components(candidates(nodes, threshold, trees, recall)), "groups")
+    linked = verified(docs, nodes, groups, width, threshold, block_rows, block_bytes)
+    labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    sums = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    known = nodes.select("node", "first", "copies").join(sums, "node", "left").join(labels, "node", "left")
+    known = common.stash(known.select("node", F.coalesce("label", "node").alias("label"), "first", F.coalesce("links", F.lit(0)).alias("links"), "copies"), "known")
+    return signed.select("doc_id", "text_key", "node"), known
+
+
+def link(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 16, recall: float = 0.9995, block_rows: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (the smallest doc_id linked with it, over any number of links) and ``n_links``
     (other documents whose sets of ``width``-word shingles have a Jaccard index of ``threshold`` or more with its own).
 
-    Documents of one shingle set are one node.  Each node has one key for each tree, of as many MinHash minima as ``depth_for`` says: at
-    most ``deepest``, and so few that the trees together reach ``recall`` at the threshold.  Nodes that share a key are
-    joined into candidate groups by links to the prefix's smallest node, never by pairs.  Each group is then verified on exact
+    Documents of one shingle set are one node.  Each node has a signature of 8 MinHash minima for each of ``trees`` trees; of nodes that share a
+    prefix, which is shortened level by level until the trees together find a pair at the least index that the node's size allows
+    with probability ``recall``, candidate groups are made by links to the smallest node, never by pairs (``candidates``).  Each group is then verified on exact
     shingle sets in pairs of blocks of bounded size, which return counts and a spanning link for each node, so that a group of any
     size neither meets in one task nor is written out as pairs.
 
-    A text without words links to nothing.  Repeated rows are copies of each other; a null doc_id sorts first.
+    A text without words, a null one too, links to nothing.  Repeated rows are copies of each other; a null doc_id is no smallest one unless there is no other.
+    An empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = common.stash(sign(docs, width, trees, depth_for(threshold, trees, deepest, recall)), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("prefixes").alias("prefixes"))
-    nodes = common.stash(nodes, "nodes")
+    rows, known = classes(docs, threshold, width, trees, recall, block_rows, block_bytes)
+    least = common.stash(known.groupBy("label").agg(F.min("first.doc_id").alias("class_id")), "least")
+    known = common.stash(known.join(least, "label").select("node", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
+    found = rows.select("doc_id", "node").join(known, "node", "left")
+    return found.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
-    members = nodes.select("node", F.explode("prefixes").alias("prefix"))
-    shared = members.groupBy("prefix").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1")
-    edges = members.join(shared, "prefix").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = common.stash(components(edges), "groups")
 
-    linked = verified(docs, nodes, groups, width, threshold, block_rows, block_bytes)
-    classes = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    sums = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "first", "copies").join(sums, "node", "left").join(classes, "node", "left")
-    known = common.stash(known.select("node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label")), "known")
-    least = common.stash(known.groupBy("label").agg(F.min("first").alias("class_id")), "least")
-    known = common.stash(known.join(least, "label").select("node", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
-    return signed.select("doc_id", "node").join(known, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+def keep_first(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 16, recall: float = 0.9995) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their group (smallest doc_id, null first; of one doc_id the smallest hash of the
+    text); of rows that repeat a doc_id and its text, one.  Texts without words are groups by themselves.
+
+    Which rows these are is found on keys alone; the texts meet the keys once.
+    """
+    rows, known = classes(docs, threshold, width, trees, recall)
+    first = known.groupBy("label").agg(F.min("first").alias("x")).select("x.doc_id", "x.text_key")
+    first = first.unionByName(rows.where("node is null").select("doc_id", "text_key").distinct())
+    # a null doc_id as a value, with a mark; equal keys on both sides, so that rows are dealt out once for the join and for what repeats
+    keys = [common.fresh(docs, f"first_{x}") for x in ("doc", "none", "text")]
+
+    def values(text_key: Column) -> list[Column]:
+        doc = F.col("doc_id").cast("long")
+        return [F.coalesce(doc, F.lit(0)).alias(keys[0]), doc.isNull().alias(keys[1]), text_key.alias(keys[2])]
+
+    first = common.stash(first.select(*values(F.col("text_key"))), "first")
+    own = docs.select(*map(common.named, docs.columns), *values(F.xxhash64(F.col("text").cast("string"))))
+    return own.join(first, keys).dropDuplicates(keys).select(*map(common.named, docs.columns))
 
 
 def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, threshold: float, block_rows: int, block_bytes: int) -> DataFrame:
@@ -158,7 +218,7 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, t
     sizes = inside.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") * 8 / block_bytes)).alias("blocks"))
     # written, so that both sides of the join are dealt out for it and a large group's partition can be split
     sizes = common.stash(sizes, "sizes")
-    inside = common.stash(inside.join(sizes, "label").select("node", "first", "copies", "label", "blocks"), "inside")
+    inside = common.stash(inside.join(sizes, "label").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), "copies", "label", "blocks"), "inside")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
@@ -168,7 +228,7 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, t
             grams = pa.array([x.tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], grams], names=[*batch.schema.names[1:], "grams"]).filter(keep)
 
-    texts = docs.join(inside.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "node", "copies", "label", "blocks")
+    texts = docs.join(inside.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))).select("text", "node", "copies", "label", "blocks")
     sets = texts.mapInArrow(expand, "node binary, copies long, label binary, blocks long, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -178,7 +238,7 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int, t
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: tuple[list, list, list] = [], [], []
-        for group in sorted_groups(batches, keys):
+        for group in common.sorted_groups(batches, keys):
             node, own = group["node"].to_pylist(), group["own"].to_numpy()
             fresh = [i for i in range(len(node)) if not i or node[i] != node[i - 1]]  # rows that repeat a doc_id and its text
             node, own, copies = [node[i] for i in fresh], own[fresh], group["copies"].to_numpy()[fresh]
