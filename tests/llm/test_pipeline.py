@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from takewright.llm import mixing, registry, sampling, secrets, toxicity
@@ -51,9 +52,7 @@ def test_order_and_columns(stages):
 
 def test_toxic_documents_go(spark, folder, stages):
     _, before, after = stages[0]
-    from pyspark.sql import functions as F
-
-    net = toxicity.fit(*sampling.labelled(before, spark.read.parquet(f"{folder}/labels.parquet"), "toxic", F.lit(True), 1500))
+    net = sampling.fitted(*sampling.labelled(before, spark.read.parquet(f"{folder}/labels.parquet"), "toxic", F.lit(True), 1500), toxicity.fit)
     rows = before.collect()
     scores = toxicity.Scorer(net).score([r.text for r in rows])
     assert Counter(after.collect()) == Counter(r for r, s in zip(rows, scores, strict=True) if s < 0.7)
@@ -107,6 +106,19 @@ def test_all_is_packed(stages):
         assert sum(n for _, n in some) <= 2048
 
 
+@pytest.mark.parametrize("i", range(4))
+def test_clashing_columns_and_empty_tables(spark, folder, i):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id >= 190 or doc_id < 20")
+    for k in ("a.b", "_found_id", "toxicity", "secrets_spans", "first_doc", "mix_source", "score", "key", "label"):
+        docs = docs.withColumn(k, F.lit("own"))
+    docs = docs.unionByName(docs.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes)))
+    _, stage = corpus_pipeline.STAGES[i]
+    out = stage(spark, docs, folder)
+    assert out.columns == docs.columns
+    assert {r["a.b"] for r in out.collect()} <= {"own", None}
+    assert stage(spark, docs.limit(0), folder).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
