@@ -16,35 +16,39 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, fitted on labelled documents of the input, scores below the threshold."""
+    """Documents that the network, fitted on labelled documents of the input, scores below the threshold.
+
+    Null and wordless texts score 0 and stay, repeated rows stay each; where no label of both classes is there, all stay (the share of toxic
+    documents being below the threshold) and an empty table stays empty.
+    """
     labels = common.table(spark, sf_dir, "labels")
-    net = toxicity.fit(*sampling.labelled(docs, labels, "toxic", F.lit(True), 1500))
-    text = F.col("text").cast("string")
-    return toxicity.score(docs.withColumn("text", text), net, into="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    net = sampling.fitted(*sampling.labelled(docs, labels, "toxic", F.lit(True), 1500), toxicity.fit)
+    into = common.fresh(docs, "toxicity")
+    scored = toxicity.score(docs.withColumn("text", F.col("text").cast("string")), net, into=into)
+    return scored.where(F.col(into) < TOXIC).select(*map(common.named, docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a shingle similarity of 0.8 or more, the one with the smallest doc_id; of its repeated rows, one."""
-    links = jaccard.link(docs)
-    first = links.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(common.stash(first, "kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))).drop("_kept_id")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of documents linked by a shingle similarity of 0.8 or more, the one with the smallest doc_id (null first); of its repeated rows, one.
+
+    Texts without words, null ones too, are in no group and stay, one of each doc_id and text; an empty table stays empty.
+    """
+    return jaccard.keep_first(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by their kinds, and ``n_chars`` that of the new text."""
-    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    """Every document, its secrets replaced by their kinds, and ``n_chars`` that of the new text; null texts keep theirs, an empty table stays empty."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*map(common.named, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that the mix does not take goes."""
-    repeats = mixing.mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("_mix_repeats")).withColumnRenamed("doc_id", "_mix_id")
-    taken = docs.join(common.stash(repeats, "repeats"), F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))).where("_mix_repeats > 0")
-    return taken.withColumn("_mix_repeats", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_repeats")))).select(*docs.columns)
+    """Each document as often as the mix takes it; one that the mix does not take goes.  Null sources are a source, null texts have size 0; an empty table stays empty."""
+    return mixing.sample(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens; a null text is one piece, an empty table has none."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), capacity=2048)
 
 
