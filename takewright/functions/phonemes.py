@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .sequences import fold, js_round
 
 #: Spellings of French sounds, the first that fits counts; None is silent.
@@ -59,6 +62,11 @@ def weight(phone: str) -> float:
     return 1.25 if VOWEL.match(phone) else 0.72 if STOP.match(phone) else 1.05 if FRICATIVE.match(phone) else 1.0
 
 
+def weight_column(phone: Column) -> Column:
+    """``weight`` as a column expression."""
+    return F.when(phone.rlike("(?i)" + VOWEL.pattern), 1.25).when(phone.rlike(STOP.pattern), 0.72).when(phone.rlike(FRICATIVE.pattern), 1.05).otherwise(1.0)
+
+
 def intervals(phones: list[str], start: float, end: float) -> list[tuple[str, int, int]]:
     """Proportional parts of [start, end]; each rounded end starts the next, the last one is the end."""
     total, length, at, out = sum(map(weight, phones)), max(1, end - start), start, []

@@ -73,6 +73,11 @@ def prompt_defaults(words: Column) -> list[Column]:
     return [low.alias("min_ms"), high.alias("max_ms"), F.when(words > 26, "high").when(words > 14, "medium").otherwise("low").alias("difficulty")]
 
 
+def canonical_bounds(words: Column) -> list[Column]:
+    """Shortest and longest duration of a prompt of the built-in corpus, in ms."""
+    return [F.greatest(F.lit(1500).cast("long"), words * 230).alias("min_ms"), F.greatest(F.lit(6500).cast("long"), words * 740).alias("max_ms")]
+
+
 def infer_smile(tags: Column) -> Column:
     some = F.array(*map(F.lit, ["slight_smile", "professional_smile", "light_smile", "smile"]))
     return F.when(F.array_contains(tags, "audible_smile"), "audible").when(F.arrays_overlap(tags, some), "slight").otherwise("none")

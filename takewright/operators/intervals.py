@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -139,19 +139,19 @@ def word_at(words: DataFrame, times: DataFrame, key: str = "media_id") -> DataFr
     return found.select(key, "t", F.coalesce("idx", F.lit(-1).cast("long")).alias("idx"))
 
 
-def warp(times: DataFrame, anchors: DataFrame, key: str = "media_id") -> DataFrame:
+def warp(times: DataFrame, anchors: DataFrame, key: str = "media_id", keep: Sequence[str] = ()) -> DataFrame:
     """Piecewise-linear interpolation of ``t`` between anchors (source_ms, target_ms), clamped to the first and last: an as-of merge
-    for the anchor before and one for the anchor after."""
+    for the anchor before and one for the anchor after.  The columns ``keep`` of ``times`` stay."""
     a = anchors.select(key, F.col("source_ms").alias("t"), F.lit(0).alias("asked"), F.struct("source_ms", "target_ms").alias("a"))
     empty = F.lit(None).cast(a.schema["a"].dataType)
-    both = a.unionByName(times.select(key, "t", F.lit(1).alias("asked"), empty.alias("a")))
+    both = a.unionByName(times.select(key, "t", F.lit(1).alias("asked"), empty.alias("a"), *keep), allowMissingColumns=True)
     order = Window.partitionBy(key).orderBy("t", "asked")
     x = both.withColumn("low", F.last("a", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("high", F.first("a", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("asked = 1")
     low, high = F.coalesce("low", "high"), F.coalesce("high", "low")
     span = high["source_ms"] - low["source_ms"]
     part = F.when(span > 0, (F.col("t") - low["source_ms"]) / span).otherwise(F.lit(0.0))
-    return x.select(key, "t", js_round_int(low["target_ms"] + clamp(part, 0.0, 1.0) * (high["target_ms"] - low["target_ms"])).alias("warped_ms"))
+    return x.select(key, *keep, "t", js_round_int(low["target_ms"] + clamp(part, 0.0, 1.0) * (high["target_ms"] - low["target_ms"])).alias("warped_ms"))
 
 
 def increasing_anchors(anchors: DataFrame, key: str = "media_id") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.numbers import js_round
+from ..functions.numbers import finite, js_round
 from . import rules
+from .rules import MODES, headroom
 from .statistics import duplicate_groups
 
 
@@ -78,3 +81,38 @@ def failed_verdict(gates: DataFrame) -> DataFrame:
     from .analysis import take_verdict
 
     return gates.groupBy("take_id").agg(take_verdict(F.collect_list("status")).alias("verdict"))
+
+
+def recorded(takes: DataFrame, mode: str = "training") -> DataFrame:
+    """``takes`` with ``gates`` (id, status; 25 of them, in order), ``verdict``, ``rating``, ``best`` and ``room_tone_drift``.
+
+    Measured columns: peak, true_peak, lufs, rms, floor, snr, active, reverb, plosive, mouth, voiced, dc, clipping, sample_count, duration_ms; of the recording:
+    truncated, gain_limit, source_floor, room_tone, room_floor; of the prompt: min_ms, max_ms; of the text: transcript_source, transcript_status, words, phonemes, aligned.
+    The verdict is not that of all gates: those that judge the evidence, such as alignment, do not hold a take back.
+    """
+    active, snr, room = MODES[mode]
+    review = lambda bad: F.when(F.coalesce(bad, F.lit(False)), "review").otherwise("pass")
+    fail = lambda bad: F.when(bad, "fail").otherwise("pass")
+    c = F.col
+    measured = F.coalesce("source_floor", "floor")
+    drift = F.when(c("room_tone"), js_round(measured - F.coalesce(c("room_floor"), measured), 1))
+    noise, drifted = review(c("room_tone") & (F.coalesce(c("room_floor"), measured) > room)), review(drift > 6)
+    quiet = F.when(c("room_tone") & (noise == "pass") & (drifted == "pass"), "pass").otherwise("review")
+    heard = review(c("active") < active)
+    level = F.when((c("peak") <= -55) | (c("lufs") <= -60), "fail").otherwise(review((c("peak") < -34) | (c("lufs") < -42)))
+    status = {
+        "clipping": fail(c("clipping")), "capture_truncated": fail(F.coalesce("truncated", F.lit(False))), "signal_level": level, "headroom": headroom(c("true_peak")),
+        "input_gain": review(c("gain_limit").isin("insufficient_signal", "clipping")), "dc_offset": review(F.abs("dc") > 0.02), "speech_activity": heard,
+        "plosives": review(c("plosive") > 0.08), "mouth_noise": review(c("mouth") > 0.08), "reverb": review(c("reverb") > 0.65), "noise_floor": quiet, "snr": review(c("snr") < snr),
+        "duration": review((c("duration_ms") < c("min_ms")) | (c("duration_ms") > c("max_ms"))), "transcript_match": c("transcript_status"), "phoneme_alignment": review(~c("aligned")),
+        "audio_present": fail(c("sample_count") <= 0), "speech_detected": heard, "vad_valid": heard, "energy_valid": fail(finite("rms").isNull()), "noise_floor_valid": quiet,
+        "prosody_valid": F.when(c("voiced") > 0, "pass").otherwise("review"), "estimated_alignment_valid": fail(c("words") <= 0), "phoneme_sequence_valid": F.when(c("phonemes") > 0, "pass").otherwise("review"),
+        "browser_asr_consistent": c("transcript_status"), "corpus_consistent": F.lit("pass"),
+    }
+    stops = [status[g] == "fail" for g in ("capture_truncated", "clipping", "headroom", "signal_level")]
+    clean = [status[g] == "pass" for g in ("duration", "signal_level", "snr", "headroom", "dc_offset", "speech_activity", "plosives", "mouth_noise", "reverb")]
+    clean += [noise == "pass", drifted == "pass", (c("transcript_source") == "prompt_only") | (c("transcript_status") == "pass"), c("room_tone")]
+    verdict = F.when(reduce(Column.__or__, stops), "reject").when(reduce(Column.__and__, clean), "pass").otherwise("review")
+    gates = F.array(*(F.struct(F.lit(g).alias("id"), s.alias("status")) for g, s in status.items()))
+    rating = F.when(verdict == "pass", "keeper").when(verdict == "reject", "reject").otherwise("maybe")
+    return takes.withColumns({"gates": gates, "verdict": verdict, "rating": rating, "best": verdict == "pass", "room_tone_drift": drift})

@@ -20,7 +20,9 @@ SCENE = "CASE WHEN (reverb >= 0.07 AND active >= 0.08) OR (active - dc >= 0.16 A
 CLASS = "CASE WHEN value / 100 <= 0.35 THEN 'fast' WHEN value / 100 <= 0.8 THEN 'moderate' ELSE 'constrained' END"
 
 ROWS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
-    ("a03_prompt_minimum", DOC, lambda: corpus.prompt_defaults(X.count_words("text"))[0], f"CAST(greatest(900, floor(260 * len({TOKENS}) + 0.5)) AS BIGINT)"),
+    ("a03_prompt_minimum", DOC, lambda: corpus.canonical_bounds(X.count_words("text"))[0], f"CAST(greatest(1500, 230 * len({TOKENS})) AS BIGINT)"),
+    ("a03_prompt_maximum", DOC, lambda: corpus.canonical_bounds(X.count_words("text"))[1], f"CAST(greatest(6500, 740 * len({TOKENS})) AS BIGINT)"),
+    ("q02_prompt_minimum", DOC, lambda: corpus.prompt_defaults(X.count_words("text"))[0], f"CAST(greatest(900, floor(260 * len({TOKENS}) + 0.5)) AS BIGINT)"),
     ("q02_prompt_difficulty", DOC, lambda: corpus.prompt_defaults(X.count_words("text"))[2], f"CASE WHEN len({TOKENS}) > 26 THEN 'high' WHEN len({TOKENS}) > 14 THEN 'medium' ELSE 'low' END"),
     ("q04_smile", ("prompts", ["prompt_id"]), lambda: corpus.infer_smile(F.array("intent", F.when(F.col("prompt_id") % 4 == 0, "smile"))), "CASE WHEN prompt_id % 4 = 0 THEN 'slight' ELSE 'none' END"),
     ("q05_pause_style", ("prompts", ["prompt_id"]), lambda: corpus.infer_pause_style(F.col("pace"), F.col("text")), "CASE WHEN pace IN ('fast', 'medium_fast') THEN 'urgent' WHEN contains(lower(text), 'pause') THEN 'thoughtful' ELSE 'structured' END"),
@@ -139,12 +141,6 @@ def full_reconciliation(t: Tables) -> DataFrame:
     return a.join(b, "prompt_id", "full").select("prompt_id", F.col("b").isNull().alias("unknown"), F.col("a").isNull().alias("unused"))
 
 
-@query("d22_merge_hypotheses", "SELECT user_id, result, arg_max(event_id, event_id) AS event_id, min(CASE WHEN final THEN event_id END) AS first_final FROM (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS result, event_type = 'purchase' AS final FROM events) GROUP BY user_id, result")
-def merge_hypotheses(t: Tables) -> DataFrame:
-    x = t.events.select("user_id", "event_id", (F.get_json_object("props", "$.k").cast("long") % 4).alias("result"), (F.col("event_type") == "purchase").alias("final"))
-    return x.groupBy("user_id", "result").agg(F.max("event_id").alias("event_id"), F.min(F.when(F.col("final"), F.col("event_id"))).alias("first_final"))
-
-
 @query("o06_artifacts", "SELECT path, 'provenance' AS type, byte_size, sha256 FROM files")
 def artifacts(t: Tables) -> DataFrame:
     return package.artifacts(t.files.select("path", F.col("text").alias("content"))).select("path", "type", "byte_size", "sha256")
@@ -174,7 +170,7 @@ def time_anchors(t: Tables) -> DataFrame:
     return increasing_anchors(x)
 
 
-@query("i20_rescaled_words", "SELECT media_id, idx, CAST(floor(1000 + start_ms / CAST(greatest(whole, 1) AS DOUBLE) * 5000 + 0.5) AS BIGINT) AS start_ms FROM (SELECT *, max(end_ms) OVER (PARTITION BY media_id) AS whole FROM word_timings)")
+@query("i11_rescaled_words", "SELECT media_id, idx, CAST(floor(1000 + start_ms / CAST(greatest(whole, 1) AS DOUBLE) * 5000 + 0.5) AS BIGINT) AS start_ms FROM (SELECT *, max(end_ms) OVER (PARTITION BY media_id) AS whole FROM word_timings)")
 def rescaled_words(t: Tables) -> DataFrame:
     from ..operators.intervals import scale_boundary
 

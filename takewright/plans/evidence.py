@@ -84,7 +84,7 @@ def word_progress(t: Tables) -> DataFrame:
     return t.word_timings.where("end_ms >= 5000").groupBy("media_id").agg(F.min("idx").alias("idx"))
 
 
-@query("d19_acoustic_by_index", "SELECT w.media_id, w.idx, coalesce(a.start_ms + 20, w.start_ms) AS start_ms FROM word_timings w LEFT JOIN (SELECT * FROM word_timings WHERE idx % 3 = 0) a ON w.media_id = a.media_id AND w.idx = a.idx")
+@query("d19_acoustic_by_index", "SELECT media_id, idx, CASE WHEN idx % 3 = 0 THEN start_ms + 20 ELSE start_ms END AS start_ms FROM word_timings")
 def acoustic_by_index(t: Tables) -> DataFrame:
     heard = t.word_timings.where("idx % 3 = 0").select("media_id", "idx", (F.col("start_ms") + 20).alias("heard"))
     return t.word_timings.join(heard, ["media_id", "idx"], "left").select("media_id", "idx", F.coalesce("heard", "start_ms").alias("start_ms"))

@@ -48,7 +48,7 @@ SCALARS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("e18_slug", DOC, lambda: X.slug("text"), r"substring(regexp_replace(regexp_replace(" + FOLD.format("text") + r", '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48)"),
     ("e19_sanitize", PAGE, lambda: X.sanitize("url"), "regexp_replace(url, '[^a-zA-Z0-9._-]+', '-', 'g')"),
     ("e20_recording_file_name", PAGE, lambda: X.recording_file_name(F.col("url"), F.col("page_id").cast("string")), "regexp_replace(url, '[^a-zA-Z0-9._-]+', '-', 'g') || '__' || page_id || '.wav'"),
-    ("e21_emphasis", DOC, lambda: F.array_join(X.emphasis_hints("text"), "|"), r"(SELECT string_agg(w, '|' ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT list_filter(regexp_split_to_array(regexp_replace(text, '[^\p{L}\p{N}\s''-]', ' ', 'g'), '\s+'), lambda x: length(x) >= 5) AS ws)) GROUP BY w ORDER BY i LIMIT 3))"),
+    ("e21_emphasis", DOC, lambda: F.array_join(X.emphasis_hints("text"), "|"), r"(SELECT coalesce(string_agg(w, '|' ORDER BY i), '') FROM (SELECT w, min(i) AS i FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT list_filter(regexp_split_to_array(regexp_replace(text, '[^\p{L}\p{N}\s''-]', ' ', 'g'), '\s+'), lambda x: length(x) >= 5) AS ws)) GROUP BY w ORDER BY i LIMIT 3))"),
     ("e22_phonetic_tags", DOC, lambda: F.array_join(X.phonetic_coverage(F.col("lang"), "text"), "|"), "concat_ws('|', lang || '_custom_text'" + "".join(f", CASE WHEN regexp_matches({FOLD.format('text')}, '{p}') THEN lang || '_{k}' END" for k, p in (("vowels", "[aeiouy]"), ("sibilants", "[szcj]"), ("plosives", "[pbtdkg]"), ("nasals", "[mn]"))) + ")"),
     ("e23_letter_coverage", DOC, lambda: F.concat_ws(":", X.letter_coverage("text")["letters"], X.letter_coverage("text")["vowels"], F.array_join(X.letter_coverage("text")["rare"], "")), "concat_ws(':', CAST(" + js("len(list_distinct(string_split(regexp_replace(" + FOLD.format("text") + ", '[^a-z]', '', 'g'), ''))) / 26.0 * 100") + " AS BIGINT), CAST(" + js("len(list_distinct(string_split(regexp_replace(" + FOLD.format("text") + ", '[^aeiouy]', '', 'g'), ''))) / 6.0 * 100") + " AS BIGINT), array_to_string(list_sort(list_distinct(string_split(regexp_replace(" + FOLD.format("text") + ", '[^qwxz]', '', 'g'), ''))), ''))"),
     ("e24_observed_tokens", DOC, lambda: F.array_join(X.observed_tokens("text"), "|"), r"array_to_string(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’.\-][\p{L}\p{N}]+)*'), '|')"),

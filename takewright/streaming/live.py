@@ -7,8 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from ..functions.sequences import merge_transcripts
 
 
 def clip(x: float, low: float, high: float) -> float:
@@ -70,6 +76,50 @@ class RuntimeProfile:
         return state | {kind: float(np.floor(new * 1000 + 0.5) / 1000), "n_" + kind: state["n_" + kind] + 1}
 
 
+class Hypotheses:
+    """A recogniser's hypotheses by (result, alternative).
+
+    An event tells all results from ``offset`` on, each as (final, [(text, confidence), …]): what is held of these is replaced, what is held below
+    the offset stays.  A hypothesis that was final and is so again keeps its first time; blank texts are none, and a confidence below 0 or not finite is unknown.
+    """
+
+    @staticmethod
+    def start() -> dict:
+        return {}
+
+    @staticmethod
+    def step(state: dict, offset: int, results: list, at: float) -> dict:
+        held = {k: v for k, v in state.items() if int(k.split(":")[0]) < offset}
+        for i, (final, alternatives) in enumerate(results):
+            for j, (text, confidence) in enumerate(alternatives):
+                if not text or not text.strip():
+                    continue
+                key = f"{offset + i}:{j}"
+                old = state.get(key)
+                known = confidence is not None and np.isfinite(confidence) and confidence >= 0
+                held[key] = {"text": text.strip(), "confidence": float(confidence) if known else None, "final": bool(final), "at": old["at"] if old and old["final"] and final else at}
+        return held
+
+
+class Session:
+    """A recognition session: the text committed so far and the current one; a commit appends the current final text, less what both share."""
+
+    @staticmethod
+    def start() -> dict:
+        return {"committed": "", "display": "", "final": ""}
+
+    @staticmethod
+    def step(state: dict, display: str, final: str, commits: bool) -> dict:
+        if commits:
+            return {"committed": merge_transcripts(state["committed"], final), "display": "", "final": ""}
+        return state | {"display": display, "final": final}
+
+    @staticmethod
+    def texts(state: dict) -> tuple[str, str]:
+        """What is shown, and what is final."""
+        return merge_transcripts(state["committed"], state["display"]), merge_transcripts(state["committed"], state["final"])
+
+
 class Recognition:
     """Hypotheses of a recogniser by (result, alternative): events replace what they repeat; a final one keeps its first time."""
 
@@ -106,20 +156,35 @@ def frame_pace(state: dict | None, gap_ms: float) -> dict:
     return s
 
 
-def fold_groups(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], dict], step: Callable, show: Callable[[dict, tuple], list[tuple]], schema: str) -> DataFrame:
-    """Batch form: each key's rows in order through ``step``; ``show`` gives rows after each."""
-    names = [f.split()[0] for f in schema.split(", ")][1:]
+def fold_groups(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], dict], step: Callable, show: Callable[[dict, tuple], list[tuple]], schema: str, last: bool = False) -> DataFrame:
+    """Batch form: each key's rows in order through ``step``; ``show`` gives rows after each, or with ``last`` after the key's last alone.
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = start(), []
-        for row in pdf.sort_values(order)[columns].itertuples(index=False, name=None):
-            state = step(state, *row)
-            out += show(state, row)
-        result = pd.DataFrame(out, columns=names)
-        result.insert(0, key, pdf[key].iloc[0])
-        return result
+    Rows come sorted by key, and a worker holds one state and one batch of them, however many a key has.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def table(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return df.groupBy(key).applyInPandas(each, schema)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # key, state and last row
+        for batch in batches:
+            out: list[tuple] = []
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, *columns)), strict=True):
+                if held is None or held[0] != k:
+                    if held is not None and last:
+                        out += [(held[0], *x) for x in show(*held[1:])]
+                    held = (k, start(), ())
+                held = (k, step(held[1], *row), tuple(row))
+                if not last:
+                    out += [(k, *x) for x in show(*held[1:])]
+            yield from table(out)
+        if held is not None and last:
+            yield from table([(held[0], *x) for x in show(*held[1:])])
+
+    needed = list(dict.fromkeys([key, *order, *columns]))
+    return df.select(*needed).repartition(key).sortWithinPartitions(key, *order).mapInArrow(each, schema)
 
 
 def fold_stream(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], dict], step: Callable, show: Callable[[dict, tuple], list[tuple]], schema: str) -> DataFrame:
@@ -151,6 +216,40 @@ def activity(frames: DataFrame, ms: float = 1024 / 48, stream: bool = False) ->
     return fold(frames, "media_id", ["idx"], ["idx", "level"], SpeechActivity.start, step, show, ACTIVITY)
 
 
+HYPOTHESES = "user_id long, result int, alternative int, text string, confidence double, final boolean, captured_at long"
+
+
+def hypotheses(events: DataFrame, stream: bool = False) -> DataFrame:
+    """Each user's hypotheses after the last event (user_id, event_id, offset, results), whose time is its event_id; as a stream, after each."""
+    unpacked = lambda rows: [(r["final"], [(a["transcript"], a["confidence"]) for a in r["alternatives"] or []]) for r in rows or []]
+    step = lambda s, i, offset, results: Hypotheses.step(s, offset, unpacked(results), i)
+    show = lambda s, row: [(*map(int, k.split(":")), h["text"], h["confidence"], h["final"], int(h["at"])) for k, h in s.items()]
+    columns = ["event_id", "offset", "results"]
+    if stream:
+        return fold_stream(events, "user_id", ["event_id"], columns, Hypotheses.start, step, show, HYPOTHESES)
+    return fold_groups(events, "user_id", ["event_id"], columns, Hypotheses.start, step, show, HYPOTHESES, last=True)
+
+
+def transcript_of(results: Column, final: bool) -> Column:
+    """The first alternative with a text of each result, or of each final one, joined by a space."""
+    some = F.filter(results, lambda r: r["final"]) if final else results
+    spoken = F.transform(some, lambda r: F.get(F.filter(r["alternatives"], lambda a: F.trim(a["transcript"]) != ""), F.lit(0))["transcript"])
+    return F.trim(F.array_join(F.filter(spoken, lambda t: t.isNotNull()), " "))
+
+
+SESSION = "user_id long, display string, final string"
+
+
+def sessions(updates: DataFrame, stream: bool = False) -> DataFrame:
+    """Each user's texts after the last of ``updates`` (user_id, event_id, display, final, commits); as a stream, after each."""
+    step = lambda s, i, display, final, commits: Session.step(s, display, final, commits)
+    show = lambda s, row: [Session.texts(s)]
+    columns = ["event_id", "display", "final", "commits"]
+    if stream:
+        return fold_stream(updates, "user_id", ["event_id"], columns, Session.start, step, show, SESSION)
+    return fold_groups(updates, "user_id", ["event_id"], columns, Session.start, step, show, SESSION, last=True)
+
+
 PROFILE = "user_id long, event_id long, transcription double, separation double"
 
 
@@ -164,6 +263,4 @@ def runtime_profiles(observations: DataFrame, stream: bool = False) -> DataFrame
 
 def count_batches(samples: DataFrame, key: str, seq: str, size: int = 1024) -> DataFrame:
     """Rows grouped by every ``size`` of a sequence number: a tumbling window of counts."""
-    from pyspark.sql import functions as F
-
     return samples.groupBy(key, F.floor(F.col(seq) / size).cast("long").alias("batch")).agg(F.count("*").alias("n"))
