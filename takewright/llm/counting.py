@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,11 +18,10 @@ from .tokens import Encoder
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
-def frequent(docs: DataFrame, tokenizer: str, size: int, held: int = 60_000, told: int = 8192) -> dict[str, int]:
-    """Lengths of the ``size`` most frequent chunks of all texts.
+def frequent(docs: DataFrame, tokenizer: str, size: int, sample_rows: int) -> dict[str, int]:
+    """Lengths of the ``size`` most frequent chunks of about ``sample_rows`` texts, chosen by hash.
 
-    Each task counts its chunks, forgetting rare ones whenever it holds more than ``held``, and tells ``told`` of them; only these
-    summaries are added up.  Which chunks are found decides the speed alone, never a count.
+    Which chunks are found decides the speed alone, never a count.  One task reads the sample and tells the table: no chunk is shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,16 +29,13 @@ def frequent(docs: DataFrame, tokenizer: str, size: int, held: int = 60_000, tol
         for batch in common.slices(batches):
             for text in batch.column("text").to_pylist():
                 seen.update(encoder.chunks(text or ""))
-            if len(seen) > held:
-                seen = Counter(dict(seen.most_common(held // 2)))
-        keep = [(x, n) for x, n in seen.most_common(told) if len(x) <= 64 and "\0" not in x]
-        if keep:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.string()), pa.array([n for _, n in keep], pa.int64())], names=["chunk", "n"])
+        found = [x for x, _ in heapq.nsmallest(size, ((x, -n) for x, n in seen.items() if len(x) <= 64 and "\0" not in x), key=lambda e: (e[1], e[0]))]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(encoder.lengths(found), pa.int64())], names=["chunk", "n"])
 
-    told_rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "chunk string, n long")
-    top = told_rows.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(size)
-    found = [r["chunk"] for r in top.collect()]
-    return dict(zip(found, Encoder(tokenizer).lengths(found), strict=True))
+    every = max(1, docs.count() // sample_rows)
+    # rows without a text have no chunk; copies of one text are told apart by their documents
+    some = docs.where((F.octet_length("text") > 0) & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(every)) == 0)).select("text")
+    return {r["chunk"]: r["n"] for r in some.repartition(1).mapInArrow(count, "chunk string, n long").collect()}
 
 
 class Frequent:
@@ -53,15 +50,15 @@ class Frequent:
         return {w: n for w, n in zip(words, self.lengths.tolist(), strict=True) if n < 255}
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, size: int = 1 << 15, cached: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, size: int = 1 << 15, cached: int = 300_000, sample_rows: int = 4096) -> DataFrame:
     """Bytes and tokens of every text, as the tokenizer's library counts them without added tokens.
 
-    Chunks between which no token reaches are looked up in a broadcast table of at most ``size`` frequent ones, then in the
-    worker's cache of at most ``cached`` others; what neither knows is encoded, a batch at a time.  No chunk is ever shuffled.
-    Null text: 0 bytes, 0 tokens.  Repeated rows each keep their row; other columns are ignored.
+    Chunks between which no token reaches are looked up in a broadcast table of at most ``size`` frequent ones (of a sample of about
+    ``sample_rows`` texts), then in the worker's cache of at most ``cached`` others; what neither knows is encoded, a batch at a time.  No chunk is ever shuffled.
+    Null text: 0 bytes, 0 tokens.  Repeated rows each keep their row; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = docs.sparkSession.sparkContext.broadcast(Frequent(frequent(docs, tokenizer, size)))
+    first = docs.sparkSession.sparkContext.broadcast(Frequent(frequent(docs, tokenizer, size, sample_rows)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table, cache = Encoder(tokenizer), first.value.table(), {}
