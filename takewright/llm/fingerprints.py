@@ -54,9 +54,11 @@ def check_of(key: np.ndarray) -> np.ndarray:
 
 
 def cells_of(digest: np.ndarray, cells: int) -> np.ndarray:
-    """The cell of each digest in each part (PARTS, n)."""
-    part, h = cells // PARTS, common.mix64(digest ^ np.uint64(0x5EED))
-    return np.stack([(((h >> np.uint64(21 * j)) & np.uint64(0x1FFFFF)) % np.uint64(part)).astype(np.int64) + j * part for j in range(PARTS)])
+    """The cell of each digest in each part (PARTS, n); other places for another number of cells."""
+    part, h = cells // PARTS, common.mix64(digest ^ np.uint64(0x5EED + cells))
+    # 21 bits choose among few cells well; among many, each part has a hash of its own
+    bits = [(h >> np.uint64(21 * j)) & np.uint64(0x1FFFFF) if part < 1 << 15 else common.mix64(h ^ np.uint64(j + 1)) for j in range(PARTS)]
+    return np.stack([(x % np.uint64(part)).astype(np.int64) + j * part for j, x in enumerate(bits)])
 
 
 def sketch(digest: np.ndarray, text: np.ndarray, count: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,40 +70,59 @@ def sketch(digest: np.ndarray, text: np.ndarray, count: int, cells: int) -> tupl
     return n.reshape(count, cells), key.reshape(count, cells)
 
 
-def peel(n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From differences of sketches: digests in the first alone and in the second alone (numbers), and whether all were recovered.
+def peel(n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From differences of sketches: the recovered digests with their rows and signs (1: in the first alone, -1: in the second alone), and of
+    each row whether all were recovered.
 
     A cell that passes its check by chance would put in what it takes out, again and again; so a sketch from which more
     digests come than it has cells has failed.
     """
     n, key = n.copy(), key.copy()
     rows, cells = n.shape
-    found = np.zeros((2, rows), np.int64)
+    count = np.zeros(rows, np.int64)
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     while True:
-        sound = found.sum(axis=0) <= cells
+        sound = count <= cells
         row, cell = np.nonzero((np.abs(n) == 1) & sound[:, None])
         k = key[row, cell]
         good = check_of(k >> np.uint64(16)) == k & np.uint64(0xFFFF)
         good &= (cells_of(k, cells)[cell // (cells // PARTS), np.arange(len(k))] == cell) if len(k) else good
         row, cell, k = row[good], cell[good], k[good]
         if not len(row):
-            return found[0], found[1], sound & (n == 0).all(axis=1) & (key == 0).all(axis=1)
+            whole = sound & (n == 0).all(axis=1) & (key == 0).all(axis=1)
+            return *(np.concatenate(x) for x in zip(*found, strict=True)), whole
         sign = n[row, cell]
         order = np.lexsort((k, row))
         fresh = order[np.r_[True, (k[order][1:] != k[order][:-1]) | (row[order][1:] != row[order][:-1])]]
         row, k, sign = row[fresh], k[fresh], sign[fresh]
-        found[0] += np.bincount(row[sign > 0], minlength=rows)
-        found[1] += np.bincount(row[sign < 0], minlength=rows)
+        found.append((row, k, sign))
+        count += np.bincount(row, minlength=rows)
         for at in cells_of(k, cells):
             np.subtract.at(n, (row, at), sign)
             np.bitwise_xor.at(key, (row, at), k)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], count: int) -> np.ndarray:
-    """Jaccard index of the paragraphs of text i of ``a`` and text i of ``b``: the sketches are subtracted and peeled; where that
-    fails, again with four times the cells."""
-    out, left, cells = np.ones(count), np.arange(count), CELLS
-    total = [np.bincount(x[1], minlength=count) for x in (a, b)]
+def near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard indices of the paragraphs of texts from their sketches alone, and of which they could be had: one is subtracted from the other and peeled.
+
+    Each digest counts in PARTS cells, so that the counts say how many there are; those not recovered are in both.
+    """
+    row, _, sign, good = peel(a[0] - b[0], a[1] ^ b[1])
+    only_a, only_b = (np.bincount(row[sign == s], minlength=len(good)) for s in (1, -1))
+    shared = a[0].sum(axis=1) // PARTS - only_a
+    return np.where(shared + only_a + only_b > 0, shared / np.maximum(shared + only_a + only_b, 1), 1.0), good
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], count: int, most: int = 8) -> np.ndarray:
+    """``near`` of text i of ``a`` and text i of ``b`` (digests, numbers of texts): by their fingerprints of CELLS cells; where too much differs to be peeled, by
+    larger ones of both texts, of four times as many cells as before.
+
+    A sketch of twice as many cells as there are digests fails once in a great while, where two digests share all their cells; in the next, their cells are
+    others.  What ``most`` rounds beyond that size have not told (the chance is below 1e-30) would count as unlike.
+    """
+    out, left, cells = np.zeros(count), np.arange(count), CELLS
+    total = sum(np.bincount(x[1], minlength=count) for x in (a, b))
+    tries = np.zeros(count, np.int64)
     while len(left):
         where = np.full(count, -1)
         where[left] = np.arange(len(left))
@@ -109,25 +130,34 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
         for digest, text in (a, b):
             mine = where[text] >= 0
             parts.append(sketch(digest[mine], where[text[mine]], len(left), cells))
-        only_a, only_b, good = peel(parts[0][0] - parts[1][0], parts[0][1] ^ parts[1][1])
-        common_ = total[0][left] - only_a
-        out[left] = np.where(common_ + only_a + only_b > 0, common_ / np.maximum(common_ + only_a + only_b, 1), 1.0)
+        value, good = near(*parts)
+        out[left] = np.where(good, value, 0.0)
+        tries[left] += cells > 2 * total[left]
         left, cells = left[~good], cells * 4
-        # digests that collide can never be told apart by any sketch
-        for i in left[cells > 16 * (total[0] + total[1])[left] + 96]:
-            both = len(np.intersect1d(a[0][a[1] == i], b[0][b[1] == i]))
-            out[i] = both / (total[0][i] + total[1][i] - both)
-        left = left[cells <= 16 * (total[0] + total[1])[left] + 96]
+        left = left[tries[left] < most]
     return out
 
 
 def strings(digest: np.ndarray, text: np.ndarray, count: int) -> list[str]:
-    """Each text's sketch of CELLS cells (counts modulo 2^16, sums) as base64."""
+    """Each text's sketch of CELLS cells (32-bit counts, 64-bit sums) as base64."""
     n, key = sketch(digest, text, count, CELLS)
-    raw = np.concatenate([n.astype("<u2").view(np.uint8), key.astype("<u8").view(np.uint8)], axis=1)
+    raw = np.concatenate([n.astype("<u4").view(np.uint8), key.astype("<u8").view(np.uint8)], axis=1)
     return [base64.b64encode(r.tobytes()).decode() for r in raw]
 
 
+def read(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches from what ``strings`` made: ``near(read(x), read(y))`` compares texts of which only the fingerprints are there."""
+    raw = np.frombuffer(b"".join(map(base64.b64decode, some)), np.uint8).reshape(len(some), 12 * CELLS)
+    return raw[:, : 4 * CELLS].copy().view("<u4").astype(np.int64), raw[:, 4 * CELLS :].copy().view("<u8").astype(np.uint64)
+
+
+def recovered(a: list[str], b: list[str]) -> list[tuple[set[int], set[int]] | None]:
+    """For versions of texts by their fingerprints: the digests of paragraphs in the first alone and in the second alone, or None where too many differ."""
+    x, y = read(a), read(b)
+    row, digest, sign, good = peel(x[0] - y[0], x[1] ^ y[1])
+    return [({int(d) for d in digest[(row == i) & (sign == 1)]}, {int(d) for d in digest[(row == i) & (sign == -1)]}) if ok else None for i, ok in enumerate(good)]
+
+
 def with_next(docs: DataFrame, rows: int = 1500, most: int = 20_000) -> DataFrame:
     """Documents cut into ranges of doc_id of about ``rows`` rows, each with a copy of the first document after it.
 
@@ -157,6 +187,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     descending order of doc_id; after the last comes the first.  Returns ``doc_id``, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next`` (to the next document's fingerprint).
 
+    Likenesses are those of the fingerprints, subtracted and peeled, or of larger ones of the same texts where too much differs for theirs (``likeness``).
     Null text counts as empty; two texts without paragraphs have likeness 1.  A null doc_id comes last, rows of one doc_id in the
     order of a hash of their texts.  An empty table gives an empty result; other columns are ignored.
     """
