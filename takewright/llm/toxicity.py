@@ -180,11 +180,11 @@ def fit(sample: list[tuple[str, int]], prior: float, width: int = 32, stride: in
     vocab.setdefault("", len(vocab))
     g = grams(list(vocab))
     weight = np.array([(1 - net.prior) / max(1, (y == 0).sum()), net.prior / max(1, (y == 1).sum())]) * len(y)
-    parts = np.concatenate([g["word"][:, None], g["prefix"], g["four"]], axis=1)
     for name in ("word0", "word1"):
         net.tables[name] = np.zeros(BUCKETS, np.float32)
     for d, label in zip(docs, y, strict=True):
-        seen = np.unique(parts[np.unique(d)])
+        here = np.unique(d)
+        seen = np.unique(np.concatenate([g["word"][here], g["prefix"][here].ravel(), g["four"][here].ravel()]))
         net.tables[f"word{label}"][seen[seen >= 0]] += 1
     # counts are those of the sample, so its own share of label 1 is their prior
     own_prior, net.prior = net.prior, float(np.clip((y == 1).mean(), 1e-3, 1 - 1e-3))
@@ -192,9 +192,21 @@ def fit(sample: list[tuple[str, int]], prior: float, width: int = 32, stride: in
     scale = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     net.p = {"chars": scale(EMBEDDED, CHAR) * 8, "own": scale(EMBEDDED, OWN) * 4, "wx": scale(INPUTS, 6 * HIDDEN), "uf": scale(HIDDEN, 3 * HIDDEN), "ub": scale(HIDDEN, 3 * HIDDEN), "wa": scale(2 * HIDDEN, HIDDEN), "va": scale(HIDDEN), "wo": scale(2 * HIDDEN), "bo": np.zeros(1, np.float32)}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    ids = np.concatenate([d + label * len(vocab) for d, label in zip(docs, y, strict=True)])
+    # words by the label of the text that they stand in: inputs are made for those alone
+    used, ids = np.unique(np.concatenate([d + label * len(vocab) for d, label in zip(docs, y, strict=True)]), return_inverse=True)
+    word, ids = (used % len(vocab)).astype(np.int32), ids.astype(np.int32)
+    split = int(np.searchsorted(used, len(vocab)))
+
+    def made() -> np.ndarray:
+        out = np.empty((len(word), INPUTS), np.float32)
+        for label, (a, b) in enumerate(((0, split), (split, len(word)))):
+            for at in range(a, b, BLOCK):
+                some = word[at : min(at + BLOCK, b)]
+                out[at : at + len(some)] = net.inputs({k: v[some] for k, v in g.items()}, label)
+        return out
+
     text, start, length = net.windows([len(d) for d in docs])
-    inputs = np.concatenate([net.inputs(g, 0), net.inputs(g, 1)])
+    inputs = made()
     known = inputs[ids, :3].max(axis=1) if len(ids) else np.zeros(0)
     padded = np.r_[known, np.full(width, -9.0)]
     steps = np.arange(width)[:, None]
@@ -202,8 +214,8 @@ def fit(sample: list[tuple[str, int]], prior: float, width: int = 32, stride: in
     step = 0
     for epoch in range(epochs):
         if epoch:
-            inputs = np.concatenate([net.inputs(g, 0), net.inputs(g, 1)])
-            score = net.score_windows((inputs @ net.p["wx"]).astype(np.float32), ids, start, length)
+            inputs = made()
+            score = net.score_windows(inputs @ net.p["wx"], ids, start, length)
         order = np.lexsort((-score, text))
         rank = np.arange(len(text)) - np.searchsorted(text, text)
         ranks = np.empty(len(text), np.int64)
@@ -215,10 +227,9 @@ def fit(sample: list[tuple[str, int]], prior: float, width: int = 32, stride: in
         size = int(np.clip(len(chosen) // 24, 16, 256))  # small samples need as many steps
         for at in range(0, len(chosen), size):
             step += 1
-            _train(net, moment, g, ids, inputs, chosen[at : at + size], text, start, length, y, len(vocab), rate, step)
+            descend(net, moment, gradients(net, g, ids, inputs, chosen[at : at + size], text, start, length, y, word), rate, step)
     # the score of a text from figures of its windows, weighed so that label 1 has the share it has outside the sample
-    inputs = np.concatenate([net.inputs(g, 0), net.inputs(g, 1)])
-    fair = net.score_windows((inputs @ net.p["wx"]).astype(np.float32), ids, start, length)
+    fair = net.score_windows(made() @ net.p["wx"], ids, start, length)
     x = net.figures(fair, text, len(docs))
     net.head = logistic(x, y, weight[y])
     net.prior = own_prior
@@ -238,14 +249,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def _train(net: Network, moment: dict, g: dict, ids: np.ndarray, inputs: np.ndarray, chosen: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.ndarray, y: np.ndarray, vocab: int, rate: float, step: int) -> None:
-    """One step of Adam on some windows, by back-propagation through time."""
+def gradients(net: Network, g: dict, ids: np.ndarray, inputs: np.ndarray, chosen: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.ndarray, y: np.ndarray, word: np.ndarray) -> dict[str, np.ndarray]:
+    """Slopes of the mean cross-entropy of some windows, by back-propagation through time."""
     p, steps = net.p, np.arange(net.width)[:, None]
     mask = (steps < length[chosen]).astype(np.float32)
     at = ids[np.minimum(start[chosen] + steps, len(ids) - 1)]
     some, inverse = np.unique(at, return_inverse=True)
     inverse = inverse.reshape(at.shape)
-    pick = some % vocab
+    pick = word[some]
     x = inputs[some]
     x[:, 3 : 3 + CHAR] = mean_of(p["chars"], g["three"][pick])
     x[:, 3 + CHAR : -1] = p["own"][g["own"][pick]]
@@ -284,13 +295,18 @@ def _train(net: Network, moment: dict, g: dict, ids: np.ndarray, inputs: np.ndar
     each = dx[:, None, 3 : 3 + CHAR] / np.maximum(have.sum(axis=1), 1)[:, None, None]
     np.add.at(grad["chars"], three[have], np.broadcast_to(each, (*three.shape, CHAR))[have])
     np.add.at(grad["own"], g["own"][pick], dx[:, 3 + CHAR : -1])
-    for k in p:
+    return grad
+
+
+def descend(net: Network, moment: dict, grad: dict[str, np.ndarray], rate: float, step: int) -> None:
+    """One step of Adam."""
+    for k, p in net.p.items():
         m, v = moment[k]
         m *= 0.9
         m += 0.1 * grad[k]
         v *= 0.98
         v += 0.02 * grad[k] ** 2
-        p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-7)
+        p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-7)
 
 
 class Scorer:
