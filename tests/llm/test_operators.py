@@ -107,7 +107,8 @@ def test_emptiest_sequences_are_packed_again(seed):
 
 
 def test_token_counts(docs, empty, texts, library):
-    found = Counter(map(tuple, counting.count_tokens(docs, BPE, size=50, cached=20).collect()))
+    counted = counting.count_tokens(docs, BPE, size=50, cached=20, sample_rows=10)
+    found = Counter(map(tuple, counted.collect()))
     assert found == Counter((d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in texts)
     assert counting.count_tokens(empty, BPE).count() == 0
 
@@ -241,7 +242,29 @@ def test_substring_dedup(docs, empty, texts):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         wanted[d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
     assert Counter(map(tuple, substrings.dedup(docs).collect())) == wanted
+    assert Counter(map(tuple, substrings.dedup(docs, shortest=3).collect())) == wanted
     assert substrings.dedup(empty).count() == 0
+    assert substrings.lengths(20, 5) == [5, 10, 20]
+    assert substrings.lengths(30, 4) == [4, 8, 16, 30]
+    assert substrings.lengths(3, 5) == [3]
+
+
+@pytest.mark.parametrize("length", [1, 4, 7, 13])
+def test_substrings_of_any_length(spark, length):
+    rng = np.random.default_rng(length)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c"], rng.integers(0, 60)))) for i in range(30)]
+    first: dict = {}
+    wanted = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - length + 1):
+            first.setdefault(tuple(w[i : i + length]), (d, i))
+    for d, t in rows:
+        w = t.split()
+        gone = {j for i in range(len(w) - length + 1) if first[tuple(w[i : i + length])] != (d, i) for j in range(i, i + length)}
+        wanted[d] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    found = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length, texts=True, shortest=2).collect()
+    assert {r.doc_id: r.kept for r in found} == wanted
 
 
 def test_fingerprints(docs, empty, texts):
@@ -251,26 +274,55 @@ def test_fingerprints(docs, empty, texts):
         assert 0 <= r.near_edited <= 1
         assert 0 <= r.near_next <= 1
     assert sum(map(len, found.values())) == len(texts)
-    once = sorted(((d, t or "") for d, t in texts if d is not None and d < 20), reverse=True)
-    for (d, t), (_, following) in zip(once, once[1:], strict=False):
-        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-        assert found[d][0].n_chars == len(t)
-        assert found[d][0].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert found[d][0].near_edited > found[d][0].near_next
+    hashes = fingerprints.common.WordHashes()
+    digest = lambda t: fingerprints.digests([t], hashes)[0]
+    # rows of one doc_id lie in the order of a hash; those with one row before and after are told by brute force, the first after the last too
+    times = Counter(d for d, _ in texts)
+    row = sorted(((d is not None, d or 0), t or "") for d, t in texts)[::-1]
+    checked = 0
+    for (key, t), (after, following) in zip(row, [*row[1:], row[0]], strict=True):
+        d, e = (k[1] if k[0] else None for k in (key, after))
+        if times[d] > 1 or times[e] > 1:
+            continue
+        half, checked = len(t) // 2, checked + 1
+        edited = t[: len(t) - half] + following[:half]
+        r = found[d][0]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(brute_index(digest(t), digest(edited)))
+        assert r.near_next == pytest.approx(brute_index(digest(t), digest(following)))
+    assert checked > 15
+    some = [(i, f"text {i} of a few words") for i in range(5)]
+    small = {r.doc_id: r for r in fingerprints.fingerprint(docs.sparkSession.createDataFrame(some, "doc_id long, text string")).collect()}
+    for i, t in some:
+        half = len(t) // 2
+        assert small[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + some[(i - 1) % 5][1][:half]).encode()).hexdigest()
     assert found[20][0].fingerprint == found[21][0].fingerprint != found[22][0].fingerprint
     assert fingerprints.fingerprint(empty).count() == 0
 
 
+def brute_index(x: np.ndarray, y: np.ndarray) -> float:
+    p, q = Counter(x.tolist()), Counter(y.tolist())
+    return (p & q).total() / (p | q).total() if p or q else 1.0
+
+
 def test_peeling_recovers_differences():
     rng = np.random.default_rng(4)
     hashes = fingerprints.common.WordHashes()
     words = [f"w{i}" for i in range(3000)]
-    a = [" ".join(rng.choice(words, 900)) for _ in range(6)]
-    b = [t[:3000] + " other " + t[3000:] if i % 2 else " ".join(rng.choice(words, 700)) for i, t in enumerate(a)]
+    a = [" ".join(rng.choice(words, 900)) for _ in range(6)] + ["", "one", "", "a b c\n" * 40]
+    b = [t[:3000] + " other " + t[3000:] if i % 2 else " ".join(rng.choice(words, 700)) for i, t in enumerate(a[:6])] + ["", "", "two", "a b c\n" * 39]
     x, y = fingerprints.digests(a, hashes), fingerprints.digests(b, hashes)
-    for i, near in enumerate(fingerprints.likeness(x, y, 6)):
-        p, q = Counter(x[0][x[1] == i].tolist()), Counter(y[0][y[1] == i].tolist())
-        assert near == pytest.approx((p & q).total() / (p | q).total())
+    for i, near in enumerate(fingerprints.likeness(x, y, len(a))):
+        assert near == pytest.approx(brute_index(x[0][x[1] == i], y[0][y[1] == i]))
+    mine, theirs = fingerprints.strings(*x, len(a)), fingerprints.strings(*y, len(a))
+    found = fingerprints.recovered(mine, theirs)
+    assert found[0] is found[2] is None
+    for i in (1, 3, 5, 6, 7, 8, 9):
+        p, q = set(x[0][x[1] == i].tolist()), set(y[0][y[1] == i].tolist())
+        assert found[i] == (p - q, q - p)
+    index, good = fingerprints.near(fingerprints.read(mine), fingerprints.read(theirs))
+    assert good.tolist() == [f is not None for f in found]
+    assert index[1] == pytest.approx(brute_index(x[0][x[1] == 1], y[0][y[1] == 1]))
 
 
 def brute_secrets(text: str):
@@ -359,7 +411,7 @@ def test_top_k(spark):
     rows += [(1000, None), (1100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1200, [float("nan")] * 6), (1300, [float("inf")] * 6), (7, vectors[3]), (2000, [1.0, 2.0]), (2001, [3.0, 1.0]), (None, vectors[0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, dim int")
     found = defaultdict(list)
-    for r in search.top_k(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=150, block_rows=4).orderBy("query_id", "rank").collect():
+    for r in search.top_k(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=150, sample_rows=300).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
     good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     wanted = {}
@@ -371,6 +423,30 @@ def test_top_k(spark):
     assert search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_shards_of_equal_and_of_large_vectors(spark):
+    """A third of the rows is one vector, and some scores are beyond what floats hold."""
+    rng = np.random.default_rng(16)
+    rows = [(i, [5.0, -3.0, 1.0] if i % 3 else (rng.standard_normal(3) * (1e5 if i % 7 == 0 else 1)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in search.top_k(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=64, sample_rows=200).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    good = {i: [int(x) for x in np.floor(1024 * np.array(v))] for i, v in rows}
+    for q in range(0, 900, 100):
+        scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), j) for j, v in good.items() if j != q)[:10]
+        assert found[q] == [(j, -s) for s, j in scores]
+
+
+def test_splits_part_the_sample():
+    rng = np.random.default_rng(17)
+    sample = rng.standard_normal((1000, 4))
+    tree = search.splits(sample, 8)
+    sizes = Counter(search.leaves(sample, tree).tolist())
+    assert len(sizes) == 8
+    assert max(sizes.values()) <= 130
+    assert search.splits(np.ones((50, 3)), 4) == []
+
+
 def labelled(spark, docs, texts, name, bad):
     rows = [(i + 1000, t, y) for i, (t, y) in enumerate(bad)]
     more = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
@@ -405,6 +481,43 @@ def test_toxicity(spark, docs, empty, texts):
     assert {r.score for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_gradients_equal_differences():
+    """Each parameter's slope against the change of the loss when it is moved a little, in double precision."""
+    rng = np.random.default_rng(18)
+    words = [f"w{i}" for i in range(30)]
+    net = toxicity.fit([(" ".join(rng.choice(words, 14)) + (" bad" if i % 2 else ""), i % 2) for i in range(20)], 0.5, width=8, stride=4, epochs=1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    docs = [np.array([3, 5, 7, 9, 3]), np.array([1, 2, 29, 0, 4, 6, 8, 10, 11])]
+    y, g = np.array([0, 1]), toxicity.grams(words)
+    ids = np.concatenate(docs)
+    word = np.arange(len(words))
+    text, start, length = net.windows([len(d) for d in docs])
+    chosen = np.arange(len(text))
+    inputs = np.ones((len(words), toxicity.INPUTS))
+    inputs[:, :3] = rng.standard_normal((len(words), 3))
+    steps = np.arange(net.width)[:, None]
+
+    def loss() -> float:
+        x = inputs.copy()
+        x[:, 3 : 3 + toxicity.CHAR] = toxicity.mean_of(net.p["chars"], g["three"])
+        x[:, 3 + toxicity.CHAR : -1] = net.p["own"][g["own"]]
+        at = ids[np.minimum(start + steps, len(ids) - 1)]
+        logit = net.logits((x @ net.p["wx"])[at], (steps < length).astype(float)).astype(float)
+        return float(np.mean(np.logaddexp(0, logit) - y[text] * logit))
+
+    slopes = toxicity.gradients(net, g, ids, inputs, chosen, text, start, length, y, word)
+    for name, p in net.p.items():
+        touched = np.argwhere(np.abs(slopes[name]) > np.abs(slopes[name]).max() / 3)
+        for at in touched[rng.permutation(len(touched))[:6]]:
+            at, before = tuple(at), p[tuple(at)]
+            sides = []
+            for d in (1e-3, -1e-3):
+                p[at] = before + d
+                sides.append(loss())
+            p[at] = before
+            assert slopes[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-3, rel=0.03, abs=1e-5), name
+
+
 def test_network_learns_a_word():
     rng = np.random.default_rng(8)
     words = [f"w{i}" for i in range(40)]
