@@ -220,7 +220,7 @@ def checksum_errors(t: Tables) -> DataFrame:
     column = lines.columns[-1]
     bad = lines.withColumn(column, F.when(F.col(column).rlike("7[.]json$"), F.regexp_replace(column, "  ", " ")).otherwise(F.col(column)))
     x = package.parse_checksums(bad)
-    path = F.coalesce("path", F.regexp_extract(F.col("line"), r"(text/\S+)", 1)) if "line" in x.columns else F.col("path")
+    path = F.when(F.col("path") == "", F.regexp_extract("error", r"(text/\S+)", 1)).otherwise(F.col("path"))
     return x.select(path.alias("path"), F.when(F.col("error").isNotNull(), "malformed").alias("error"))
 
 
