@@ -7,17 +7,27 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.numbers import clamp, js_round, js_round_int
 
 
 def overlap_ms(words: DataFrame, segments: DataFrame, key: str = "media_id") -> DataFrame:
-    """Each word with the milliseconds of speech in it: an equi-join on the medium with the overlap as its residual, so that no
-    nested-loop or Cartesian plan arises; words without overlap keep 0."""
-    s = segments.select(F.col(key), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    both = words.join(s, key).where((F.col("start_ms") < F.col("e")) & (F.col("s") < F.col("end_ms")))
-    sums = both.groupBy(key, "idx").agg(F.sum(F.least("end_ms", "e") - F.greatest("start_ms", "s")).alias("overlap_ms"))
-    return words.join(sums, [key, "idx"], "left").withColumn("overlap_ms", F.coalesce("overlap_ms", F.lit(0)).cast("long"))
+    """Each word (key, idx, start_ms, end_ms, …) with the milliseconds of speech in it, 0 where there is none.
+
+    Speech before a time t is the sum of t - start over the segments that began, less that of t - end over those that ended; so one ordered merge of segments' and
+    words' times tells it by running counts and sums, and no word meets a segment.  Where segments overlap each counts.
+    """
+    word = F.struct(*words.columns)
+    asked = words.select(key, F.posexplode(F.array("start_ms", "end_ms")).alias("side", "t"), F.lit(0).alias("d"), word.alias("w"))
+    marks = segments.select(key, F.posexplode(F.array("start_ms", "end_ms")).alias("side", "t")).withColumn("d", F.when(F.col("side") == 0, 1).otherwise(-1))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    speech = F.sum("d").over(before) * F.col("t") - F.sum(F.col("d") * F.col("t")).over(before)
+    x = both.withColumn("speech", speech).where("w is not null").groupBy(key, F.col("w.idx").alias("idx"))
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("speech")))
+    return x.agg(F.first("w").alias("w"), (at(1) - at(0)).cast("long").alias("overlap_ms")).select("w.*", "overlap_ms")
 
 
 def speech_overlap(words: DataFrame, segments: DataFrame) -> DataFrame:
@@ -82,21 +92,51 @@ def energy_envelope(frames: DataFrame, width: int = 5, key: str = "media_id") ->
 
 
 def hysteresis(frames: DataFrame, frame_ms: int = 32, enter: float = 0.5, stay: float = 0.35, silence_ms: int = 300, least_ms: int = 200, pad_ms: int = 30, key: str = "media_id") -> DataFrame:
-    """Speech segments of frame probabilities: opened at ``enter``, kept at ``stay``, closed by ``silence_ms`` below it (ending where
-    the silence began), dropped if shorter than ``least_ms``, padded and clamped.  A fold over each medium's ordered frames."""
-    p = F.transform(F.array_sort(F.collect_list(F.struct("idx", "p"))), lambda x: x["p"])
-    x = frames.groupBy(key).agg(p.alias("p"))
-    # the end of the signal closes a segment: at its silence's beginning, if it has one
-    fold = f"""aggregate(p, named_struct('i', 0L, 'start', -1L, 'quiet', -1L, 'out', cast(array() as array<struct<s:bigint,e:bigint>>)), (a, v) ->
-      if(a.start < 0,
-        named_struct('i', a.i + 1, 'start', if(v >= {enter}, a.i, -1L), 'quiet', -1L, 'out', a.out),
-        if(v >= {stay}, named_struct('i', a.i + 1, 'start', a.start, 'quiet', -1L, 'out', a.out),
-          if((a.i - if(a.quiet < 0, a.i, a.quiet) + 1) * {frame_ms} >= {silence_ms},
-            named_struct('i', a.i + 1, 'start', -1L, 'quiet', -1L, 'out', array_append(a.out, named_struct('s', a.start, 'e', if(a.quiet < 0, a.i, a.quiet)))),
-            named_struct('i', a.i + 1, 'start', a.start, 'quiet', if(a.quiet < 0, a.i, a.quiet), 'out', a.out)))),
-      a -> if(a.start < 0, a.out, array_append(a.out, named_struct('s', a.start, 'e', a.i))))"""
-    x = x.select(key, F.size("p").alias("n"), F.explode(F.expr(fold)).alias("x")).where((F.col("x.e") - F.col("x.s")) * frame_ms >= least_ms)
-    return x.select(key, F.greatest(F.lit(0), F.col("x.s") * frame_ms - pad_ms).cast("long").alias("start_ms"), F.least(F.col("n") * frame_ms, F.col("x.e") * frame_ms + pad_ms).cast("long").alias("end_ms"))
+    """Speech segments of frame probabilities (key, idx, p): opened at ``enter``, kept at ``stay``, closed by ``silence_ms`` below it (ending where
+    the silence began) or by the end of the frames, dropped if shorter than ``least_ms``, padded and clamped.  One pass over each medium's ordered frames."""
+    schema = StructType([frames.schema[key], StructField("start_ms", LongType()), StructField("end_ms", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        medium, i, start, quiet = None, 0, None, None
+        held: list[tuple[int, int]] = []  # closed segments whose padding may go beyond the frames
+
+        def told(most: int | None) -> list[tuple]:
+            """Segments that end before ``most``, or all, clamped to the frames there were."""
+            out, limit = [], i * frame_ms
+            while held and (most is None or held[0][1] * frame_ms + pad_ms <= most):
+                s, e = held.pop(0)
+                if (e - s) * frame_ms >= least_ms:
+                    out.append((medium, max(0, s * frame_ms - pad_ms), min(limit, e * frame_ms + pad_ms)))
+            return out
+
+        for batch in batches:
+            out: list[tuple] = []
+            for k, p in zip(batch.column(key).to_pylist(), batch.column("p").to_pylist(), strict=True):
+                if k != medium:
+                    if start is not None:
+                        held.append((start, i))
+                    out += told(None)
+                    medium, i, start, quiet = k, 0, None, None
+                loud = p is not None and p >= (enter if start is None else stay)
+                if loud:
+                    start, quiet = i if start is None else start, None
+                elif start is not None:
+                    quiet = i if quiet is None else quiet
+                    if (i - quiet + 1) * frame_ms >= silence_ms:
+                        held.append((start, quiet))
+                        start = quiet = None
+                i += 1
+                out += told(i * frame_ms)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        if start is not None:
+            held.append((start, i))
+        out = told(None)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return frames.select(key, "idx", "p").repartition(key).sortWithinPartitions(key, "idx").select(key, "p").mapInArrow(each, schema)
 
 
 def resolve_overlaps(timings: DataFrame, key: str = "media_id") -> DataFrame:
