@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -167,6 +168,31 @@ def resolve_overlaps(timings: DataFrame, key: str = "media_id") -> DataFrame:
     return ordered.mapInArrow(each, x.schema).select(key, "idx", "start_ms", "end_ms")
 
 
+def accepted_chunks(chunks: DataFrame, total_ms: int = 1 << 40, key: str = "media_id") -> DataFrame:
+    """(key, idx, start_ms, end_ms) of a recogniser's chunks (key, idx, start_s, end_s), in order: none begins before the last accepted one ends or ends after the
+    recording, and what has no length then is left out.  One pass, of which a worker holds one number."""
+    schema = StructType([chunks.schema[key], chunks.schema["idx"], StructField("start_ms", LongType()), StructField("end_ms", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        medium, last = None, 0
+        for batch in batches:
+            out = []
+            for k, i, start, end in zip(*(batch.column(c).to_pylist() for c in (key, "idx", "start_s", "end_s")), strict=True):
+                if k != medium:
+                    medium, last = k, 0
+                if start is None or end is None:
+                    continue
+                a, b = max(last, math.floor(start * 1000 + 0.5)), min(total_ms, math.floor(end * 1000 + 0.5))
+                if b > a:
+                    out.append((k, i, a, b))
+                    last = b
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return chunks.select(key, "idx", "start_s", "end_s").repartition(key).sortWithinPartitions(key, "idx").mapInArrow(each, schema)
+
+
 def word_at(words: DataFrame, times: DataFrame, key: str = "media_id") -> DataFrame:
     """The word index at each time ``t``: the word that contains it (both ends included), else the one before, -1 before the first.
 
@@ -225,10 +251,10 @@ def segment_summary(segments: DataFrame, totals: DataFrame, key: str = "media_id
     return x.select(key, F.coalesce("s", "total_ms").cast("long").alias("leading_ms"), F.greatest(F.lit(0), F.coalesce(F.col("total_ms") - F.col("e"), F.col("total_ms"))).cast("long").alias("trailing_ms"), F.coalesce("speech_ms", F.lit(0)).cast("long").alias("speech_ms"), F.coalesce(cover, F.lit(0.0)).alias("coverage"))
 
 
-def word_clips(words: DataFrame, total: Column, pad: int = 60) -> DataFrame:
-    """Clips of words, padded and clamped, numbered from 1, with a path of four digits and a slug."""
+def word_clips(words: DataFrame, total: Column, pad: int = 60, keep: Sequence[str] = ()) -> DataFrame:
+    """Clips of words, padded and clamped, numbered from 1, with a path of four digits and a slug; the columns ``keep`` stay."""
     from ..functions.text import slug
 
     number = F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "idx"))
     name = F.coalesce(F.nullif(slug("word"), F.lit("")), F.lit("word"))
-    return words.select("media_id", number.cast("long").alias("sequence"), "word", F.greatest(F.lit(0), F.col("start_ms") - pad).cast("long").alias("clip_start_ms"), F.least(total, F.col("end_ms") + pad).cast("long").alias("clip_end_ms"), F.concat(F.lit("words/"), F.lpad(number.cast("string"), 4, "0"), F.lit("-"), name, F.lit(".wav")).alias("path"))
+    return words.select("media_id", *keep, number.cast("long").alias("sequence"), "word", F.greatest(F.lit(0), F.col("start_ms") - pad).cast("long").alias("clip_start_ms"), F.least(total, F.col("end_ms") + pad).cast("long").alias("clip_end_ms"), F.concat(F.lit("words/"), F.lpad(number.cast("string"), 4, "0"), F.lit("-"), name, F.lit(".wav")).alias("path"))

@@ -71,9 +71,14 @@ def write_package(rows: DataFrame, path: str) -> None:
     manifest(rows).coalesce(1).write.json(f"{path}/manifest")
 
 
-def timeline_csv(words: DataFrame) -> DataFrame:
-    """Lines of a word timeline; text cells alone are quoted."""
-    return words.select("media_id", "idx", F.concat_ws(",", "idx", X.csv_cell(F.col("word")), "start_ms", "end_ms", F.col("end_ms") - F.col("start_ms")).alias("line"))
+#: The columns of a word timeline.
+TIMELINE = ["index", "word", "start_ms", "end_ms", "duration_ms", "clip_start_ms", "clip_end_ms", "acoustic_support", "evidence", "confidence", "consensus_votes", "audio_path"]
+
+
+def timeline_csv(clips: DataFrame) -> DataFrame:
+    """(media_id, idx, line): the lines of a word timeline (TIMELINE) of clips with their evidence; words and paths alone are quoted."""
+    cells = {"index": F.col("sequence"), "word": X.csv_cell(F.col("word")), "duration_ms": F.col("end_ms") - F.col("start_ms"), "audio_path": X.csv_cell(F.col("path"))}
+    return clips.select("media_id", "idx", F.concat_ws(",", *(cells.get(c, F.col(c)).cast("string") for c in TIMELINE)).alias("line"))
 
 
 def failed_verdict(gates: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_word
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -131,7 +133,15 @@ def _files(t: Tables) -> DataFrame:
     return t.documents.select(F.concat(F.lit("text/"), F.col("doc_id"), F.lit(".json")).alias("path"), "text", F.octet_length("text").cast("long").alias("byte_size"), F.sha2("text", 256).alias("sha256"), F.col("source").alias("owner"))
 
 
-ENTITIES: dict[str, Callable[[Tables], DataFrame]] = {"prompts": _prompts, "takes": _takes, "metrics": _metrics, "gates": _gates, "word_timings": _word_timings, "speech_segments": _speech_segments, "frames": _frames, "consents": _consents, "licenses": _licenses, "files": _files}
+def _neighbours(t: Tables) -> DataFrame:
+    """Each word that has letters or digits with the next such one: in small letters, without marks."""
+    from pyspark.sql import Window
+
+    x = t.word_timings.select("media_id", "idx", ascii_word("word").alias("a")).where("a <> ''")
+    return x.withColumn("b", F.lead("a").over(Window.partitionBy("media_id").orderBy("idx"))).where("b is not null")
+
+
+ENTITIES: dict[str, Callable[[Tables], DataFrame]] = {"prompts": _prompts, "takes": _takes, "metrics": _metrics, "gates": _gates, "word_timings": _word_timings, "neighbours": _neighbours, "speech_segments": _speech_segments, "frames": _frames, "consents": _consents, "licenses": _licenses, "files": _files}
 
 _WORDS = r"CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT)"
 
@@ -146,6 +156,7 @@ CTES = {
     "metrics": "SELECT l_orderkey AS session_id, CAST(l_linenumber AS BIGINT) AS take_ord, -CAST(l_quantity AS DOUBLE) AS peak, -(l_quantity + l_discount * 100) AS rms, -60 - l_tax * 100 AS floor, -(l_quantity / 2 + l_discount * 100) AS lufs, l_quantity / 50 AS active, l_discount * 10 AS reverb, l_tax / 4 AS dc, l_quantity - l_tax * 100 AS snr, l_partkey % 40 = 0 AS clipping, CAST(l_suppkey % 9000 + 200 AS BIGINT) AS duration_ms FROM lineitem",
     "gates": f"SELECT l_orderkey AS take_id, CAST(l_linenumber AS BIGINT) AS ord, {_pick(GATES, '(l_linenumber - 1)')} AS gate_id, CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'review' ELSE 'fail' END AS status FROM lineitem",
     "word_timings": r"SELECT media_id, idx, word, CAST(before * 90 AS BIGINT) AS start_ms, CAST(before * 90 + length(word) * 80 AS BIGINT) AS end_ms FROM (SELECT *, coalesce(sum(length(word)) OVER (PARTITION BY media_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT media_id, generate_subscripts(words, 1) - 1 AS idx, unnest(words) AS word FROM (SELECT doc_id AS media_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS words FROM documents)))",
+    "neighbours": "SELECT * FROM (SELECT *, lead(a) OVER (PARTITION BY media_id ORDER BY idx) AS b FROM (SELECT media_id, idx, regexp_replace(lower(strip_accents(word)), '[^a-z0-9]', '', 'g') AS a FROM word_timings) WHERE a <> '') WHERE b IS NOT NULL",
     "speech_segments": "SELECT media_id, i * 1500 AS start_ms, i * 1500 + 1100 AS end_ms FROM (SELECT doc_id AS media_id, unnest(range(0, CAST(floor(length(text) * 75 / 1500) AS BIGINT) + 1)) AS i FROM documents)",
     "frames": "SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, -value / 3 AS level, least(1.0, value / 200) AS p FROM events",
     "consents": "SELECT c_custkey AS consent_id, CAST(c_custkey % 10 AS BIGINT) AS speaker_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'granted' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'revoked' ELSE 'unknown' END AS status, CASE WHEN c_acctbal >= 0 THEN 'signed form' END AS evidence, CAST(c_nationkey AS BIGINT) AS license_id FROM customer",

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import analysis as A
 from ..operators import corpus, package, rules, takes
 from .base import Tables, query
-from .scalar import DOC, FIRST, LINE, TOKENS, first_word, js
+from .scalar import DOC, LINE, NEIGHBOURS, TOKENS, WORDS, js
 
 EVENT = ("events", ["event_id"])
 TAKE = ("takes", ["session_id", "take_ord"])
@@ -33,7 +33,7 @@ ROWS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("b05_sentences", DOC, lambda: F.size(F.split(F.trim("text"), r"(?<=[.!?])\s+")).cast("long"), r"CAST(len(regexp_extract_all(trim(text), '[.!?]\s+')) + 1 AS BIGINT)"),
     ("b06_signal_evidence", LINE, lambda: A.signal_evidence(F.col("duration_ms"), F.col("active"), F.lit(10))["speech_ms"], "CAST(floor(duration_ms * active * 1.0 + 0.5) AS BIGINT)"),
     ("b10_alignment_confidence", LINE, lambda: A.alignment_record(F.when(F.col("clipping"), 0.9), F.col("active"), F.abs("peak") * 12, F.lit(0.4))["confidence"], "coalesce(CASE WHEN clipping THEN 0.9 END, " + js("active * greatest(0.0, 1 - abs(peak) * 12 / 500)", 3) + ")"),
-    ("c18_words_compatible", DOC, lambda: F.coalesce(rules.words_compatible(F.substring(X.ascii_word("text"), 1, 8), F.substring(X.ascii_word("text"), 2, 8)), F.lit(False)), "CASE WHEN a = b AND a <> '' THEN true WHEN least(length(a), length(b)) >= 4 AND abs(length(a) - length(b)) <= 2 THEN 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= CASE WHEN greatest(length(a), length(b)) <= 5 THEN 0.8 ELSE 0.72 END ELSE false END"),
+    ("c18_words_compatible", NEIGHBOURS, lambda: F.coalesce(rules.words_compatible(F.col("a"), F.col("b")), F.lit(False)), "CASE WHEN a = b AND a <> '' THEN true WHEN least(length(a), length(b)) >= 4 AND abs(length(a) - length(b)) <= 2 THEN 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= CASE WHEN greatest(length(a), length(b)) <= 5 THEN 0.8 ELSE 0.72 END ELSE false END"),
     ("c20_media_limits", DOC, lambda: rules.media_limits(F.col("n_chars") * 50000, F.col("n_chars") * 90), "n_chars * 50000 <= 200000000 AND n_chars * 90 <= 600000"),
     ("e46_crc32", DOC, lambda: F.crc32("text"), ""),
     ("e44_browser", ("pages", ["page_id"]), lambda: X.browser_runtime(F.concat(F.lit("Mozilla/5.0 Chrome/"), F.col("page_id"), F.lit(".1 Safari/537 Edg/9.5")))["name"], "'Edge'"),
@@ -49,7 +49,7 @@ ROWS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("m23_captured_budget", EVENT, lambda: A.captured_hypotheses(F.lit("uncertain"), F.col("value").cast("long") * 2000, F.col("value") / 100).cast("long"), f"CAST(CASE WHEN CAST(trunc(value) AS BIGINT) * 2000 > 300000 OR {CLASS} = 'constrained' OR ({CLASS} = 'moderate' AND CAST(trunc(value) AS BIGINT) * 2000 > 120000) THEN 2 ELSE 3 END AS BIGINT)"),
     ("m22_hypothesis_score", LINE, lambda: N.js_round(A.hypothesis_score(F.col("take_ord") + 3, F.lit(8), F.col("take_ord"), F.col("active"), F.lit("acceptable"), F.col("clipping"), F.lit(0), F.lit(0)), 6), js("take_ord / 8 * 4 + 0.78 * 1.6 + greatest(0.0, 1 - abs(take_ord + 3 - 8) / 8) * 0.8 + active * 0.6 + CASE WHEN clipping THEN 0.12 ELSE 0.0 END", 6)),
     ("m24_processing_profile", DOC, lambda: A.processing_profile(F.col("n_chars") * 90, F.col("doc_id") % 2 == 0), "CASE WHEN n_chars * 90 > 600000 OR doc_id % 2 <> 0 THEN 'compatible' ELSE 'enhanced' END"),
-    ("m26_token_confidence", DOC, lambda: rules.token_confidence(X.ascii_word(first_word()), F.lit(False)), "floor(greatest(0.45, 0.82 - CASE WHEN regexp_matches(w, '[0-9]') THEN 0.14 ELSE 0.0 END - CASE WHEN length(w) <= 2 THEN 0.03 ELSE 0.0 END) * 100.0 + 0.5) / 100.0"),
+    ("m26_token_confidence", WORDS, lambda: rules.token_confidence(X.ascii_word("word"), F.lit(False)), "floor(greatest(0.45, 0.82 - CASE WHEN regexp_matches(w, '[0-9]') THEN 0.14 ELSE 0.0 END - CASE WHEN length(w) <= 2 THEN 0.03 ELSE 0.0 END) * 100.0 + 0.5) / 100.0"),
     ("m28_pause_weight", DOC, lambda: rules.pause_weight(F.substring("text", 5, 4)), "CASE WHEN regexp_matches(text[5:8], '[.!?]') THEN 0.9 WHEN regexp_matches(text[5:8], '[,;:]') THEN 0.42 ELSE 0.0 END"),
     ("m08_room_tone_limit", LINE, lambda: F.col("floor") > rules.MODES["dubbing"][2], "floor > -46"),
     ("q38_round_score", LINE, lambda: N.score("reverb"), js("least(greatest(reverb, 0.0), 1.0)", 2)),
@@ -69,8 +69,7 @@ ROWS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("q45_word_count", DOC, lambda: F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"), F.lit(0))).cast("long"), r"CAST(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*')) AS BIGINT)"),
 ]
 _PRELUDE = {
-    "c18_words_compatible": "(SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')[1:8] AS a, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')[2:9] AS b FROM documents)",
-    "m26_token_confidence": f"(SELECT doc_id, regexp_replace(lower(strip_accents({FIRST})), '[^a-z0-9]', '', 'g') AS w FROM documents)",
+    "m26_token_confidence": "(SELECT media_id, idx, regexp_replace(lower(strip_accents(word)), '[^a-z0-9]', '', 'g') AS w FROM word_timings)",
 }
 
 
@@ -118,9 +117,18 @@ def text_files_once(t: Tables) -> DataFrame:
     return takes.text_files(_samples(t)).select("path", "owner")
 
 
-@query("a22_timeline_csv", "SELECT media_id, idx, concat_ws(',', idx, '\"' || replace(word, '\"', '\"\"') || '\"', start_ms, end_ms, end_ms - start_ms) AS line FROM word_timings WHERE idx < 30")
+@query(
+    "a22_timeline_csv",
+    r"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, idx) AS n FROM word_timings)
+    SELECT media_id, idx, concat_ws(',', n, '"' || replace(word, '"', '""') || '"', start_ms, end_ms, end_ms - start_ms, greatest(0, start_ms - 60), end_ms + 60, (idx % 4 + 1) / 8.0::DOUBLE, 'speech_vad', (idx % 3 + 1) / 4.0::DOUBLE, idx % 3,
+      '"words/' || lpad(CAST(n AS VARCHAR), 4, '0') || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(lower(strip_accents(word)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'word') || '.wav"') AS line FROM x""",
+)
 def timeline_csv(t: Tables) -> DataFrame:
-    return takes.timeline_csv(t.word_timings.where("idx < 30"))
+    from ..operators.intervals import word_clips
+
+    clips = word_clips(t.word_timings, F.lit(1 << 40), keep=["idx", "start_ms", "end_ms"])
+    i = F.col("idx")
+    return takes.timeline_csv(clips.withColumns({"acoustic_support": (i % 4 + 1) / 8.0, "evidence": F.lit("speech_vad"), "confidence": (i % 3 + 1) / 4.0, "consensus_votes": i % 3}))
 
 
 @query("b17_reapplied_verdict", "SELECT take_id, CASE WHEN bool_or(status = 'fail') THEN 'reject' WHEN bool_or(status = 'review') THEN 'review' ELSE 'pass' END AS verdict FROM gates GROUP BY take_id")
@@ -205,11 +213,16 @@ def priority_score(t: Tables) -> DataFrame:
     return t.prompts.select("prompt_id", sum(F.when(F.col(f).isin(v), 0).otherwise(WEIGHTS[f]) for f, v in covered.items()).alias("score"))
 
 
-@query("f12_bias_phrases", rf"WITH w AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, {TOKENS}[1:40] AS ws FROM documents)) SELECT doc_id, phrase, CAST(max(boost) AS DOUBLE) AS boost FROM (SELECT doc_id, ws[i] AS phrase, 3.2 AS boost FROM w WHERE length(ws[i]) >= 5 UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1], 2.4 FROM w WHERE i < len(ws)) GROUP BY doc_id, phrase")
+@query(
+    "f12_bias_phrases",
+    rf"""WITH w AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, {TOKENS} AS ws FROM documents)))
+    SELECT doc_id, phrase, CAST(max(boost) AS DOUBLE) AS boost FROM (SELECT doc_id, w AS phrase, 3.2 AS boost FROM w WHERE length(w) >= 5 UNION ALL SELECT doc_id, w || ' ' || next, 2.4 FROM w WHERE next IS NOT NULL) GROUP BY doc_id, phrase""",
+)
 def bias_phrases(t: Tables) -> DataFrame:
-    x = t.documents.select("doc_id", F.slice(X.tokens_by_space("text"), 1, 40).alias("ws")).select("doc_id", "ws", F.posexplode("ws").alias("i", "w"))
+    ws = X.tokens_by_space("text")
+    x = t.documents.select("doc_id", F.explode(F.zip_with(ws, F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))), lambda w, n: F.struct(w.alias("w"), n.alias("next")))).alias("x")).select("doc_id", "x.*")
     single = x.where(F.length("w") >= 5).select("doc_id", F.col("w").alias("phrase"), F.lit(3.2).alias("boost"))
-    pairs = x.where(F.col("i") < F.size("ws") - 1).select("doc_id", F.concat_ws(" ", "w", F.element_at("ws", F.col("i") + 2)).alias("phrase"), F.lit(2.4).alias("boost"))
+    pairs = x.where("next is not null").select("doc_id", F.concat_ws(" ", "w", "next").alias("phrase"), F.lit(2.4).alias("boost"))
     return single.unionByName(pairs).groupBy("doc_id", "phrase").agg(F.max("boost").alias("boost"))
 
 
@@ -218,11 +231,11 @@ def script_segments(t: Tables) -> DataFrame:
     return corpus.segments(t.documents.select("doc_id", "text", F.lit("script.txt").alias("source_name")), "doc_id")
 
 
-@query("f15_whisper_timings", "SELECT media_id, idx, start_ms, end_ms FROM word_timings WHERE idx < 50 AND start_ms < 60000")
+@query("f15_whisper_timings", "SELECT media_id, idx, greatest(start_ms, coalesce(lag(told) OVER (PARTITION BY media_id ORDER BY idx), 0)) AS start_ms, told AS end_ms FROM (SELECT *, end_ms + idx % 3 * 20 AS told FROM word_timings)")
 def whisper_timings(t: Tables) -> DataFrame:
-    """Chunks in seconds, clamped to the recording and to the last accepted end: a fold over each medium's ordered chunks."""
-    x = t.word_timings.where("idx < 50 and start_ms < 60000").groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("idx", (F.col("start_ms") / 1000).alias("s"), (F.col("end_ms") / 1000).alias("e")))).alias("c"))
-    fold = """aggregate(c, named_struct('last', 0L, 'out', cast(array() as array<struct<idx:bigint,start_ms:bigint,end_ms:bigint>>)), (a, x) ->
-      transform(array(named_struct('s', greatest(a.last, cast(floor(x.s * 1000 + 0.5) as bigint)), 'e', cast(floor(x.e * 1000 + 0.5) as bigint))), y ->
-        if(y.e > y.s, named_struct('last', y.e, 'out', array_append(a.out, named_struct('idx', x.idx, 'start_ms', y.s, 'end_ms', y.e))), a))[0], a -> a.out)"""
-    return x.select("media_id", F.explode(F.expr(fold)).alias("x")).select("media_id", "x.*")
+    """Chunks in seconds, some of which begin before the one before them ends."""
+    from ..operators.intervals import accepted_chunks
+
+    x = t.word_timings.select("media_id", "idx", (F.col("start_ms") / 1000).alias("start_s"), ((F.col("end_ms") + F.col("idx") % 3 * 20) / 1000).alias("end_s"))
+    return accepted_chunks(x)
+

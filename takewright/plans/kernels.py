@@ -67,7 +67,7 @@ def lexical_consensus(t: Tables) -> DataFrame:
     return A.lexical_consensus(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-K01 = """WITH s AS (SELECT media_id AS take_id, idx, word, start_ms + d AS start_ms, end_ms + d AS end_ms, kind, confidence, weight FROM word_timings, (VALUES ('acoustic', 0.9, 0, 0.9), ('local_acoustic', 0.8, 50, 0.52), ('estimated', 0.7, -100, 0.14)) v(kind, confidence, d, weight) WHERE idx < 30),
+K01 = """WITH s AS (SELECT media_id AS take_id, idx, word, start_ms + d AS start_ms, end_ms + d AS end_ms, kind, confidence, weight FROM word_timings, (VALUES ('acoustic', 0.9, 0, 0.9), ('local_acoustic', 0.8, 50, 0.52), ('estimated', 0.7, -100, 0.14)) v(kind, confidence, d, weight)),
   a AS (SELECT take_id, idx, min(start_ms) AS start_ms FROM (SELECT *, sum(weight) OVER (PARTITION BY take_id, idx ORDER BY start_ms RANGE UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY take_id, idx) AS whole FROM s) WHERE run >= whole / 2 GROUP BY ALL)
   SELECT take_id, idx, start_ms FROM a"""
 
@@ -75,7 +75,7 @@ K01 = """WITH s AS (SELECT media_id AS take_id, idx, word, start_ms + d AS start
 @query("k01_timing_consensus", K01)
 def timing_consensus(t: Tables) -> DataFrame:
     sources = F.array(*(F.struct(F.lit(s).alias("source"), F.lit(k).alias("kind"), F.lit(c).alias("confidence"), F.lit(d).cast("long").alias("d")) for s, k, c, d in (("mfa", "acoustic", 0.9, 0), ("whisper", "local_acoustic", 0.8, 50), ("g2p", "estimated", 0.7, -100))))
-    x = t.word_timings.where("idx < 30").select(F.col("media_id").alias("take_id"), "idx", "word", "start_ms", "end_ms", F.explode(sources).alias("v"))
+    x = t.word_timings.select(F.col("media_id").alias("take_id"), "idx", "word", "start_ms", "end_ms", F.explode(sources).alias("v"))
     x = x.select("take_id", "idx", "word", (F.col("start_ms") + F.col("v.d")).alias("start_ms"), (F.col("end_ms") + F.col("v.d")).alias("end_ms"), "v.source", "v.kind", "v.confidence")
     return A.timing_consensus(x).select("take_id", "idx", "start_ms")
 

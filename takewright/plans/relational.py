@@ -315,17 +315,23 @@ def word_at(t: Tables) -> DataFrame:
 
 MERGED = """SELECT media_id, min(s) AS start_ms, max(e) AS end_ms FROM (SELECT *, sum(opens) OVER (PARTITION BY media_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
   SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY media_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 180 THEN 0 ELSE 1 END AS opens FROM (
-  SELECT media_id, greatest(0, start_ms - 140) AS s, end_ms + 140 AS e FROM word_timings WHERE idx % 7 < 3))) GROUP BY media_id, island"""
+  SELECT media_id, greatest(0, start_ms - 140) AS s, end_ms + 140 AS e FROM (SELECT media_id, start_ms + idx // 7 * 600 AS start_ms, end_ms + idx // 7 * 600 AS end_ms FROM word_timings)))) GROUP BY media_id, island"""
+
+
+def parted(t: Tables) -> DataFrame:
+    """All words, with a pause after every seventh."""
+    later = F.floor(F.col("idx") / 7) * 600
+    return t.word_timings.select("media_id", "idx", (F.col("start_ms") + later).alias("start_ms"), (F.col("end_ms") + later).alias("end_ms"))
 
 
 @query("i07_merge_segments", MERGED)
 def merge_segments(t: Tables) -> DataFrame:
-    return I.merge_segments(t.word_timings.where("idx % 7 < 3"))
+    return I.merge_segments(parted(t))
 
 
 @query("i08_activity_timeline", MERGED.replace("+ 180", "+ 120").replace("start_ms - 140", "start_ms - 0").replace("end_ms + 140", "end_ms + 0"))
 def activity_timeline(t: Tables) -> DataFrame:
-    return I.merge_segments(t.word_timings.where("idx % 7 < 3"), pad=0, gap=120)
+    return I.merge_segments(parted(t), pad=0, gap=120)
 
 
 @query("i10_pauses", "SELECT media_id, before AS start_ms, start_ms AS end_ms FROM (SELECT *, lag(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms) AS before FROM speech_segments) WHERE start_ms - before >= 150")
@@ -389,9 +395,9 @@ def segment_summary(t: Tables) -> DataFrame:
     return I.segment_summary(t.speech_segments, t.documents.select(F.col("doc_id").alias("media_id"), (F.col("n_chars") * 90).alias("total_ms")))
 
 
-@query("b08_word_clips", r"SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, idx) AS sequence, word, greatest(0, start_ms - 60) AS clip_start_ms, end_ms + 60 AS clip_end_ms, 'words/' || lpad(CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_ms, idx) AS VARCHAR), 4, '0') || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(lower(strip_accents(word)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'word') || '.wav' AS path FROM word_timings WHERE idx < 40")
+@query("b08_word_clips", r"SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, idx) AS sequence, word, greatest(0, start_ms - 60) AS clip_start_ms, end_ms + 60 AS clip_end_ms, 'words/' || lpad(CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_ms, idx) AS VARCHAR), 4, '0') || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(lower(strip_accents(word)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'word') || '.wav' AS path FROM word_timings")
 def word_clips(t: Tables) -> DataFrame:
-    return I.word_clips(t.word_timings.where("idx < 40"), F.lit(1 << 40))
+    return I.word_clips(t.word_timings, F.lit(1 << 40))
 
 
 @query("e27_running_occurrence", "SELECT media_id, idx, word, row_number() OVER (PARTITION BY media_id, lower(strip_accents(word)) ORDER BY idx) AS occurrence FROM word_timings")
@@ -571,12 +577,11 @@ def dangling_references(t: Tables) -> DataFrame:
     return t.takes.select("prompt_id").distinct().join(t.prompts.where("language <> 'es'"), "prompt_id", "left_anti")
 
 
-@query("j03_bounded_edit", "SELECT doc_id, least(3, levenshtein(a, b)) AS distance FROM (SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')[1:9] AS a, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')[2:10] AS b FROM documents)")
+@query("j03_bounded_edit", "SELECT media_id, idx, least(3, levenshtein(a, b)) AS distance FROM neighbours")
 def bounded_edit(t: Tables) -> DataFrame:
     from ..operators import rules
 
-    a = F.substring(X.ascii_word("text"), 1, 9)
-    return t.documents.select("doc_id", rules.bounded_distance(a, F.substring(X.ascii_word("text"), 2, 9), 2).cast("long").alias("distance"))
+    return t.neighbours.select("media_id", "idx", rules.bounded_distance(F.col("a"), F.col("b"), 2).cast("long").alias("distance"))
 
 
 @query("l08_array_rms", "SELECT vec_id, floor(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)) * 1e6 + 0.5) / 1e6 AS rms, floor(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) * 1e6 + 0.5) / 1e6 AS dc FROM embeddings")

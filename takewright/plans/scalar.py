@@ -13,13 +13,14 @@ from .base import Tables, query
 
 DOC = ("documents", ["doc_id"])
 PAGE = ("pages", ["page_id"])
+WORDS = ("word_timings", ["media_id", "idx"])
+NEIGHBOURS = ("neighbours", ["media_id", "idx"])
 LINE = ("metrics", ["session_id", "take_ord"])
 FOLD = "lower(strip_accents({0}))"
 SPACES = r"regexp_replace(trim(text), '\s+', ' ', 'g')"
 TOKENS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
-FIRST = TOKENS + "[1]"
 ASCII = "regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')"
-LETTERS = "regexp_replace(" + FOLD.format(FIRST) + ", '[^a-z]', '', 'g')"
+LETTERS = "regexp_replace(" + FOLD.format("word") + ", '[^a-z]', '', 'g')"
 
 
 def js(x: str, digits: int = 0) -> str:
@@ -27,10 +28,6 @@ def js(x: str, digits: int = 0) -> str:
     return f"floor(({x}) * {f} + 0.5) / {f}"
 
 
-def first_word() -> Column:
-    return F.element_at(X.tokens_by_space("text"), 1)
-
-
 #: name, (table, keys), expression, its DuckDB counterpart
 SCALARS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("e01_normalize_corpus_text", DOC, lambda: X.normalize_corpus_text("text"), r"regexp_replace(regexp_replace(array_to_string(list_transform(string_split(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(9), ' '), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"),
@@ -40,10 +37,10 @@ SCALARS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("e05_decode_entities", PAGE, lambda: X.decode_entities("html"), "replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&amp;', '&', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '\"', 'gi'), '&#39;', '''')"),
     ("e10_normalize_text", DOC, lambda: X.normalize_text("text"), f"lower({SPACES})"),
     ("e12_fold", DOC, lambda: X.fold("text"), FOLD.format("text")),
-    ("e13_normalize_token", DOC, lambda: X.normalize_token(first_word()), r"regexp_replace(regexp_replace(" + FOLD.format(FIRST) + r", '[^a-z0-9''.-]', '', 'g'), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')"),
-    ("e14_speech_token", DOC, lambda: X.speech_token(first_word()), r"regexp_replace(" + FOLD.format(FIRST) + r", '[^\p{L}\p{N}]', '', 'g')"),
-    ("e15_lexical_word", DOC, lambda: X.lexical_word(first_word()), r"regexp_replace(" + FOLD.format(FIRST) + r", '[^\p{L}\p{N}]', '', 'g')"),
-    ("e16_local_word", DOC, lambda: X.local_word(first_word()), r"regexp_replace(" + FOLD.format(FIRST) + r", '[^a-z0-9'']', '', 'g')"),
+    ("e13_normalize_token", WORDS, lambda: X.normalize_token(F.col("word")), r"regexp_replace(regexp_replace(" + FOLD.format("word") + r", '[^a-z0-9''.-]', '', 'g'), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')"),
+    ("e14_speech_token", WORDS, lambda: X.speech_token(F.col("word")), r"regexp_replace(" + FOLD.format("word") + r", '[^\p{L}\p{N}]', '', 'g')"),
+    ("e15_lexical_word", WORDS, lambda: X.lexical_word(F.col("word")), r"regexp_replace(" + FOLD.format("word") + r", '[^\p{L}\p{N}]', '', 'g')"),
+    ("e16_local_word", WORDS, lambda: X.local_word(F.col("word")), r"regexp_replace(" + FOLD.format("word") + r", '[^a-z0-9'']', '', 'g')"),
     ("e17_ascii_word", DOC, lambda: X.ascii_word("text"), r"regexp_replace(" + FOLD.format("text") + r", '[^a-z0-9]', '', 'g')"),
     ("e18_slug", DOC, lambda: X.slug("text"), r"substring(regexp_replace(regexp_replace(" + FOLD.format("text") + r", '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48)"),
     ("e19_sanitize", PAGE, lambda: X.sanitize("url"), "regexp_replace(url, '[^a-zA-Z0-9._-]+', '-', 'g')"),
@@ -55,7 +52,7 @@ SCALARS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("e25_transcript_tokens", DOC, lambda: F.array_join(X.transcript_tokens("text"), "|"), r"array_to_string(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''.\-][\p{L}\p{N}]+)*'), '|')"),
     ("e26_speech_tokens", DOC, lambda: F.array_join(X.speech_tokens("text"), "|"), r"array_to_string(list_filter(list_transform(" + TOKENS + r", lambda w: regexp_replace(lower(strip_accents(w)), '[^\p{L}\p{N}]', '', 'g')), lambda w: w <> ''), '|')"),
     ("e28_transcript_preview", DOC, lambda: X.transcript_preview("text"), f"array_to_string({TOKENS}[-10:], ' ')"),
-    ("e29_word_weight", DOC, lambda: X.word_weight(first_word()), f"least(greatest(length({FIRST}) / 5, 0.72), 2.35)"),
+    ("e29_word_weight", WORDS, lambda: X.word_weight(F.col("word")), f"least(greatest(length(word) / 5, 0.72), 2.35)"),
     ("e31_guide_duration", DOC, lambda: X.guide_duration_ms(X.count_words("text"), F.col("n_chars"), F.col("n_chars") * 3).cast("double"), f"CAST(least(greatest((n_chars + n_chars * 3) / 2, greatest(1400, 260 * len({TOKENS}))), greatest(greatest(1400, 260 * len({TOKENS})) + 900, 980 * len({TOKENS}))) AS DOUBLE)"),
     ("e32_estimated_ms", DOC, lambda: X.estimated_ms("text"), f"CAST(greatest(1800, 520 * len({TOKENS})) AS BIGINT)"),
     ("e33_amplitude_dbfs", LINE, lambda: N.amplitude_to_dbfs("dc"), js("20 * log10(greatest(abs(dc), 1.5849e-5))", 1)),
@@ -70,14 +67,14 @@ SCALARS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("e43_environment_group", DOC, lambda: F.to_json(F.struct(F.col("lang"), F.col("source"))), "concat('{\"lang\":\"', lang, '\",\"source\":\"', source, '\"}')"),
     ("c10_usable_segment", DOC, lambda: X.count_words("text") > 0, f"len({TOKENS}) > 0"),
     ("c12_timing_line", PAGE, lambda: X.is_timing_line(F.concat(F.lpad((F.col("page_id") % 90).cast("string"), 2, "0"), F.lit(":10:00,000 --> 01:10:00,500"))), r"regexp_matches(lpad(CAST(page_id % 90 AS VARCHAR), 2, '0') || ':10:00,000 --> 01:10:00,500', '^\s*(?:\d{1,2}:)?\d{2}:\d{2}[,.]\d{3}\s+-->\s+')"),
-    ("c13_has_letters", DOC, lambda: X.has_letters(first_word()), rf"regexp_matches({FIRST}, '[\p{{L}}\p{{N}}]')"),
+    ("c13_has_letters", WORDS, lambda: X.has_letters(F.col("word")), rf"regexp_matches(word, '[\p{{L}}\p{{N}}]')"),
     ("c21_safe_path", PAGE, lambda: X.safe_relative_path(F.regexp_replace("url", "^https?:/", "")), r"length(regexp_replace(url, '^https?:/', '')) BETWEEN 1 AND 240 AND NOT starts_with(regexp_replace(url, '^https?:/', ''), '/') AND NOT regexp_matches(regexp_replace(url, '^https?:/', ''), '[\\\x00-\x1f\x7f]') AND len(list_filter(string_split(regexp_replace(url, '^https?:/', ''), '/'), lambda p: p IN ('', '.', '..') OR length(p) > 100)) = 0"),
     ("c22_safe_archive_path", PAGE, lambda: X.safe_archive_path(F.regexp_replace("url", "^https?://", "")), r"length(regexp_replace(url, '^https?://', '')) BETWEEN 1 AND 512 AND NOT regexp_matches(regexp_replace(url, '^https?://', ''), '^/|/$|[\\\x00-\x1f\x7f]') AND len(list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda p: p IN ('', '.', '..'))) = 0"),
     ("c23_safe_recording_name", PAGE, lambda: X.safe_recording_name(F.concat(F.regexp_replace("url", "^https?://[^/]*/", ""), F.lit(".wav"))), r"length(regexp_replace(url, '^https?://[^/]*/', '')) <= 251 AND NOT regexp_matches(regexp_replace(url, '^https?://[^/]*/', ''), '[/\\\x00-\x1f\x7f]')"),
     ("c25_text_file", PAGE, lambda: F.lower("url").rlike("[.](txt|md|srt|vtt|html?)$"), "regexp_matches(lower(url), '[.](txt|md|srt|vtt|html?)$')"),
     ("m05_headroom", LINE, lambda: F.when(F.col("peak") >= -1, "fail").when(F.col("peak") >= -3, "review").otherwise("pass"), "CASE WHEN peak >= -1 THEN 'fail' WHEN peak >= -3 THEN 'review' ELSE 'pass' END"),
-    ("m27_syllables", DOC, lambda: X.syllables(first_word(), F.col("lang")), f"greatest(1, len(regexp_extract_all({LETTERS}, '[aeiouy]+')) - CASE WHEN lang = 'fr' AND ends_with({LETTERS}, 'e') AND len(regexp_extract_all({LETTERS}, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END)"),
-    ("j12_similarity", DOC, lambda: X.similarity(F.substring(X.ascii_word("text"), 1, 12), F.substring(X.ascii_word("text"), 3, 12), 3), js(f"1 - levenshtein({ASCII}[1:12], {ASCII}[3:14]) / greatest(length({ASCII}[1:12]), length({ASCII}[3:14]))", 3)),
+    ("m27_syllables", WORDS, lambda: X.syllables(F.col("word"), F.when(F.col("media_id") % 2 == 0, "fr").otherwise("en")), f"greatest(1, len(regexp_extract_all({LETTERS}, '[aeiouy]+')) - CASE WHEN media_id % 2 = 0 AND ends_with({LETTERS}, 'e') AND len(regexp_extract_all({LETTERS}, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END)"),
+    ("j12_similarity", NEIGHBOURS, lambda: X.similarity(F.col("a"), F.col("b"), 3), js("1 - levenshtein(a, b) / greatest(length(a), length(b))", 3)),
     ("l17_review_gain", LINE, lambda: N.js_round(N.clamp(N.decibels_to_linear(-14 - F.col("lufs")), 1.0, 8.0), 6), js("least(greatest(power(10.0, (-14 - lufs) / 20), 1.0), 8.0)", 6)),
     ("l23_band_weight", LINE, lambda: N.clamp(F.least((F.col("duration_ms") - 70) / 60, (7840 - F.col("duration_ms")) / (7840 - 6800)), 0.0, 1.0), "least(greatest(least((duration_ms - 70) / 60, (7840 - duration_ms) / (7840 - 6800)), 0.0), 1.0)"),
     ("q56_video_source", PAGE, lambda: F.lower("url").rlike("[.](mp4|mov|webm|mkv|m4v)$"), "regexp_matches(lower(url), '[.](mp4|mov|webm|mkv|m4v)$')"),
