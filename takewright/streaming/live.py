@@ -221,7 +221,8 @@ HYPOTHESES = "user_id long, result int, alternative int, text string, confidence
 
 def hypotheses(events: DataFrame, stream: bool = False) -> DataFrame:
     """Each user's hypotheses after the last event (user_id, event_id, offset, results), whose time is its event_id; as a stream, after each."""
-    unpacked = lambda rows: [(r["final"], [(a["transcript"], a["confidence"]) for a in r["alternatives"] or []]) for r in rows or []]
+    each = lambda x: [] if x is None else x
+    unpacked = lambda rows: [(r["final"], [(a["transcript"], a["confidence"]) for a in each(r["alternatives"])]) for r in each(rows)]
     step = lambda s, i, offset, results: Hypotheses.step(s, offset, unpacked(results), i)
     show = lambda s, row: [(*map(int, k.split(":")), h["text"], h["confidence"], h["final"], int(h["at"])) for k, h in s.items()]
     columns = ["event_id", "offset", "results"]
