@@ -101,3 +101,9 @@ def non_negative_integer(x: Column | str) -> Column:
 def non_empty_string(x: Column | str) -> Column:
     x = F.trim(_col(x))
     return checked(x, F.length(x) > 0, "expected a non-empty string")
+
+
+def int24(x: Column | str) -> Column:
+    """A sample from -1 to 1 as a signed 24-bit integer, by a scale of its own on each side of 0."""
+    x = clamp(x, -1.0, 1.0)
+    return js_round_int(F.when(x < 0, x * 8388608).otherwise(x * 8388607))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import corpus, package, records
+from ..operators import corpus, imports, package, records
 from ..sources import archives, workspaces
 from ..streaming import live
 from .base import Tables, query
@@ -268,3 +268,47 @@ def arrays_or_empty(t: Tables) -> DataFrame:
 @query("q80_path_tokens")
 def path_tokens(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.stable_token("url").alias("token"), L.trimmed(F.col("url")).alias("url"))
+
+
+# ---- whole packages and payloads
+
+
+@query(
+    "a25_o02_package_archives",
+    """SELECT 'text/' || doc_id || '.txt' AS path, CASE doc_id % 10 WHEN 1 THEN 'missing file' WHEN 2 THEN 'unmanifested file' WHEN 3 THEN 'size differs' WHEN 4 THEN 'sha256 differs' END AS error FROM documents WHERE doc_id % 10 BETWEEN 1 AND 4
+    UNION ALL SELECT 'manifest.json', 'required file missing'""",
+)
+def package_archives(t: Tables) -> DataFrame:
+    """Archives of each source's documents, read again and held against a manifest: of each ten files one is not there, one not manifested, one longer and one other than manifested."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("text/"), i, F.lit(".txt")).alias("path")
+    content = F.when(i % 10 == 3, F.concat("text", F.lit("+"))).when(i % 10 == 4, F.concat(F.expr("substring(text, 1, length(text) - 1)"), F.lit("\x01"))).otherwise(F.col("text"))
+    files = t.documents.where("doc_id % 10 <> 1").select(F.concat_ws(":", "source", F.floor(i / 100)).alias("part"), path, F.encode(content, "utf-8").alias("content"))
+    held = archives.zip_groups(files, "part").select(F.explode(archives.unzip("content")).alias("e"))
+    manifest = records.tracked(t.documents.where("doc_id % 10 <> 2").select(path, F.col("text").alias("content")))
+    return package.validate(manifest, records.tracked(held.select("e.path", "e.content")), ["manifest.json"])
+
+
+def aligned_twice(t: Tables) -> DataFrame:
+    """Every medium's words as an alignment, and but for each fifth medium as a second one, 40 ms later, surer or less sure."""
+    part = F.col("media_id")
+
+    def alignment(later: int, confidence: Column) -> Column:
+        words = F.transform("x", lambda w: F.struct(w["word"].alias("word"), (w["start_ms"] + later).cast("double").alias("startMs"), (w["end_ms"] + later).cast("double").alias("endMs"), F.lit(0.9).alias("confidence")))
+        sound = F.expr("array(named_struct('phoneme', 'a', 'startMs', 0D, 'endMs', 10D, 'confidence', 0.5D, 'wordIndex', 0D))")
+        return F.struct((F.col("last") + 100.0).alias("durationMs"), F.lit("tool").alias("aligner"), F.lit("fr").alias("language"), confidence.alias("confidence"), words.alias("words"), sound.alias("phonemes"))
+
+    x = t.word_timings.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", "start_ms", "end_ms"))).alias("x"), F.max("end_ms").alias("last"))
+    first, second = alignment(0, F.lit(0.8)), alignment(40, F.when(part % 2 == 0, 0.6).otherwise(0.9))
+    return x.select("media_id", F.when(part % 5 == 0, F.to_json(first)).otherwise(F.to_json(F.struct(F.array(first, second).alias("alignments")))).alias("payload"))
+
+
+@query("f13_imported_consensus", "SELECT media_id AS take_id, idx, start_ms + CASE WHEN media_id % 5 <> 0 AND media_id % 2 = 1 THEN 40 ELSE 0 END AS start_ms, end_ms + CASE WHEN media_id % 5 <> 0 AND media_id % 2 = 1 THEN 40 ELSE 0 END AS end_ms FROM word_timings")
+def imported_consensus(t: Tables) -> DataFrame:
+    return imports.import_alignments(aligned_twice(t), "media_id")[0].select("take_id", "idx", "start_ms", "end_ms")
+
+
+@query("l13_int24_samples", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: CASE WHEN x < 0 THEN floor(CAST(greatest(x, -1) AS DOUBLE) * 8388608 + 0.5) ELSE floor(CAST(least(x, 1) AS DOUBLE) * 8388607 + 0.5) END)) AS sum FROM embeddings")
+def int24_samples(t: Tables) -> DataFrame:
+    whole = F.transform("embedding", lambda x: N.int24(x.cast("double")).cast("double"))
+    return t.embeddings.select("vec_id", F.aggregate(whole, F.lit(0.0), lambda a, x: a + x).alias("sum"))
