@@ -254,19 +254,20 @@ def fused_words(t: Tables) -> DataFrame:
 
 @query(
     "i18_phrase_timings",
-    rf"""WITH {TOTALS}, texts AS (SELECT doc_id AS media_id, text, n_chars * 100 AS total_ms,
-      list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS phrases FROM documents),
+    rf"""WITH raw AS (SELECT doc_id AS media_id, unnest(m) AS raw, generate_subscripts(m, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)') AS m FROM documents)),
+    h AS (SELECT media_id, i, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS phrase FROM raw),
+    k AS (SELECT media_id, phrase, row_number() OVER (PARTITION BY media_id ORDER BY i) - 1 AS ord, length(regexp_replace(regexp_replace(phrase, '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*', chr(1), 'g'), '[^\x01]', '', 'g')) AS k FROM h WHERE phrase <> ''),
+    s AS (SELECT media_id, count(*) AS phrases, sum(k) AS whole FROM k GROUP BY media_id),
     n AS (SELECT media_id, count(*) AS n, arg_min(start_ms, idx) AS first, arg_max(end_ms, idx) AS last FROM word_timings GROUP BY media_id),
-    c AS (SELECT t.*, coalesce(n, 0) AS n, first, last, list_transform(phrases, lambda p: len(regexp_extract_all(p, '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*'))) AS counts FROM texts t LEFT JOIN n USING (media_id)),
-    a AS (SELECT *, coalesce(list_sum(counts), 0) AS whole FROM c),
-    single AS (SELECT media_id, 0 AS ord, regexp_replace(text, '^\s+|\s+$', '', 'g') AS phrase, CASE WHEN len(phrases) <= 1 OR n = 0 THEN coalesce(first, 0) ELSE 0 END AS start_ms, CASE WHEN len(phrases) <= 1 OR n = 0 THEN coalesce(last, total_ms) ELSE total_ms END AS end_ms
-      FROM a WHERE len(phrases) <= 1 OR n = 0 OR whole = 0),
-    p AS (SELECT media_id, total_ms, n, whole, generate_subscripts(phrases, 1) - 1 AS ord, unnest(phrases) AS phrase, unnest(counts) AS k FROM a WHERE len(phrases) > 1 AND n > 0 AND whole > 0),
+    a AS (SELECT doc_id AS media_id, text, n_chars * 100 AS total_ms, coalesce(phrases, 0) AS phrases, coalesce(whole, 0) AS whole, coalesce(n, 0) AS n, first, last FROM documents LEFT JOIN s ON doc_id = s.media_id LEFT JOIN n ON doc_id = n.media_id),
+    single AS (SELECT media_id, 0 AS ord, regexp_replace(text, '^\s+|\s+$', '', 'g') AS phrase, CASE WHEN phrases <= 1 OR n = 0 THEN coalesce(first, 0) ELSE 0 END AS start_ms, CASE WHEN phrases <= 1 OR n = 0 THEN coalesce(last, total_ms) ELSE total_ms END AS end_ms
+      FROM a WHERE phrases <= 1 OR n = 0 OR whole = 0),
+    p AS (SELECT media_id, n, whole, ord, phrase, k FROM k JOIN a USING (media_id) WHERE phrases > 1 AND n > 0 AND whole > 0),
     u AS (SELECT *, sum(k) OVER (PARTITION BY media_id ORDER BY ord) AS upto FROM p),
     f AS (SELECT *, least(n - 1, CAST(floor((upto - k) / CAST(whole AS DOUBLE) * n + 0.5) AS BIGINT)) AS a FROM u),
     g AS (SELECT *, least(n - 1, greatest(a + 1, CAST(floor(upto / CAST(whole AS DOUBLE) * n + 0.5) AS BIGINT)) - 1) AS b FROM f)
     SELECT media_id, CAST(ord AS INTEGER) AS ord, phrase, start_ms, end_ms FROM single
-    UNION ALL SELECT g.media_id, CAST(ord AS INTEGER), phrase, s.start_ms, e.end_ms FROM g JOIN word_timings s ON g.media_id = s.media_id AND g.a = s.idx JOIN word_timings e ON g.media_id = e.media_id AND g.b = e.idx""",
+    UNION ALL SELECT g.media_id, CAST(ord AS INTEGER), phrase, s.start_ms, e.end_ms FROM g JOIN word_timings s ON g.media_id * 100000000 + g.a = s.media_id * 100000000 + s.idx JOIN word_timings e ON g.media_id * 100000000 + g.b = e.media_id * 100000000 + e.idx""",
 )
 def phrase_timings(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("media_id"), "text", (F.col("n_chars") * 100).alias("total_ms"))
