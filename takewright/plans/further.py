@@ -66,7 +66,7 @@ ROWS: list[tuple[str, tuple[str, list[str]], Callable[[], Column], str]] = [
     ("q33_positive_number", TAKE, lambda: N.positive_number(F.col("words") + 1), "words + 1"),
     ("q34_non_empty_string", PAGE, lambda: N.non_empty_string(F.concat(F.lit(" "), F.col("url"), F.lit(" "))), "trim(url)"),
     ("q35_folded_word", WORDS, lambda: X.fold("word"), WORD),
-    ("q36_phoneme_weight", EVENT, lambda: P.weight_column(F.element_at(F.array(*map(F.lit, PHONEMES)), (F.col("event_id") % 8 + 1).cast("int"))), "[1.25, 0.72, 1.05, 1.0, 1.25, 0.72, 1.05, 1.0][event_id % 8 + 1]"),
+    ("q36_phoneme_weight", EVENT, lambda: P.weight_column(F.element_at(F.array(*map(F.lit, PHONEMES)), (F.col("event_id") % 8 + 1).cast("int"))), "CAST([1.25, 0.72, 1.05, 1.0, 1.25, 0.72, 1.05, 1.0][event_id % 8 + 1] AS DOUBLE)"),
     ("q39_word_tokens", DOC, lambda: F.array_join(F.filter(F.transform(doc_words(), X.speech_token), lambda w: w != ""), "|"), r"array_to_string(list_filter(list_transform(" + TOKENS + r", lambda w: regexp_replace(lower(strip_accents(w)), '[^\p{L}\p{N}]', '', 'g')), lambda w: w <> ''), '|')"),
     ("q43_lexical_word", WORDS, lambda: X.lexical_word("word"), SPEECH_WORD),
     ("q62_normal_sample", EVENT, lambda: F.coalesce(N.finite(F.when(F.col("event_id") % 5 == 0, float("inf")).otherwise(F.col("value"))), F.lit(0.0)), "CASE WHEN event_id % 5 <> 0 THEN value ELSE 0.0 END"),
