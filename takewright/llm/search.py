@@ -20,7 +20,7 @@ SHARDS = 1 << 15  # so many boxes can be sent to every task
 class Tree:
     """Median splits along the widest side, with the tight box of each node; leaves hold ``leaf`` rows at most."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 64):
+    def __init__(self, points: np.ndarray, leaf: int = 256):
         self.order = np.arange(len(points))
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
