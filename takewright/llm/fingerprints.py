@@ -54,11 +54,12 @@ def check_of(key: np.ndarray) -> np.ndarray:
 
 
 def cells_of(digest: np.ndarray, cells: int) -> np.ndarray:
-    """The cell of each digest in each part (PARTS, n); other places for another number of cells."""
-    part, h = cells // PARTS, common.mix64(digest ^ np.uint64(0x5EED + cells))
-    # 21 bits choose among few cells well; among many, each part has a hash of its own
-    bits = [(h >> np.uint64(21 * j)) & np.uint64(0x1FFFFF) if part < 1 << 15 else common.mix64(h ^ np.uint64(j + 1)) for j in range(PARTS)]
-    return np.stack([(x % np.uint64(part)).astype(np.int64) + j * part for j, x in enumerate(bits)])
+    """The cell of each digest in each part (PARTS, n).  Parts have a power of two of cells, so that a cell's place in a smaller sketch is the rest of that in a larger one."""
+    part, h = cells // PARTS, common.mix64(digest ^ np.uint64(0x5EED))
+    bits = [(h >> np.uint64(21 * j)) & np.uint64(0x1FFFFF) for j in range(PARTS)]
+    if part > 1 << 21:
+        bits = [x | (common.mix64(h ^ np.uint64(j + 1)) << np.uint64(21)) for j, x in enumerate(bits)]
+    return np.stack([(x & np.uint64(part - 1)).astype(np.int64) + j * part for j, x in enumerate(bits)])
 
 
 def sketch(digest: np.ndarray, text: np.ndarray, count: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +71,12 @@ def sketch(digest: np.ndarray, text: np.ndarray, count: int, cells: int) -> tupl
     return n.reshape(count, cells), key.reshape(count, cells)
 
 
+def folded(n: np.ndarray, key: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smaller sketches that larger ones hold."""
+    shape = (len(n), PARTS, n.shape[1] // cells, cells // PARTS)
+    return n.reshape(shape).sum(axis=2).reshape(-1, cells), np.bitwise_xor.reduce(key.reshape(shape), axis=2).reshape(-1, cells)
+
+
 def peel(n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """From differences of sketches: the recovered digests with their rows and signs (1: in the first alone, -1: in the second alone), and of
     each row whether all were recovered.
@@ -102,60 +109,127 @@ def peel(n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
             np.bitwise_xor.at(key, (row, at), k)
 
 
-def near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard indices of the paragraphs of texts from their sketches alone, and of which they could be had: one is subtracted from the other and peeled.
-
-    Each digest counts in PARTS cells, so that the counts say how many there are; those not recovered are in both.
-    """
-    row, _, sign, good = peel(a[0] - b[0], a[1] ^ b[1])
-    only_a, only_b = (np.bincount(row[sign == s], minlength=len(good)) for s in (1, -1))
-    shared = a[0].sum(axis=1) // PARTS - only_a
-    return np.where(shared + only_a + only_b > 0, shared / np.maximum(shared + only_a + only_b, 1), 1.0), good
+#: Sketches of texts by their cells: the numbers of the texts, counts and sums.
+Sketches = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def sketches(digest: np.ndarray, text: np.ndarray, count: int) -> Sketches:
+    """A sketch of each text of the least size (CELLS, doubled again and again) that has one and a half as many cells as digests and gives all of them back when
+    it is peeled: where peeling fails, the next size is tried."""
+    total = np.bincount(text, minlength=count)
+    size = CELLS << np.ceil(np.log2(np.maximum(1.5 * total / CELLS, 1))).astype(np.int64)
+    made: Sketches = {}
+    cells, pending = CELLS, np.ones(count, bool)
+    while pending.any():
+        ids = np.flatnonzero(pending & (size <= cells))
+        if len(ids):
+            number = np.full(count, -1)
+            number[ids] = np.arange(len(ids))
+            mine = number[text] >= 0
+            n, key = sketch(digest[mine], number[text[mine]], len(ids), cells)
+            good = peel(n, key)[3]
+            made[cells] = ids[good], n[good], key[good]
+            pending[ids[good]] = False
+        cells *= 2
+    return made
+
+
+def renumbered(some: Sketches, number: np.ndarray) -> Sketches:
+    """Those texts' sketches that ``number`` gives a new number (-1: none)."""
+    return {cells: (number[ids][kept], n[kept], key[kept]) for cells, (ids, n, key) in some.items() if (kept := number[ids] >= 0).any()}
+
+
+def sizes_of(some: Sketches, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and digests of each text's sketch."""
+    cells, total = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    for c, (ids, n, _) in some.items():
+        cells[ids], total[ids] = c, n.sum(axis=1) // PARTS
+    return cells, total
+
+
+def of_size(some: Sketches, wanted: np.ndarray, cells: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of ``wanted`` texts, folded to ``cells``."""
+    number = np.full(count, -1)
+    number[wanted] = np.arange(len(wanted))
+    out = np.zeros((len(wanted), cells), np.int64), np.zeros((len(wanted), cells), np.uint64)
+    for ids, n, key in renumbered({c: x for c, x in some.items() if c >= cells}, number).values():
+        out[0][ids], out[1][ids] = folded(n, key, cells)
+    return out
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], count: int, most: int = 8) -> np.ndarray:
-    """``near`` of text i of ``a`` and text i of ``b`` (digests, numbers of texts): by their fingerprints of CELLS cells; where too much differs to be peeled, by
-    larger ones of both texts, of four times as many cells as before.
+def compared(a: Sketches, b: Sketches, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For text i of ``a`` and text i of ``b``: the digests that one alone has, as (text, digest, sign; 1: in the first alone, -1: in the second alone).
 
-    A sketch of twice as many cells as there are digests fails once in a great while, where two digests share all their cells; in the next, their cells are
-    others.  What ``most`` rounds beyond that size have not told (the chance is below 1e-30) would count as unlike.
+    The larger sketch is folded to the smaller's size, one is subtracted from the other and peeled; where more differs than that size tells, both are peeled
+    by themselves at their own sizes, which give back all they hold.
     """
-    out, left, cells = np.zeros(count), np.arange(count), CELLS
-    total = sum(np.bincount(x[1], minlength=count) for x in (a, b))
-    tries = np.zeros(count, np.int64)
-    while len(left):
-        where = np.full(count, -1)
-        where[left] = np.arange(len(left))
-        parts = []
-        for digest, text in (a, b):
-            mine = where[text] >= 0
-            parts.append(sketch(digest[mine], where[text[mine]], len(left), cells))
-        value, good = near(*parts)
-        out[left] = np.where(good, value, 0.0)
-        tries[left] += cells > 2 * total[left]
-        left, cells = left[~good], cells * 4
-        left = left[tries[left] < most]
+    mine, theirs = sizes_of(a, count)[0], sizes_of(b, count)[0]
+    common_size, found, failed = np.minimum(mine, theirs), [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], []
+    for cells in np.unique(common_size).tolist():
+        rows = np.flatnonzero(common_size == cells)
+        (n, key), (m, other) = (of_size(x, rows, cells, count) for x in (a, b))
+        row, digest, sign, good = peel(n - m, key ^ other)
+        kept = good[row]
+        found.append((rows[row[kept]], digest[kept], sign[kept]))
+        failed.append(rows[~good])
+    rest = np.concatenate(failed) if failed else np.zeros(0, np.int64)
+    if len(rest):
+        alone = []
+        for some, sign in ((a, 1), (b, -1)):
+            number = np.full(count, -1)
+            number[rest] = rest
+            for ids, n, key in renumbered(some, number).values():
+                row, digest, _, good = peel(n, key)
+                if not good.all():
+                    raise ValueError("no fingerprint: a sketch does not give back what it holds")
+                alone.append((ids[row], digest, np.full(len(row), sign)))
+        row, digest, sign = (np.concatenate(x) for x in zip(*alone, strict=True))
+        order = np.lexsort((digest, row))
+        row, digest, sign = row[order], digest[order], sign[order]
+        twin = np.r_[(row[1:] == row[:-1]) & (digest[1:] == digest[:-1]), False]
+        single = ~(twin | np.r_[False, twin[:-1]])
+        found.append((row[single], digest[single], sign[single]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def likeness(a: Sketches, b: Sketches, count: int) -> np.ndarray:
+    """Jaccard indices of the paragraphs of text i of ``a`` and text i of ``b``, from their sketches alone (``compared``); 1 where both have none."""
+    row, _, sign = compared(a, b, count)
+    only_a, only_b = (np.bincount(row[sign == s], minlength=count) for s in (1, -1))
+    shared = sizes_of(a, count)[1] - only_a
+    return np.where(shared + only_a + only_b > 0, shared / np.maximum(shared + only_a + only_b, 1), 1.0)
+
+
+def strings(some: Sketches, count: int) -> list[str]:
+    """Each text's sketch (16-bit counts, 64-bit sums) as base64."""
+    out = [""] * count
+    for ids, n, key in some.values():
+        raw = np.concatenate([n.astype("<u2").view(np.uint8), key.astype("<u8").view(np.uint8)], axis=1)
+        for i, r in zip(ids.tolist(), raw, strict=True):
+            out[i] = base64.b64encode(r.tobytes()).decode()
     return out
 
 
-def strings(digest: np.ndarray, text: np.ndarray, count: int) -> list[str]:
-    """Each text's sketch of CELLS cells (32-bit counts, 64-bit sums) as base64."""
-    n, key = sketch(digest, text, count, CELLS)
-    raw = np.concatenate([n.astype("<u4").view(np.uint8), key.astype("<u8").view(np.uint8)], axis=1)
-    return [base64.b64encode(r.tobytes()).decode() for r in raw]
-
-
-def read(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches from what ``strings`` made: ``near(read(x), read(y))`` compares texts of which only the fingerprints are there."""
-    raw = np.frombuffer(b"".join(map(base64.b64decode, some)), np.uint8).reshape(len(some), 12 * CELLS)
-    return raw[:, : 4 * CELLS].copy().view("<u4").astype(np.int64), raw[:, 4 * CELLS :].copy().view("<u8").astype(np.uint64)
-
-
-def recovered(a: list[str], b: list[str]) -> list[tuple[set[int], set[int]] | None]:
-    """For versions of texts by their fingerprints: the digests of paragraphs in the first alone and in the second alone, or None where too many differ."""
-    x, y = read(a), read(b)
-    row, digest, sign, good = peel(x[0] - y[0], x[1] ^ y[1])
-    return [({int(d) for d in digest[(row == i) & (sign == 1)]}, {int(d) for d in digest[(row == i) & (sign == -1)]}) if ok else None for i, ok in enumerate(good)]
+def read(some: list[str]) -> Sketches:
+    """Sketches from what ``strings`` made: ``likeness(read(x), read(y), len(x))`` compares texts of which only the fingerprints are there."""
+    rows: dict[int, list[tuple[int, bytes]]] = {}
+    for i, x in enumerate(some):
+        raw = base64.b64decode(x)
+        rows.setdefault(len(raw) // 10, []).append((i, raw))
+    made: Sketches = {}
+    for cells, held in rows.items():
+        raw = np.frombuffer(b"".join(r for _, r in held), np.uint8).reshape(len(held), 10 * cells)
+        made[cells] = np.array([i for i, _ in held]), raw[:, : 2 * cells].copy().view("<u2").astype(np.int64), raw[:, 2 * cells :].copy().view("<u8").astype(np.uint64)
+    return made
+
+
+def recovered(a: list[str], b: list[str]) -> list[tuple[set[int], set[int]]]:
+    """For versions of texts by their fingerprints: the digests of paragraphs in the first alone and in the second alone."""
+    row, digest, sign = compared(read(a), read(b), len(a))
+    out: list[tuple[set[int], set[int]]] = [(set(), set()) for _ in a]
+    for r, d, s in zip(row.tolist(), digest.tolist(), sign.tolist(), strict=True):
+        out[r][s < 0].add(d)
+    return out
 
 
 def with_next(docs: DataFrame, rows: int = 1500, most: int = 20_000) -> DataFrame:
@@ -187,7 +261,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     descending order of doc_id; after the last comes the first.  Returns ``doc_id``, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next`` (to the next document's fingerprint).
 
-    Likenesses are those of the fingerprints, subtracted and peeled, or of larger ones of the same texts where too much differs for theirs (``likeness``).
+    Likenesses are those of the returned fingerprints and of nothing else: ``likeness(read([x]), read([y]), 1)`` gives them again.  A fingerprint grows with the
+    paragraphs of its text (about 15 base64 digits a cell, one and a half to three cells a paragraph), so that it can give back all of them.
     Null text counts as empty; two texts without paragraphs have likeness 1.  A null doc_id comes last, rows of one doc_id in the
     order of a hash of their texts.  An empty table gives an empty result; other columns are ignored.
     """
@@ -208,18 +283,17 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 half = len(texts[i]) // 2
                 edited.append(texts[i][: len(texts[i]) - half] + texts[i + 1][:half])
             n = len(here)
-            own, of_edited = digests(texts, hashes), digests(edited, hashes)
+            own = sketches(*digests(texts, hashes), len(texts))
+            of_edited = sketches(*digests(edited, hashes), n)
             number = np.full(len(rows) + 1, -1)
             number[here] = np.arange(n)
-            mine, nexts = number[own[1]] >= 0, number[own[1] - 1] >= 0
-            a = own[0][mine], number[own[1][mine]]
-            b = own[0][nexts], number[own[1][nexts] - 1]
+            a, b = renumbered(own, number), renumbered(own, np.r_[-1, number[:-1]])
             out = [
                 pa.array([rows[i][2] for i in here], pa.int64()),
                 pa.array([len(texts[i]) for i in here], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-                pa.array(strings(*a, n)),
-                pa.array(strings(*of_edited, n)),
+                pa.array(strings(a, n)),
+                pa.array(strings(of_edited, n)),
                 pa.array(likeness(a, of_edited, n)),
                 pa.array(likeness(a, b, n)),
             ]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -16,6 +18,8 @@ from tokenizers import Tokenizer
 from takewright.llm import counting, fingerprints, jaccard, mixing, packing, quality, search, secrets, substrings, tokens, toxicity
 from takewright.llm.graph import components
 
+from .conftest import prose
+
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,15 +73,11 @@ def test_groups_are_packed_by_themselves(docs, texts):
     assert len(ends) <= sum(ends.values()) / 256 + 2 * -(-len(rows) // 40)
 
 
-@pytest.mark.parametrize("seed", range(50))
-def test_sum_of_squares_rule(seed):
-    rng = np.random.default_rng(seed)
-    capacity = int(rng.integers(8, 60))
-    sizes = rng.integers(1, capacity + 1, 120)
-    bins, left = packing.fill(sizes, capacity)
+def follows_the_rule(sizes: list[int], bins: list[int], left: list[int], capacity: int) -> None:
+    """Every placement, in order, is one that makes the sum of squares smallest."""
     gaps: Counter = Counter()
     fills: dict[int, int] = {}
-    for s, b in zip(sizes.tolist(), bins.tolist(), strict=True):
+    for s, b in zip(sizes, bins, strict=True):
         def cost(gap: int, s: int = s) -> int:
             g = gaps.copy()
             g[gap] -= gap < capacity
@@ -89,7 +89,31 @@ def test_sum_of_squares_rule(seed):
         gaps[gap] -= gap < capacity
         gaps[gap - s] += gap > s
         fills[b] = fills.get(b, 0) + s
-    assert [capacity - fills[i] for i in range(len(left))] == left.tolist()
+    assert [capacity - fills[i] for i in range(len(left))] == left
+
+
+@pytest.mark.parametrize("seed", range(50))
+def test_sum_of_squares_rule(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(8, 60))
+    sizes = rng.integers(1, capacity + 1, 120)
+    bins, left = packing.fill(sizes, capacity)
+    follows_the_rule(sizes.tolist(), bins.tolist(), left.tolist(), capacity)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_every_final_placement_is_by_the_rule(seed):
+    rng = np.random.default_rng(seed)
+    capacity = 60
+    sizes = rng.integers(1, 46, 400)
+    bins, offsets = packing.fewest(sizes, capacity)
+    last: dict[int, tuple[int, int]] = {}
+    for k, (items, new, left) in enumerate(packing.passes(sizes, capacity)):
+        follows_the_rule(sizes[items].tolist(), new.tolist(), left.tolist(), capacity)
+        last |= {i: (k, b) for i, b in zip(items.tolist(), new.tolist(), strict=True)}
+    assert sorted(last) == list(range(len(sizes)))
+    # items of one bin are those of one bin of one pass, and no other
+    assert len(set(zip(bins.tolist(), (last[i] for i in range(len(sizes))), strict=True))) == len(set(last.values())) == bins.max() + 1
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -309,20 +333,32 @@ def test_peeling_recovers_differences():
     rng = np.random.default_rng(4)
     hashes = fingerprints.common.WordHashes()
     words = [f"w{i}" for i in range(3000)]
-    a = [" ".join(rng.choice(words, 900)) for _ in range(6)] + ["", "one", "", "a b c\n" * 40]
-    b = [t[:3000] + " other " + t[3000:] if i % 2 else " ".join(rng.choice(words, 700)) for i, t in enumerate(a[:6])] + ["", "", "two", "a b c\n" * 39]
+    a = [" ".join(rng.choice(words, 900)) for _ in range(6)] + ["", "one", "", "a b c\n" * 40, " ".join(rng.choice(words, 9000)), "one"]
+    b = [t[:3000] + " other " + t[3000:] if i % 2 else " ".join(rng.choice(words, 700)) for i, t in enumerate(a[:6])] + ["", "", "two", "a b c\n" * 39, "two", a[10]]
     x, y = fingerprints.digests(a, hashes), fingerprints.digests(b, hashes)
-    for i, near in enumerate(fingerprints.likeness(x, y, len(a))):
-        assert near == pytest.approx(brute_index(x[0][x[1] == i], y[0][y[1] == i]))
-    mine, theirs = fingerprints.strings(*x, len(a)), fingerprints.strings(*y, len(a))
-    found = fingerprints.recovered(mine, theirs)
-    assert found[0] is found[2] is None
-    for i in (1, 3, 5, 6, 7, 8, 9):
-        p, q = set(x[0][x[1] == i].tolist()), set(y[0][y[1] == i].tolist())
-        assert found[i] == (p - q, q - p)
-    index, good = fingerprints.near(fingerprints.read(mine), fingerprints.read(theirs))
-    assert good.tolist() == [f is not None for f in found]
-    assert index[1] == pytest.approx(brute_index(x[0][x[1] == 1], y[0][y[1] == 1]))
+    mine, theirs = (fingerprints.strings(fingerprints.sketches(*d, len(a)), len(a)) for d in (x, y))
+    sizes = [len(base64.b64decode(m)) // 10 for m in mine]
+    assert sizes[7] == 24 and sizes[10] > 2000 and {s // 3 & (s // 3 - 1) for s in sizes} == {0}
+    for i, (near, (only, other)) in enumerate(zip(fingerprints.likeness(fingerprints.read(mine), fingerprints.read(theirs), len(a)), fingerprints.recovered(mine, theirs), strict=True)):
+        p, q = x[0][x[1] == i], y[0][y[1] == i]
+        assert near == pytest.approx(brute_index(p, q))
+        assert (only, other) == (set(p.tolist()) - set(q.tolist()), set(q.tolist()) - set(p.tolist()))
+
+
+def test_larger_sketches_hold_smaller_ones():
+    digest = fingerprints.digests([prose(3, 700)], fingerprints.common.WordHashes())
+    for cells in (24, 48, 96):
+        for got, want in zip(fingerprints.folded(*fingerprints.sketch(*digest, 1, 384), cells), fingerprints.sketch(*digest, 1, cells), strict=True):
+            assert (got == want).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_likeness_is_that_of_the_returned_fingerprints(spark):
+    rows = sorted(fingerprints.fingerprint(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect(), key=lambda r: -r.doc_id)
+    own, edited = ([r[c] for r in rows] for c in ("fingerprint", "edited_fingerprint"))
+    near = lambda x, y: fingerprints.likeness(fingerprints.read(x), fingerprints.read(y), len(x)).tolist()
+    assert near(own, edited) == [r.near_edited for r in rows]
+    assert near(own, [*own[1:], own[0]]) == [r.near_next for r in rows]
 
 
 def brute_secrets(text: str):
