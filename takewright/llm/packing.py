@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import Encoder
 
+MOST_EMPTIED = 4096  # bins that are packed again at once: fewer than these
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long"
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64())])
 
@@ -103,7 +104,7 @@ def passes(sizes: np.ndarray, capacity: int) -> Iterator[tuple[np.ndarray, np.nd
     """Passes of the sum-of-squares rule: the items of each in the order in which it placed them, the bins, and the bins' places left (of these items alone).
 
     The first pass places all items.  After it the emptiest bins, eight at first, are emptied, and the rule places their items anew in its best order; while that
-    saves no bin, twice as many are, as long as others stay.  A pass is given only if it saves a bin, and the last pass of an item is where it lies.  It ends where no fewer
+    saves no bin, twice as many are, fewer than MOST_EMPTIED and as long as others stay.  A pass is given only if it saves a bin, and the last pass of an item is where it lies.  It ends where no fewer
     bins could hold the items.
     """
     order, bins, left = best_order(sizes, capacity)
@@ -111,12 +112,12 @@ def passes(sizes: np.ndarray, capacity: int) -> Iterator[tuple[np.ndarray, np.nd
     of = np.empty(len(sizes), np.int64)
     of[order] = bins
     least, some = -(-int(sizes.sum()) // capacity), 8
-    while len(left) > least and some < len(left):
+    while len(left) > least and some < min(len(left), MOST_EMPTIED):
         pool = np.zeros(len(left), bool)
         pool[np.argsort(-left, kind="stable")[:some]] = True
         items = np.flatnonzero(pool[of])
         order, bins, rest = best_order(sizes[items], capacity)
-        if len(rest) == some:
+        if len(rest) >= some:
             some *= 2
             continue
         yield items[order], bins, rest
