@@ -305,3 +305,52 @@ def validate_wav(content: bytes | None) -> dict:
     except (ValueError, struct.error) as problem:
         out["error"] = str(problem)
     return out
+
+
+def decode_wav(content: bytes | None) -> tuple[np.ndarray, int]:
+    """Samples (channel, place) and rate of a PCM WAV file of 8, 16, 24 or 32 bits; what is not valid raises an error that says why."""
+    told = validate_wav(content)
+    if told["error"] or told["depth"] not in (8, 16, 24, 32):
+        raise ValueError(told["error"] or f"{told['depth']} bits a sample")
+    at = 12
+    while content[at : at + 4] != b"data":
+        n = struct.unpack_from("<I", content, at + 4)[0]
+        at += 8 + n + n % 2
+    raw = np.frombuffer(content, np.uint8, struct.unpack_from("<I", content, at + 4)[0], at + 8).reshape(-1, told["depth"] // 8)
+    if told["depth"] == 8:
+        whole = raw[:, 0].astype(np.float64) - 128
+    else:
+        wide = np.zeros((len(raw), 4), np.uint8)
+        wide[:, 4 - raw.shape[1] :] = raw
+        whole = wide.reshape(-1).view("<i4").astype(np.float64) / 2 ** (32 - told["depth"])
+    return (whole / 2 ** (told["depth"] - 1)).reshape(-1, told["channels"]).T, told["rate"]
+
+
+ANALYSIS_RATE = 16_000
+MOST_SPECTRAL_S = 5 * 60
+
+
+def analysis_signals(content: bytes | None) -> dict:
+    """A recording as it is analysed: at 16 kHz, the first two channels as ``left`` and ``right`` (none: null), their mean as ``mono``, and the voice that
+    lies between them as ``focus``.  Separation is for recordings of five minutes at most."""
+    channels, rate = decode_wav(content)
+    left, *others = (resample(c, rate, ANALYSIS_RATE) for c in channels[:2])
+    right = others[0] if others else None
+    mono = left if right is None else (left + right) / 2
+    focus = vocal_band(left, ANALYSIS_RATE) if right is None else stereo_focus(left, right, ANALYSIS_RATE)
+    return {"mono": mono, "focus": focus, "left": left, "right": right, "spectral": len(left) <= MOST_SPECTRAL_S * ANALYSIS_RATE, "rate": ANALYSIS_RATE}
+
+
+def processed_voice(content: bytes | None) -> dict:
+    """The voice of a recording as a WAV file of 16 kHz and 24 bits, and by which method: separated in the spectrum, or where the recording is too long for that or
+    separation leaves nothing that is finite, the focus in the voice's band.  A recording that cannot be decoded has an error and no file."""
+    try:
+        x = analysis_signals(content)
+    except ValueError as problem:
+        return {"content": None, "method": None, "error": str(problem)}
+    out, method = x["focus"], "vocal_band_transient_reduction"
+    if x["spectral"] and len(x["left"]):
+        parted = separate(x["left"], x["left"] if x["right"] is None else x["right"], ANALYSIS_RATE)
+        if np.isfinite(parted).all():
+            out, method = parted, "spectral_mid_side_residual_vocal_band"
+    return {"content": encode_wav24(out, ANALYSIS_RATE), "method": method, "error": None}

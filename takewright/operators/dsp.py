@@ -74,3 +74,20 @@ def validate_wav(content: pd.Series) -> pd.DataFrame:
     rows = [S.validate_wav(None if c is None else bytes(c)) for c in content]
     whole = {k: pd.array([r[k] for r in rows], dtype="Int64") for k in ("rate", "channels", "depth", "duration_ms")}
     return pd.DataFrame({**whole, "error": [r["error"] for r in rows]})
+
+
+@pandas_udf("content binary, method string, error string")
+def processed_voice(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([S.processed_voice(None if c is None else bytes(c)) for c in content], columns=["content", "method", "error"])
+
+
+@pandas_udf("mono array<double>, focus array<double>, stereo boolean, spectral boolean, error string")
+def analysis_signals(content: pd.Series) -> pd.DataFrame:
+    rows = []
+    for c in content:
+        try:
+            x = S.analysis_signals(None if c is None else bytes(c))
+            rows.append((x["mono"], x["focus"], x["right"] is not None, x["spectral"], None))
+        except ValueError as problem:
+            rows.append((None, None, None, None, str(problem)))
+    return pd.DataFrame(rows, columns=["mono", "focus", "stereo", "spectral", "error"])

@@ -5,10 +5,15 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
+from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
 from ..functions.arrow import pandas_udf
@@ -18,31 +23,158 @@ MOST_BYTES, MOST_ENTRY_BYTES, MOST_ENTRIES = 1 << 30, 256 << 20, 5000
 ENTRY = "array<struct<path:string,content:binary,crc:bigint,error:string>>"
 
 
+class Breach(ValueError):
+    """What a strict reader does not accept."""
+
+
+def unsafe(path: str) -> bool:
+    return not path or len(path) > 512 or "\\" in path or any(p in ("", ".", "..") for p in path.split("/"))
+
+
+def directory(z: zipfile.ZipFile, size: int, most_bytes: int | None = None, most_entry: int | None = None, most_entries: int | None = None) -> list[zipfile.ZipInfo]:
+    """The entries of an archive of ``size`` bytes by its central directory alone, strictly: stored, whole, apart from each other, of safe names that occur once, within the limits given."""
+    if most_bytes is not None and size > most_bytes:
+        raise Breach("archive too large")
+    infos = z.infolist()
+    if most_entries is not None and len(infos) > most_entries:
+        raise Breach("too many entries")
+    if len({i.filename for i in infos}) < len(infos):
+        raise Breach("duplicate entry")
+    for i in infos:
+        if i.compress_type != zipfile.ZIP_STORED or i.flag_bits & 0x9 or (most_entry is not None and i.file_size > most_entry):
+            raise Breach(f"unsupported entry: {i.filename}")
+        if unsafe(i.filename):
+            raise Breach(f"unsafe path: {i.filename}")
+        if i.file_size != i.compress_size:
+            raise Breach(f"sizes differ: {i.filename}")
+    # a stored entry takes its header of 30 bytes, its name and its content at least
+    placed = sorted((i.header_offset, i.header_offset + 30 + len(i.filename.encode()) + i.compress_size, i.filename) for i in infos)
+    for (_, end, _), (start, _, name) in zip(placed, [*placed[1:], (z.start_dir, 0, "the directory")], strict=True):
+        if end > start:
+            raise Breach(f"overlapping entry: {name}")
+    return infos
+
+
 def entries(content: bytes) -> list[dict]:
     """Entries of a stored archive, strictly: any breach is one row with an error."""
-    fail = lambda why: [{"path": None, "content": None, "crc": None, "error": why}]
-    if len(content) > MOST_BYTES:
-        return fail("archive too large")
     try:
+        if len(content) > MOST_BYTES:
+            raise Breach("archive too large")
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            infos = z.infolist()
-            if len(infos) > MOST_ENTRIES:
-                return fail("too many entries")
-            names = [i.filename for i in infos]
-            if len(set(names)) < len(names):
-                return fail("duplicate entry")
-            out = []
-            for i in infos:
-                parts = i.filename.split("/")
-                if i.compress_type != zipfile.ZIP_STORED or i.flag_bits & 0x9 or i.file_size > MOST_ENTRY_BYTES:
-                    return fail(f"unsupported entry: {i.filename}")
-                if not i.filename or len(i.filename) > 512 or "\\" in i.filename or any(p in ("", ".", "..") for p in parts):
-                    return fail(f"unsafe path: {i.filename}")
-                data = z.read(i)
-                out.append({"path": i.filename, "content": data, "crc": zlib.crc32(data), "error": None})
-            return out
+            return [{"path": i.filename, "content": (data := z.read(i)), "crc": zlib.crc32(data), "error": None} for i in directory(z, len(content), MOST_BYTES, MOST_ENTRY_BYTES, MOST_ENTRIES)]
     except (zipfile.BadZipFile, ValueError, NotImplementedError, EOFError) as problem:
-        return fail(str(problem))
+        return [{"path": None, "content": None, "crc": None, "error": str(problem)}]
+
+
+@dataclass
+class Range(InputPartition):
+    """Places ``first`` to ``last`` (not included) in an archive's directory, or what is wrong with it."""
+
+    archive: str
+    first: int
+    last: int
+    error: str | None = None
+
+
+class ArchiveReader(DataSourceReader):
+    """Entries of stored archives.  Planning reads directories alone and cuts them into ranges of about ``range_bytes``; filters on ``path`` and ``archive`` leave
+    entries out before any is read."""
+
+    def __init__(self, path: str, range_bytes: int, limits: tuple[int | None, int | None, int | None], with_content: bool):
+        self.path, self.range_bytes, self.limits, self.with_content = path, range_bytes, limits, with_content
+        self.tests: list[tuple[str, str, tuple[str, ...]]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in (("path",), ("archive",)):
+                self.tests.append((f.attribute[0], "in", (f.value,)))
+            elif isinstance(f, In) and f.attribute in (("path",), ("archive",)):
+                self.tests.append((f.attribute[0], "in", tuple(f.value)))
+            elif isinstance(f, StringStartsWith) and f.attribute in (("path",), ("archive",)):
+                self.tests.append((f.attribute[0], "starts", (f.value,)))
+            else:
+                yield f
+
+    def wanted(self, column: str, value: str) -> bool:
+        return all(c != column or (value in values if kind == "in" else value.startswith(values)) for c, kind, values in self.tests)
+
+    def partitions(self) -> Sequence[Range]:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(self.path)
+        found = system.get_file_info(at)
+        infos = system.get_file_info(fs.FileSelector(at, recursive=True)) if found.type == fs.FileType.Directory else [found]
+        names = sorted(i.path for i in infos if i.type == fs.FileType.File and (len(infos) == 1 or i.path.endswith(".zip")) and self.wanted("archive", i.path))
+        if found.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        with ThreadPoolExecutor(16) as pool:
+            return [r for some in pool.map(self.ranges, names) for r in some]
+
+    def ranges(self, archive: str) -> list[Range]:
+        from pyarrow import fs
+
+        try:
+            with fs.FileSystem.from_uri(self.path)[0].open_input_file(archive) as f:
+                if f.size() < zipfile.sizeEndCentDir:
+                    raise Breach("File is not a zip file")
+                with zipfile.ZipFile(f) as z:
+                    infos = directory(z, f.size(), *self.limits)
+        except (zipfile.BadZipFile, ValueError, NotImplementedError, EOFError) as problem:
+            return [Range(archive, 0, 0, str(problem))]
+        out, first, held = [], None, 0
+        for n, info in enumerate(infos):
+            if self.wanted("path", info.filename):
+                if first is not None and held + info.file_size > self.range_bytes:
+                    out.append(Range(archive, first, n))
+                    first = None
+                if first is None:
+                    first, held = n, 0
+                held += info.file_size
+        return [*out, Range(archive, first, len(infos))] if first is not None else out
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        if partition.error:
+            yield partition.archive, None, None, None, None, partition.error
+            return
+        with fs.FileSystem.from_uri(self.path)[0].open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
+            for info in z.infolist()[partition.first : partition.last]:
+                if not self.wanted("path", info.filename):
+                    continue
+                try:
+                    content = z.read(info) if self.with_content else None
+                    yield partition.archive, info.filename, info.file_size, info.CRC, content, None
+                except (zipfile.BadZipFile, EOFError) as problem:
+                    yield partition.archive, info.filename, info.file_size, info.CRC, None, str(problem)
+
+
+class Archives(DataSource):
+    """``spark.read.format("archives")``: archive, path, byte_size, crc, content and error.
+
+    Options: ``path`` (an archive, or a folder of ``.zip`` files), ``range_bytes`` (64 MB), ``content`` (false: directories alone), ``strict`` (true: a reader's limits of
+    1 GiB an archive, 256 MiB an entry and 5000 entries hold; otherwise archives may have any size).  An archive that breaks a rule is one row with
+    its error; an entry whose content does not fit its checksum has an error and no content.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "archives"
+
+    def schema(self) -> str:
+        return "archive string, path string, byte_size long, crc long, content binary, error string"
+
+    def reader(self, schema: StructType) -> ArchiveReader:
+        strict = self.options.get("strict", "false").lower() == "true"
+        limits = (MOST_BYTES, MOST_ENTRY_BYTES, MOST_ENTRIES) if strict else (None, None, None)
+        return ArchiveReader(self.options["path"], int(self.options.get("range_bytes", 64 << 20)), limits, self.options.get("content", "true").lower() != "false")
+
+
+def scan(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """``Archives`` at a path, with filters on ``path`` and ``archive`` pushed to it."""
+    spark.dataSource.register(Archives)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("archives").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
 def pack(files: list[tuple[str, bytes]]) -> bytes:
@@ -94,7 +226,8 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recording(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", name).load(path)
+    """The recording of exactly that name: a name is no pattern."""
+    return spark.read.format("binaryFile").load(path).where(F.element_at(F.split("path", "/"), -1) == name)
 
 
 def media_identity(files: DataFrame) -> DataFrame:
