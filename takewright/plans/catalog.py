@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compositions, evidence, further, kernels, packages, records, relational, scalar  # noqa: F401  (they register their queries)
+from . import compositions, evidence, further, kernels, packages, recordings, records, relational, scalar  # noqa: F401  (they register their queries)
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "m11_duplicate_readiness"
