@@ -32,11 +32,14 @@ def pack_sentences(docs: DataFrame, key: str, most: int = 24) -> DataFrame:
     return x.withColumn("idx", F.col("idx").cast("long"))
 
 
-def split_long(segments: DataFrame, most: int = 32, size: int = 24) -> DataFrame:
-    """Segments of more than ``most`` words in chunks of ``size``; other columns go to each chunk."""
+def split_long(segments: DataFrame, most: int = 32, size: int = 24, place: str | None = None) -> DataFrame:
+    """Segments of more than ``most`` words in chunks of ``size``; other columns go to each chunk, and as ``place``, if named, its number."""
     words = X.tokens_by_space("text")
     chunks = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(size)), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-    return segments.withColumn("text", F.explode(F.when(F.size(words) > most, chunks).otherwise(F.array("text"))))
+    parts = F.when(F.size(words) > most, chunks).otherwise(F.array("text"))
+    if place is None:
+        return segments.withColumn("text", F.explode(parts))
+    return segments.select(*(c for c in segments.columns if c != "text"), F.posexplode(parts).alias(place, "text"))
 
 
 def subtitle_cues(files: DataFrame, key: str) -> DataFrame:
@@ -54,7 +57,7 @@ def subtitle_cues(files: DataFrame, key: str) -> DataFrame:
     return x.select(key, F.col("cue").cast("long").alias("cue"), F.col("at.start_ms").alias("start_ms"), F.col("at.end_ms").alias("end_ms"), text.alias("text")).where("text <> ''")
 
 
-def segments(scripts: DataFrame, key: str, name: str = "source_name") -> DataFrame:
+def segments(scripts: DataFrame, key: str, name: str = "source_name", place: str | None = None) -> DataFrame:
     """Prompt segments of scripts: cues of subtitles, else lines if three or more have words, else packed prose; labels stripped, long ones cut."""
     x = scripts.withColumn("text", X.normalize_corpus_text("text")).withColumn("subtitle", X.is_subtitle(F.col("text"), F.coalesce(name, F.lit(""))))
     usable = F.filter(F.transform(F.split("text", "\n"), X.clean_segment), lambda s: s != "")
@@ -63,7 +66,7 @@ def segments(scripts: DataFrame, key: str, name: str = "source_name") -> DataFra
     cues = subtitle_cues(x.where("subtitle"), key).select(key, F.col("cue").alias("ord"), "text", "start_ms", "end_ms")
     by_line = x.where("not subtitle and size(lines) >= 3").select(key, F.posexplode("lines").alias("ord", "text")).select(key, F.col("ord").cast("long"), "text", none.alias("start_ms"), none.alias("end_ms"))
     prose = pack_sentences(x.where("not subtitle and size(lines) < 3"), key).select(key, F.col("idx").alias("ord"), "text", none.alias("start_ms"), none.alias("end_ms"))
-    return split_long(strip_speaker_labels(cues.unionByName(by_line).unionByName(prose), key))
+    return split_long(strip_speaker_labels(cues.unionByName(by_line).unionByName(prose), key), place=place)
 
 
 def prompt_defaults(words: Column) -> list[Column]:
@@ -101,3 +104,29 @@ def infer_attack(primary: Column) -> Column:
 
 def corpus_id(mode: str, language: Column, text: Column) -> Column:
     return X.hash_corpus_text(F.concat_ws(":", F.lit(mode), language, X.normalize_corpus_text(text)))
+
+
+CORPUS_VERSION = "0.1.0"
+
+
+def local_corpora(scripts: DataFrame, key: str, mode: str, name: str = "source_name") -> tuple[DataFrame, DataFrame]:
+    """Corpora of scripts (``key``, text, language, ``name``), one each: their prompts, and their summaries.
+
+    Ids are made of a hash of mode, language and normalised text; prompts are numbered from 1 with three digits at least, in order, and have bounds and a difficulty of their own.  A script without
+    segments has no corpus.
+    """
+    from pyspark.sql import Window
+
+    ids = scripts.select(key, "language", F.col(name).alias("source_name"), corpus_id(mode, F.col("language"), F.col("text")).alias("hash"))
+    x = segments(scripts, key, name, "chunk").withColumn("words", F.size(X.tokens_by_space("text")).cast("long"))
+    order = Window.partitionBy(key).orderBy("ord", "chunk")
+    x = x.withColumn("place", F.row_number().over(order)).join(ids, key)
+    place = F.col("place").cast("string")
+    ordinal = F.lpad(place, F.greatest(F.lit(3), F.length(place)), F.lit("0"))
+    prompts = x.select(
+        key, F.concat(F.lit(f"corpus.local.{mode}."), "hash").alias("corpus_id"), F.concat_ws(".", F.lit("scenario"), "language", F.lit(mode), "hash").alias("scenario_id"), F.concat_ws(".", F.lit("prompt"), "language", F.lit(mode), "hash", ordinal).alias("prompt_id"),
+        "language", "text", "words", "start_ms", "end_ms", *prompt_defaults(F.col("words")),
+    )
+    totals = prompts.groupBy(key, "corpus_id").agg(F.count("*").alias("prompts"), F.count("start_ms").alias("timed"), F.sum("words").alias("words"))
+    summary = totals.join(ids.select(key, "source_name"), key).select(key, "corpus_id", F.lit(CORPUS_VERSION).alias("version"), F.nullif(F.trim("source_name"), F.lit("")).alias("source_name"), "prompts", "timed", "words")
+    return prompts, summary

@@ -220,11 +220,13 @@ def warp(times: DataFrame, anchors: DataFrame, key: str = "media_id", keep: Sequ
     return x.select(key, *keep, "t", js_round_int(low["target_ms"] + clamp(part, 0.0, 1.0) * (high["target_ms"] - low["target_ms"])).alias("warped_ms"))
 
 
-def increasing_anchors(anchors: DataFrame, key: str = "media_id") -> DataFrame:
-    """Anchors that exceed their predecessor, in source order, in both coordinates."""
-    order = Window.partitionBy(key).orderBy("source_ms", "target_ms")
-    x = anchors.withColumn("s", F.lag("source_ms").over(order)).withColumn("t", F.lag("target_ms").over(order))
-    return x.where(F.col("s").isNull() | ((F.col("source_ms") > F.col("s")) & (F.col("target_ms") > F.col("t")))).drop("s", "t")
+def increasing_anchors(anchors: DataFrame, key: str = "media_id", order: str = "target_ms") -> DataFrame:
+    """Anchors in the order of ``source_ms``, each later in it than the one before; of equal ones the first by ``order``.
+
+    Targets may fall or repeat: what is estimated orders the anchors, what was heard does not.
+    """
+    x = anchors.withColumn("s", F.lag("source_ms").over(Window.partitionBy(key).orderBy("source_ms", order)))
+    return x.where(F.col("s").isNull() | (F.col("source_ms") > F.col("s"))).drop("s")
 
 
 def capture_time(times: DataFrame, timeline: DataFrame, key: str = "media_id") -> DataFrame:

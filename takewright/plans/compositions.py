@@ -170,12 +170,17 @@ def unique_ids(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("i14_time_anchors", "SELECT media_id, start_ms AS source_ms, CAST(start_ms + idx * 3 AS BIGINT) AS target_ms FROM word_timings WHERE idx % 4 = 0")
+ANCHORED = "SELECT media_id, idx, start_ms - start_ms % 500 AS source_ms, CAST(start_ms + idx * 3 - idx % 7 * 400 AS BIGINT) AS target_ms FROM word_timings"
+
+
+@query("i14_time_anchors", f"SELECT media_id, source_ms, target_ms FROM (SELECT *, row_number() OVER (PARTITION BY media_id, source_ms ORDER BY idx) AS n FROM ({ANCHORED})) WHERE n = 1")
 def time_anchors(t: Tables) -> DataFrame:
+    """Estimates that repeat, with heard times that rise, fall and repeat."""
     from ..operators.intervals import increasing_anchors
 
-    x = t.word_timings.where("idx % 4 = 0").select("media_id", F.col("start_ms").alias("source_ms"), (F.col("start_ms") + F.col("idx") * 3).alias("target_ms"))
-    return increasing_anchors(x)
+    source, target = F.col("start_ms") - F.col("start_ms") % 500, F.col("start_ms") + F.col("idx") * 3 - F.col("idx") % 7 * 400
+    x = t.word_timings.select("media_id", "idx", source.alias("source_ms"), target.alias("target_ms"))
+    return increasing_anchors(x, order="idx").select("media_id", "source_ms", "target_ms")
 
 
 @query("i11_rescaled_words", "SELECT media_id, idx, CAST(floor(1000 + start_ms / CAST(greatest(whole, 1) AS DOUBLE) * 5000 + 0.5) AS BIGINT) AS start_ms FROM (SELECT *, max(end_ms) OVER (PARTITION BY media_id) AS whole FROM word_timings)")

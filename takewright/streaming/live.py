@@ -140,11 +140,13 @@ class Recognition:
         return " ".join(state[k]["text"].strip() for k in keys if state[k]["text"].strip())
 
 
-def endpoint_ready(confirmed_ms: float | None, now_ms: float, quiet_ms: float, slow: bool = False) -> bool:
-    """Whether a capture may end: settled after speech was confirmed, or the fail-safe has passed."""
+def endpoint_ready(confirmed_ms: float | None, now_ms: float, active: bool, quiet_ms: float, expressive: bool = False) -> bool:
+    """Whether a capture whose end was confirmed may stop: never before it has settled; then once it has been silent for as long, or at last when the fail-safe has passed."""
     if confirmed_ms is None:
         return False
-    return quiet_ms >= (640 if slow else 520) or now_ms - confirmed_ms >= (1900 if slow else 1550)
+    settle, failsafe = (640, 1900) if expressive else (520, 1550)
+    since = max(0.0, now_ms - confirmed_ms)
+    return since >= settle and ((not active and quiet_ms >= settle) or since >= failsafe)
 
 
 def frame_pace(state: dict | None, gap_ms: float) -> dict:
@@ -152,7 +154,7 @@ def frame_pace(state: dict | None, gap_ms: float) -> dict:
     s = dict(state or {"mean": 1000 / 60, "slow": False})
     if 0 < gap_ms <= 250:
         s["mean"] += 0.12 * (gap_ms - s["mean"])
-        s["slow"] = s["mean"] > 1000 / 36 or (s["slow"] and s["mean"] > 1000 / 50)
+        s["slow"] = s["mean"] > 1000 / 36 or (s["slow"] and s["mean"] >= 1000 / 50)
     return s
 
 
@@ -262,6 +264,43 @@ def runtime_profiles(observations: DataFrame, stream: bool = False) -> DataFrame
     return fold(observations, "user_id", ["event_id"], ["event_id", "kind", "elapsed", "duration"], RuntimeProfile.start, step, show, PROFILE)
 
 
+PACE = "user_id long, event_id long, mean double, slow boolean"
+
+
+def frame_paces(ticks: DataFrame, stream: bool = False) -> DataFrame:
+    """The pace after each frame (user_id, event_id, at): smoothed gaps in ms and whether they are slow; ``at`` is a time in ms."""
+
+    def step(s: dict, i: int, at: float) -> dict:
+        return {**frame_pace(s, at - s["at"] if s["at"] is not None else -1.0), "at": at}
+
+    fold = fold_stream if stream else fold_groups
+    return fold(ticks, "user_id", ["at", "event_id"], ["event_id", "at"], lambda: {"mean": 1000 / 60, "slow": False, "at": None}, step, lambda s, row: [(row[0], s["mean"], s["slow"])], PACE)
+
+
+class Endpoint:
+    """Whether a capture may stop, after each observation of (at, final, active): the end is confirmed by the first final one, and silence lasts since the last active one."""
+
+    @staticmethod
+    def start() -> dict:
+        return {"confirmed": None, "quiet_from": None, "ready": False}
+
+    @staticmethod
+    def step(state: dict, at: float, final: bool, active: bool, expressive: bool) -> dict:
+        confirmed = at if state["confirmed"] is None and final else state["confirmed"]
+        quiet = None if active else at if state["quiet_from"] is None else state["quiet_from"]
+        return {"confirmed": confirmed, "quiet_from": quiet, "ready": endpoint_ready(confirmed, at, active, 0.0 if quiet is None else at - quiet, expressive)}
+
+
+ENDPOINTS = "user_id long, event_id long, ready boolean"
+
+
+def endpoints(observations: DataFrame, stream: bool = False) -> DataFrame:
+    """Readiness after each observation (user_id, event_id, at, final, active, expressive)."""
+    step = lambda s, i, at, final, active, expressive: Endpoint.step(s, at, final, active, expressive)
+    fold = fold_stream if stream else fold_groups
+    return fold(observations, "user_id", ["at", "event_id"], ["event_id", "at", "final", "active", "expressive"], Endpoint.start, step, lambda s, row: [(row[0], s["ready"])], ENDPOINTS)
+
+
 def count_batches(samples: DataFrame, key: str, seq: str, size: int = 1024) -> DataFrame:
     """Rows grouped by every ``size`` of a sequence number: a tumbling window of counts."""
     return samples.groupBy(key, F.floor(F.col(seq) / size).cast("long").alias("batch")).agg(F.count("*").alias("n"))
