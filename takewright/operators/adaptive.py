@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, js_round
-from . import analysis, rules
+from . import alignment, analysis, rules
 
 READINGS = ("tiny", "base", "focus", "separated")
 COLUMNS = ["take_id", "words", "expected", "matched", "supported", "speech_ms", "segments", "alignment", "run", "elapsed_ms"]
@@ -75,3 +75,34 @@ def analyze(takes: DataFrame, read: Read) -> DataFrame:
     depth = F.when(F.array_contains(names, "separated"), "deep").when(F.size(names) > 1, "verified").otherwise("fast")
     reason = F.when(F.size(names) == 1, "fast_path_sufficient").when(F.col("prompted"), "prompt_match").otherwise("acoustic_support")
     return x.join(best, "take_id").select("take_id", "scene", "budget", depth.alias("depth"), "best.reading", reason.alias("reason"), js_round(F.when(F.size(names) == 1, 1.0).otherwise(F.col("best.score")), 3).alias("score"), "best.words", "best.matched", F.array_join(names, ",").alias("readings"))
+
+
+def segment(media: DataFrame, read: Read) -> DataFrame:
+    """Which readings of imported recordings are made, by the budget that the first ones leave.
+
+    ``media``: media_id, duration_ms, accelerated, speech and focused (shares of the time), difference (of the voice's band from the recording), separated_difference (of the
+    separated voice) and center (whether the voice lay between two channels).  ``read`` gives media_id, status (``review`` or ``insufficient``), tokens and elapsed_ms, of the media it is asked for alone.
+
+    ``tiny`` scouts and plans; ``base`` verifies, and its own speed may take readings back; ``focus`` and ``separated`` follow where music, a bad reading or readings that do not
+    agree ask for them, and where they would hear something else.  Returns media_id, scene, planned and effective (numbers of readings), vocal_focus, separation and readings, in order.
+    """
+    factor = lambda c: F.when(finite(F.col(c) / F.col("duration_ms")) > 0, js_round(F.col(c) / F.col("duration_ms"), 3))
+    first = read("tiny", media).select("media_id", "status", F.col("tokens").alias("tiny_tokens"), "elapsed_ms")
+    x = media.join(first, "media_id")
+    x = x.withColumn("scene", analysis.imported_scene(F.col("status"), F.col("speech"), F.col("focused"), F.col("difference"), F.col("center")))
+    x = x.withColumn("planned", analysis.imported_hypotheses(F.col("scene"), F.col("duration_ms"), analysis.processing_profile(F.col("duration_ms"), F.col("accelerated")), factor("elapsed_ms")))
+    second = read("base", x.where("planned >= 2").select("media_id")).select("media_id", F.col("status").alias("base_status"), F.col("tokens").alias("base_tokens"), F.col("elapsed_ms").alias("base_ms"))
+    x = x.join(second, "media_id", "left")
+    x = x.withColumn("effective", F.when(F.col("base_status").isNotNull(), analysis.refined_hypotheses(F.col("planned"), factor("base_ms"))).otherwise(F.col("planned")))
+    agreed = alignment.agreement(F.coalesce("tiny_tokens", F.array().cast("array<string>")), F.coalesce("base_tokens", F.array().cast("array<string>")))
+    asked = (F.col("scene") == "music_mix") | (F.col("status") == "insufficient") | (F.col("base_status") == "insufficient") | (agreed < 0.9) | (F.col("difference") > 0.08)
+    x = x.withColumn("ensemble", F.col("base_status").isNotNull() & asked)
+    third = read("focus", x.where("ensemble and effective >= 3 and difference > 0.015").select("media_id")).select("media_id", F.lit(True).alias("focus"))
+    parts = x["ensemble"] & (x["effective"] >= 4) & (x["duration_ms"] <= MOST_FOCUS_MS)
+    fourth = read("separated", x.where(parts & (x["separated_difference"] > 0.015)).select("media_id")).select("media_id", F.lit(True).alias("separated"))
+    x = x.withColumn("parts", parts).join(third, "media_id", "left").join(fourth, "media_id", "left")
+    length = F.when(F.col("duration_ms") > MOST_FOCUS_MS, "skipped_for_length").otherwise("not_needed")
+    focus = F.when(F.col("focus"), "read").when(F.col("ensemble") & (F.col("effective") < 3), "skipped_for_budget").otherwise(length)
+    separation = F.when(F.col("parts"), "separated").when(F.col("ensemble") & (F.col("effective") < 4), "skipped_for_budget").otherwise(length)
+    names = F.concat_ws(",", F.lit("tiny"), F.when(F.col("base_status").isNotNull(), "base"), F.when(F.col("focus"), "focus"), F.when(F.col("separated"), "separated"))
+    return x.select("media_id", "scene", "planned", "effective", focus.alias("vocal_focus"), separation.alias("separation"), names.alias("readings"))
