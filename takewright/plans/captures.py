@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import adaptive, alignment, capture, corpus
-from ..streaming import live
+from ..streaming import live, recorder
 from .base import CTES, ENTITIES, Tables, query
 from .kernels import _turns
 
@@ -142,3 +142,22 @@ def endpoints(t: Tables) -> DataFrame:
     at = F.sum(F.floor("value")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     x = t.events.select("user_id", "event_id", at.cast("double").alias("at"), (F.col("event_type") == "purchase").alias("final"), (F.col("event_type") == "click").alias("active"), (F.col("user_id") % 2 == 0).alias("expressive"))
     return live.endpoints(x)
+
+
+RECORDED = """WITH x AS (SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, sum(CAST(floor(value * 3) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ms, value FROM events),
+    g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY media_id ORDER BY ms, seq) > 500 THEN 1 ELSE 0 END AS starts FROM x),
+    n AS (SELECT *, sum(starts) OVER (PARTITION BY media_id ORDER BY ms, seq) AS n FROM g),
+    s AS (SELECT media_id, n, seq, unnest(range(0, 16)) AS i, value FROM n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY media_id, n ORDER BY seq, i) AS place, (CAST(floor(value * 100) AS BIGINT) * 7 + i * 131) % 2001 / 1000.0 - 1 AS v FROM s)
+    SELECT media_id, min(seq) AS first_seq, count(DISTINCT seq) AS batches, count(*) FILTER (place <= 100) AS samples, count(*) > 100 AS truncated, round(sqrt(avg(CAST(v * v AS DOUBLE)) FILTER (place <= 100)), 6) AS rms, round(max(abs(CAST(v AS DOUBLE))) FILTER (place <= 100), 6) AS peak FROM k GROUP BY media_id, n"""
+
+
+@query("n03_recordings", RECORDED)
+def recorded_batches(t: Tables) -> DataFrame:
+    """Each user's events as batches of 16 samples, 0 to 0.9 s apart, as recordings of 100 samples at most."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    v = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.floor(F.col("value") * 100) * 7 + i * 131) % 2001 / 1000.0 - 1)
+    x = t.events.select(F.col("user_id").alias("media_id"), F.row_number().over(order).cast("long").alias("seq"), F.timestamp_millis(F.sum(F.floor(F.col("value") * 3)).over(order)).alias("at"), v.alias("samples"))
+    return recorder.record(x, most=100)
