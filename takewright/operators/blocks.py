@@ -311,12 +311,16 @@ def vocal_band(blocks: DataFrame, rate: int) -> DataFrame:
     return x.join(most, "media_id").select("media_id", "block", F.transform("samples", lambda v: v * gain).alias("samples"))
 
 
+def level_lufs(power: Column) -> Column:
+    """Loudness at rates without weights: the level of the whole."""
+    return js_round(F.greatest(F.lit(-96.0), 20 * F.log10(F.greatest(F.sqrt(power), F.lit(1.5849e-5))) - 0.691), 1)
+
+
 def loudness(blocks: DataFrame, size: int, rate: int) -> DataFrame:
     """``lufs`` of each recording: at 48 kHz of its 400 ms blocks, gated twice; at other rates its level."""
     floor = F.lit(-96.0)
     if rate != 48_000:
-        x = levels(blocks, size, rate)
-        return x.select("media_id", js_round(F.greatest(floor, 20 * F.log10(F.greatest(F.sqrt("power"), F.lit(1.5849e-5))) - 0.691), 1).alias("lufs"))
+        return levels(blocks, size, rate).select("media_id", level_lufs(F.col("power")).alias("lufs"))
     hops = in_order(blocks, Weighted, {"hop": "bigint", "power": "double", "n": "bigint"})
     ahead = Window.partitionBy("media_id").orderBy("hop").rowsBetween(0, 3)
     whole = hops.withColumns({"p": F.sum("power").over(ahead), "size": F.sum("n").over(ahead)})
@@ -397,7 +401,9 @@ def resample_linear(blocks: DataFrame, size: int, rate: int, to: int) -> DataFra
 
 def analyze(blocks: DataFrame, size: int, rate: int) -> DataFrame:
     """All that ``signal.analyze`` says of each recording, from its blocks."""
-    x = levels(blocks, size, rate).drop("power")
-    for part in (loudness(blocks, size, rate), transients(blocks, rate), tails(blocks, size, rate), prosody(blocks, size, rate)):
+    x = levels(blocks, size, rate)
+    x = x.join(loudness(blocks, size, rate), "media_id") if rate == 48_000 else x.withColumn("lufs", level_lufs(F.col("power")))
+    x = x.drop("power")
+    for part in (transients(blocks, rate), tails(blocks, size, rate), prosody(blocks, size, rate)):
         x = x.join(part, "media_id")
     return x

@@ -39,9 +39,11 @@ def metadata(x: DataFrame) -> Column:
 def word_map(x: DataFrame) -> Column:
     """Words of the text with estimated places: equal shares of the take, in order."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    share = F.col("duration_ms").cast("double") / F.greatest(n, F.lit(1))
-    return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.lower(w).alias("normalized"), F.floor(share * i + 0.5).alias("startMs"), F.floor(share * (i + 1) + 0.5).alias("endMs")))
+    # an array of one, so that words are split once and not once a word
+    given = F.array(F.struct(words.alias("words"), F.col("duration_ms").cast("double").alias("ms")))
+    place = lambda g, i: F.floor(g["ms"] / F.size(g["words"]) * i + 0.5)
+    each = lambda g: F.transform(g["words"], lambda w, i: F.struct(w.alias("word"), F.lower(w).alias("normalized"), place(g, i).alias("startMs"), place(g, i + 1).alias("endMs")))
+    return F.element_at(F.transform(given, each), 1)
 
 
 def phonemes(x: DataFrame) -> Column:
@@ -101,17 +103,18 @@ def plan(takes: DataFrame, prompts: DataFrame, recordings: DataFrame, processed:
     """
     x = kept(takes, prompts).withColumn("text", F.coalesce("text", F.lit("")))
     held = x.join(recordings.select("file_name", "content"), "file_name", "left").withColumns({"byte_size": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256)})
-    raw = held.select(F.concat(F.lit("raw/"), "slug", F.lit(".wav")).alias("path"), F.lit("raw").alias("kind"), "content")
-    voice = held.select(F.concat(F.lit("processed/"), "slug", F.lit(".wav")).alias("path"), F.lit("processed").alias("kind"), dsp.processed_voice("content").getField("content").alias("content"))
-    documents = {"transcripts": ("txt", F.col("text")), "metadata": ("json", metadata(x)), "phonemes": ("json", phonemes(x))}
+    documents = {"raw": ("wav", F.col("content")), "transcripts": ("txt", F.col("text")), "metadata": ("json", metadata(x)), "phonemes": ("json", phonemes(x))}
+    if processed:
+        held = held.withColumn("voice", dsp.processed_voice("content").getField("content"))
+        documents["processed"] = ("wav", F.col("voice"))
     each = F.explode(F.array(*(F.struct(F.concat(F.lit(f"{k}/"), "slug", F.lit(f".{end}")).alias("path"), F.lit(k).alias("kind"), c.cast("binary").alias("content")) for k, (end, c) in documents.items())))
     lines = sharded(held.select("session_id", "take_ord", manifest_line(held).alias("line")), "manifests/training_manifest", per_file, ["session_id", "take_ord"])
     session = takes.groupBy("session_id").agg(F.count("*").alias("takeCount"), F.count_if(F.col("rating") == "keeper").alias("keeperCount"))
     sessions = sharded(session.select("session_id", F.to_json(F.struct(F.col("session_id").alias("id"), "takeCount", "keeperCount")).alias("line")), "sessions/sessions", per_file, ["session_id"])
     readme = takes.agg(F.concat(F.lit("# Dataset\n\nKeeper takes: "), F.count_if(F.col("rating") == "keeper"), F.lit(" / "), F.count("*"), F.lit("\n")).alias("text"))
-    parts = [raw, x.select(each.alias("e")).select("e.*"), report_files(reports(takes, prompts)), readme.select(F.lit("README.md").alias("path"), F.lit("readme").alias("kind"), F.col("text").cast("binary").alias("content"))]
+    parts = [held.select(each.alias("e")).select("e.*"), report_files(reports(takes, prompts)), readme.select(F.lit("README.md").alias("path"), F.lit("readme").alias("kind"), F.col("text").cast("binary").alias("content"))]
     parts += [p.select("path", F.lit(k).alias("kind"), F.col("content").cast("binary").alias("content")) for k, p in (("manifest", lines), ("sessions", sessions))]
-    return reduce(DataFrame.unionByName, [*parts, voice] if processed else parts)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def take_folders(takes: DataFrame, prompts: DataFrame, recordings: DataFrame) -> DataFrame:

@@ -18,9 +18,11 @@ def _tones(t: Tables) -> DataFrame:
     amp = F.when(F.col("event_type") == "error", 0.0015).when(F.col("event_type") == "signup", 1.2).otherwise(0.05 + (F.col("value") % 100) / 125)
     n = F.when(F.col("ends"), SIZE - (F.col("media_id") % 5) * 300).otherwise(SIZE).cast("int")
     turn = F.lit(2.0) * F.pi() * (F.lit(90) + F.floor("value") % 250)
-    wave = lambda i: F.floor(F.col("amp") * F.sin(F.col("turn") * (F.col("block") * SIZE + i) / 16000.0) * 32767 + 0.5) / 32768 + 0.004
-    x = x.withColumns({"amp": amp, "turn": turn, "n": n})
-    return x.select("media_id", "block", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), wave(i)))).alias("samples"))
+    # an array of one, so that what an event has is computed once and not once a sample
+    given = F.array(F.struct(amp.alias("amp"), turn.alias("turn"), (F.col("block") * SIZE).alias("first"), n.alias("n")))
+    wave = lambda g, i: F.floor(g["amp"] * F.sin(g["turn"] * (g["first"] + i) / 16000.0) * 32767 + 0.5) / 32768 + 0.004
+    samples = lambda g: F.transform(F.sequence(F.lit(0), g["n"] - 1), lambda i: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), wave(g, i))))
+    return x.select("media_id", "block", F.element_at(F.transform(given, samples), 1).alias("samples"))
 
 
 ENTITIES["tones"] = _tones
@@ -49,8 +51,8 @@ LEVELS = f"""WITH near AS (SELECT media_id, spot, x, coalesce(lag(x) OVER w, x)
 
 @query("l01_l02_l05_l10_recording_levels", LEVELS)
 def recording_levels(t: Tables) -> DataFrame:
-    x = B.levels(t.tones, SIZE, RATE).drop("power")
-    return x.join(B.tails(t.tones, SIZE, RATE), "media_id").join(B.loudness(t.tones, SIZE, RATE), "media_id")
+    x = B.levels(t.tones, SIZE, RATE).withColumn("lufs", B.level_lufs(F.col("power"))).drop("power")
+    return x.join(B.tails(t.tones, SIZE, RATE), "media_id")
 
 
 @query("l03_l04_l09_recording_voices")

@@ -8,7 +8,7 @@ Every task writes its own files and a part of the manifest; what is committed is
     versions/<id>/manifest.json  the parts with their digests, and the counts
     versions/<id>/EXPORT_COMPLETE
 
-A task that is lost or run twice leaves files that no committed part names, and they go with the commit; a failed job leaves nothing that can be read, and
+A task that is lost or run twice leaves files that no committed part names, and they go with the commit; a failed job leaves no complete version, and
 the version before it stays current.
 """
 
@@ -133,14 +133,30 @@ class Shards:
             self.zip = None
 
 
+def publish(root: str, version: str) -> None:
+    """Turn the pointer to a version, in one move."""
+    put(f"{root}/CURRENT-{version}", version.encode())
+    system, at = file_system(f"{root}/CURRENT-{version}")
+    system.move(at, file_system(f"{root}/CURRENT")[1])
+
+
+def discard(place: str) -> None:
+    from pyarrow import fs
+
+    system, at = file_system(place)
+    if system.get_file_info(at).type == fs.FileType.Directory:
+        system.delete_dir(at)
+
+
 class PackageWriter(DataSourceWriter):
-    def __init__(self, root: str, layout: str, archive_bytes: int, schema: StructType):
+    def __init__(self, root: str, layout: str, archive_bytes: int, schema: StructType, version: str | None = None):
         if layout not in ("files", "archives"):
             raise ValueError(f"layout is files or archives, not {layout}")
         names = schema.fieldNames()
         if not {"path", "content"} <= set(names):
             raise ValueError(f"a package needs the columns path and content, not {names}")
-        self.root, self.layout, self.archive_bytes, self.version = root.rstrip("/"), layout, archive_bytes, uuid.uuid4().hex
+        self.root, self.layout, self.archive_bytes = root.rstrip("/"), layout, archive_bytes
+        self.version, self.published = version or uuid.uuid4().hex, version is None
         self.place = f"{self.root}/versions/{self.version}"
 
     def write(self, iterator: Iterator[Row]) -> Written:
@@ -184,25 +200,21 @@ class PackageWriter(DataSourceWriter):
             if info.base_name.removeprefix("part-").rsplit("-", 1)[0] not in attempts:
                 system.delete_file(info.path)
         done = [m for m in messages if m is not None]
-        whole = {"format": "package.v1", "layout": self.layout, "files": sum(m.files for m in done), "missing": sum(m.missing for m in done), "bytes": sum(m.byte_size for m in done)}
+        counts = {"format": "package.v1", "layout": self.layout, "files": sum(m.files for m in done), "missing": sum(m.missing for m in done), "bytes": sum(m.byte_size for m in done)}
         parts = [{"part": m.part, "sha256": m.sha256} for m in sorted(done, key=lambda m: m.part) if m.files or m.missing]
-        put(f"{self.place}/manifest.json", json.dumps(whole | {"parts": parts}).encode())
+        put(f"{self.place}/manifest.json", json.dumps(counts | {"parts": parts}).encode())
         put(f"{self.place}/{COMPLETE}", b"complete")
         if system.get_file_info(f"{at}/{INCOMPLETE}").type == fs.FileType.File:
             system.delete_file(f"{at}/{INCOMPLETE}")
-        put(f"{self.root}/CURRENT-{self.version}", self.version.encode())
-        system.move(file_system(f"{self.root}/CURRENT-{self.version}")[1], file_system(f"{self.root}/CURRENT")[1])
+        if self.published:
+            publish(self.root, self.version)
 
     def abort(self, messages: list[Written | None]) -> None:
-        from pyarrow import fs
-
-        system, at = file_system(self.place)
-        if system.get_file_info(at).type == fs.FileType.Directory:
-            system.delete_dir(at)
+        discard(self.place)
 
 
 class Package(DataSource):
-    """The sink; options ``path``, ``layout`` (files or archives) and ``archive_bytes``."""
+    """The sink; options ``path``, ``layout`` (files or archives), ``archive_bytes`` and ``version``: a version that is named is complete after the write, and current when it is published."""
 
     @classmethod
     def name(cls) -> str:
@@ -212,34 +224,45 @@ class Package(DataSource):
         return "path string, content binary"
 
     def writer(self, schema: StructType, overwrite: bool) -> PackageWriter:
-        return PackageWriter(self.options["path"], self.options.get("layout", "files"), int(self.options.get("archive_bytes", 256 << 20)), schema)
+        return PackageWriter(self.options["path"], self.options.get("layout", "files"), int(self.options.get("archive_bytes", 256 << 20)), schema, self.options.get("version"))
 
 
 def save(files: DataFrame, root: str, layout: str = "files", archive_bytes: int = 256 << 20) -> None:
     """Write ``files`` (path, content; null content: missing, told in the manifest and never fatal) as the new version of the package at ``root``.
 
-    Unsafe paths and paths given twice fail the write, before any file counts.
+    ``files`` is made once.  The version is read again before it counts: one in which a path is given twice, like one with an unsafe path, is deleted, and the
+    one before stays current.
     """
-    files.sparkSession.dataSource.register(Package)
-    twice = files.groupBy("path").count().where("count > 1").select("path").limit(1).collect()
+    spark, version, root = files.sparkSession, uuid.uuid4().hex, root.rstrip("/")
+    spark.dataSource.register(Package)
+    files.select("path", "content").write.format("package").option("layout", layout).option("archive_bytes", archive_bytes).option("version", version).mode("append").save(root)
+    twice = told(spark, f"{root}/versions/{version}").groupBy("path").count().where("count > 1").select("path").limit(1).collect()
     if twice:
+        discard(f"{root}/versions/{version}")
         raise ValueError(f"duplicate path: {twice[0]['path']}")
-    files.select("path", "content").write.format("package").option("layout", layout).option("archive_bytes", archive_bytes).mode("append").save(root)
+    publish(root, version)
+
+
+def whole(spark: SparkSession, place: str) -> dict:
+    return json.loads("".join(r[0] for r in spark.read.text(f"{place}/manifest.json").collect()))
+
+
+def told(spark: SparkSession, place: str) -> DataFrame:
+    """The lines of a version's manifest."""
+    parts = [f"{place}/{p['part']}" for p in whole(spark, place)["parts"]]
+    return spark.read.schema(PART).json(parts) if parts else spark.createDataFrame([], PART)
 
 
 def current(spark: SparkSession, root: str) -> tuple[str, dict]:
     """The folder of the version that is complete, and its manifest.json."""
     version = spark.read.text(f"{root}/CURRENT").first()[0]
     place = f"{root}/versions/{version}"
-    whole = json.loads("".join(r[0] for r in spark.read.text(f"{place}/manifest.json").collect()))
-    return place, whole
+    return place, whole(spark, place)
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, byte_size, sha256, archive and missing of the package's files, from the parts that the commit names."""
-    place, whole = current(spark, root)
-    parts = [f"{place}/{p['part']}" for p in whole["parts"]]
-    return spark.read.schema(PART).json(parts) if parts else spark.createDataFrame([], PART)
+    return told(spark, current(spark, root)[0])
 
 
 def empty_files(paths: DataFrame, place: str) -> DataFrame:
@@ -256,9 +279,9 @@ def empty_files(paths: DataFrame, place: str) -> DataFrame:
 
 def held(spark: SparkSession, root: str) -> DataFrame:
     """path, byte_size, sha256 and content of the files that are there, whatever the manifest says."""
-    place, whole = current(spark, root)
-    if whole["layout"] == "archives":
-        found = scan(spark, f"{place}/archives").select("path", "content", "error") if whole["files"] else spark.createDataFrame([], "path string, content binary, error string")
+    place, about = current(spark, root)
+    if about["layout"] == "archives":
+        found = scan(spark, f"{place}/archives").select("path", "content", "error") if about["files"] else spark.createDataFrame([], "path string, content binary, error string")
         found = found.withColumn("path", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("archive: "), "error"))).otherwise(F.col("path")))
     else:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place)
