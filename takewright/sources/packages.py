@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .archives import MOST_ENTRIES, scan, unsafe
+from .archives import MOST_ENTRIES, directory, unsafe
 
 COMPLETE, INCOMPLETE = "EXPORT_COMPLETE", "EXPORT_INCOMPLETE"
 PART = "path string, byte_size long, sha256 string, archive string, missing boolean"
@@ -277,12 +277,37 @@ def empty_files(paths: DataFrame, place: str) -> DataFrame:
     return paths.mapInArrow(there, "path string, content binary")
 
 
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    """path and content of all entries of a folder's archives, an archive a task; an archive that is not whole ends the query.
+
+    For all entries of many archives; ``archives.scan`` is for some, or for archives of any size.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                system, at = file_system(name)
+                with system.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+                    some: list[tuple[str, bytes]] = []
+                    for info in directory(z, f.size()):
+                        some.append((info.filename, z.read(info)))
+                        if sum(len(c) for _, c in some[-1:]) > 1 << 20 or len(some) == 500:
+                            yield table(some)
+                            some = []
+                    yield table(some)
+
+    def table(some: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.string()), pa.array([c for _, c in some], pa.binary())], names=["path", "content"])
+
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path")
+    return names.repartition("path").mapInArrow(unpack, "path string, content binary")
+
+
 def held(spark: SparkSession, root: str) -> DataFrame:
     """path, byte_size, sha256 and content of the files that are there, whatever the manifest says."""
     place, about = current(spark, root)
     if about["layout"] == "archives":
-        found = scan(spark, f"{place}/archives").select("path", "content", "error") if about["files"] else spark.createDataFrame([], "path string, content binary, error string")
-        found = found.withColumn("path", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("archive: "), "error"))).otherwise(F.col("path")))
+        found = archived(spark, f"{place}/archives") if about["files"] else spark.createDataFrame([], "path string, content binary")
     else:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place)
         found = found.select(F.regexp_extract("path", "/versions/[0-9a-f]{32}/(.*)$", 1).alias("path"), "content").where(~(F.col("path").startswith("_manifest/") | F.col("path").isin("manifest.json", COMPLETE)))
