@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive, finalize
 from ..sources import stores
+from ..sources.shared import shared_folder
 from .base import CTES, ENTITIES, ORACLE_SQL, Tables, query
 from .further import recorded_lines
-from .packages import shared_folder
 
 
 def recordings(t: Tables) -> DataFrame:
