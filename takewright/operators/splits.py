@@ -16,17 +16,17 @@ KINDS = ("speaker", "session", "prompt", "normalized_text", "corpus", "environme
 CONTAINER, ENCODING, RATE, CHANNELS, DEPTH = "WAVE", "PCM_S24LE", 48_000, 1, 24
 
 
-def group_keys(x: DataFrame, normalized: Column, corpus: Column) -> Column:
+def group_keys(normalized: Column, corpus: Column) -> dict[str, Column]:
     """What a sample shares with others, by kind, as text; null where it is not known, so that it joins none.  Room tones are not told apart yet."""
     environment = F.to_json(F.struct("observed_settings", "room_tone"), {"ignoreNullFields": "false"})
     known = F.col("observed_settings").isNotNull() | F.col("room_tone").isNotNull()
     keys = {"speaker": F.col("speaker_id"), "session": F.col("session_id"), "prompt": F.col("prompt_id"), "normalized_text": normalized, "corpus": corpus, "environment": F.when(known, environment), "room_tone": F.lit(None), "device": F.col("device"), "day": F.substring("recorded_at", 1, 10)}
-    return F.struct(*(keys[k].cast("string").alias(k) for k in KINDS))
+    return {k: keys[k].cast("string") for k in KINDS}
 
 
-def group_ids(keys: Column) -> Column:
-    """Tokens of ``group_keys``; what is not known is called so."""
-    return F.struct(*(F.when(keys[k].isNotNull(), X.stable_token(keys[k])).otherwise("unknown").alias(k) for k in KINDS))
+def group_id(key: Column) -> Column:
+    """A token of one of ``group_keys``; what is not known is called so."""
+    return F.when(key.isNotNull(), X.stable_token(key)).otherwise("unknown")
 
 
 def sample_rows(takes: DataFrame, prompts: DataFrame, rights: DataFrame) -> DataFrame:
@@ -43,7 +43,10 @@ def sample_rows(takes: DataFrame, prompts: DataFrame, rights: DataFrame) -> Data
     spoken = F.coalesce(F.nullif(F.trim("text"), F.lit("")), "expected", F.lit(""))
     corpus = F.when(c("corpus_id").isNotNull(), F.concat_ws("@", "corpus_id", "corpus_version"))
     x = x.withColumns({"normalized": X.normalize_text(spoken), "corpus": corpus, "take_id": F.concat_ws("-", "session_id", "take_ord"), "granted": F.coalesce("granted", F.lit(False))})
-    x = x.withColumn("key", X.sanitize(c("take_id"))).withColumn("keys", group_keys(x, c("normalized"), c("corpus")))
+    # columns first, so that a split by some kinds reads no more than these need
+    keys = group_keys(c("normalized"), c("corpus"))
+    x = x.withColumns({"key": X.sanitize(c("take_id"))} | {f"key_{k}": v for k, v in keys.items()})
+    known = F.struct(*(c(f"key_{k}").alias(k) for k in KINDS))
     path = lambda folder: F.concat(F.lit(f"{folder}/"), "key", F.lit(".json"))
     audio_id = F.concat(F.lit("audio_"), "audio_sha256")
     audio = F.struct(
@@ -57,7 +60,7 @@ def sample_rows(takes: DataFrame, prompts: DataFrame, rights: DataFrame) -> Data
     lifecycle = F.struct(rules.lifecycle(c("rating")).alias("status"), reasons.alias("reasons"), (c("rating") != "reject").alias("review_required"))
     lifecycle = lifecycle.withField("review_required", F.when(c("rating") == "keeper", F.size(reasons) > 0).otherwise(lifecycle["review_required"]))
     missing = {"prompt": c("language").isNull(), "recording": c("audio_sha256").isNull(), "consent": c("consent_id").isNull()}
-    split = F.struct(F.lit("unassigned").alias("assignment"), group_ids(c("keys")).alias("group_ids"), c("keys").alias("group_keys"))
+    split = F.struct(F.lit("unassigned").alias("assignment"), F.struct(*(group_id(c(f"key_{k}")).alias(k) for k in KINDS)).alias("group_ids"), known.alias("group_keys"))
     return x.select(
         F.concat(F.lit("sample_"), X.stable_token(F.concat_ws(":", "session_id", "take_id"))).alias("sample_id"), F.concat(F.lit("utterance_"), X.stable_token(F.concat_ws(":", "corpus", "prompt_id", "normalized"))).alias("utterance_id"), "take_id", audio_id.alias("audio_id"),
         "speaker_id", "session_id", "take_ord", "dataset_id", "project_id", audio.alias("audio"), text.alias("text"), labels.alias("labels"), F.struct(c("alignment").alias("status"), path("alignment").alias("path")).alias("alignment"), F.struct(c("verdict").alias("status"), path("quality").alias("path")).alias("quality"),
