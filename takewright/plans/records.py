@@ -190,8 +190,8 @@ def workspace_backup(t: Tables) -> DataFrame:
 def archives_round_trip(t: Tables) -> DataFrame:
     """An archive for each source and hundred of documents, made and read again."""
     files = t.documents.select(F.concat_ws(":", "source", F.floor(F.col("doc_id") / 100)).alias("part"), F.concat(F.lit("text/"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content"))
-    x = archives.zip_groups(files, "part").select("part", F.explode(archives.unzip("content")).alias("e"))
-    return x.select(F.substring_index("part", ":", 1).alias("source"), F.col("e.path").alias("path"), F.sha2("e.content", 256).alias("sha256"))
+    x = archives.unzip(archives.zip_groups(files, "part"))
+    return x.select(F.substring_index("part", ":", 1).alias("source"), "path", F.sha2("content", 256).alias("sha256"))
 
 
 @query("a07_a08_a30_insert_only", "SELECT doc_id, source FROM documents WHERE doc_id >= 0")
@@ -284,9 +284,9 @@ def package_archives(t: Tables) -> DataFrame:
     path = F.concat(F.lit("text/"), i, F.lit(".txt")).alias("path")
     content = F.when(i % 10 == 3, F.concat("text", F.lit("+"))).when(i % 10 == 4, F.concat(F.expr("substring(text, 1, length(text) - 1)"), F.lit("\x01"))).otherwise(F.col("text"))
     files = t.documents.where("doc_id % 10 <> 1").select(F.concat_ws(":", "source", F.floor(i / 100)).alias("part"), path, F.encode(content, "utf-8").alias("content"))
-    held = archives.zip_groups(files, "part").select(F.explode(archives.unzip("content")).alias("e"))
+    held = archives.unzip(archives.zip_groups(files, "part"))
     manifest = records.tracked(t.documents.where("doc_id % 10 <> 2").select(path, F.col("text").alias("content")))
-    return package.validate(manifest, records.tracked(held.select("e.path", "e.content")), ["manifest.json"])
+    return package.validate(manifest, records.tracked(held.select("path", "content")), ["manifest.json"])
 
 
 def aligned_twice(t: Tables) -> DataFrame:

@@ -260,3 +260,17 @@ def test_plan_without_keepers_recordings_or_prompts(spark):
     assert json.loads(rows["metadata/7-0.json"])["pace"] is None
     assert [json.loads(x)["transcript"] for p in ("manifests/training_manifest-00000000.jsonl", "manifests/training_manifest-00000001.jsonl") for x in rows[p].decode().splitlines()] == ["", 'say "é"']
     assert json.loads(rows["phonemes/1007-3.json"])["wordPhonemeMap"][1] == {"word": '"é"', "normalized": '"é"', "startMs": 400, "endMs": 800}
+
+
+def test_a_key_with_more_than_an_archive_holds_has_several(spark):
+    rows = [("a", f"{i:05d}.txt", b"x" * 100) for i in range(6000)] + [("b", "y.txt", None), (None, "z.txt", b"z" * 9000)]
+    files = spark.createDataFrame(rows, "key string, path string, content binary")
+    made = archives.zip_groups(files, "key")
+    assert {r["key"] for r in made.collect()} == {"a", "b", None} and made.where("key = 'a'").count() > 1
+    small = archives.zip_groups(files, "key", most_bytes=5000)
+    assert max(r["n"] for r in small.where("key = 'a'").selectExpr("length(content) n").collect()) < 5000 + 50 * 200
+    for some in (made, small):
+        found = archives.unzip(some, most_bytes=1000)
+        assert found.columns == ["key", "path", "content", "crc", "error"]
+        assert sorted(((r["key"] or "", r["path"], bytes(r["content"])) for r in found.collect()), key=str) == sorted(((k or "", p, c or b"") for k, p, c in rows), key=str)
+        assert found.where("error is not null or crc <> crc32(content)").count() == 0
