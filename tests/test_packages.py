@@ -274,3 +274,13 @@ def test_a_key_with_more_than_an_archive_holds_has_several(spark):
         assert found.columns == ["key", "path", "content", "crc", "error"]
         assert sorted(((r["key"] or "", r["path"], bytes(r["content"])) for r in found.collect()), key=str) == sorted(((k or "", p, c or b"") for k, p, c in rows), key=str)
         assert found.where("error is not null or crc <> crc32(content)").count() == 0
+
+
+def test_files_other_than_manifested_keep_their_size(spark, tmp_path):
+    from takewright.plans import catalog
+
+    texts = {4: "", 14: "\x01", 24: "café", 34: "\U0001f600", 44: None, 3: None, 5: None, 13: "", 12: "x", 1: "y"}
+    spark.createDataFrame([(i, t, "s", "en") for i, t in texts.items()], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["path"]: r["error"] for r in catalog.QUERIES["a25_o02_package_archives"](spark, str(tmp_path)).collect()}
+    kinds = {1: "missing file", 2: "unmanifested file", 3: "size differs", 4: "sha256 differs"}
+    assert found == {f"text/{i}.txt": kinds[i % 10] for i in texts if i % 10 in kinds} | {"manifest.json": "required file missing"}
