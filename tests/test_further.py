@@ -120,3 +120,14 @@ def test_progress_of_other_corpora_stays(spark):
     scenarios = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "scenario_id long, prompt_id long")
     found = sorted(map(tuple, progress.reconcile(old, takes, scenarios, "a", "2").collect()))
     assert found == [("a", "s", "fr", "2", [1, 2], [1]), ("a", "t", "fr", "2", [], []), ("b", "s", "fr", "1", [7], [3])]
+
+
+def test_a_consensus_of_timings_deals_rows_once(spark):
+    from takewright.operators.alignment import timing_consensus
+
+    rows = [("a", "m", "acoustic", 0.9, 0, "x", 10, 20), ("a", "w", "local_acoustic", 0.8, 0, "x", 60, 90), ("a", "g", "estimated", 0.7, 0, "x", 0, 5), ("a", "g", "estimated", 0.7, 1, "y", 7, 7), ("b", "g", "estimated", 0.7, 0, "x", 1, 2)]
+    x = timing_consensus(spark.createDataFrame(rows, "take_id string, source string, kind string, confidence double, idx int, word string, start_ms long, end_ms long"))
+    found = sorted(tuple(r) for r in x.select("take_id", "idx", "start_ms", "end_ms", "word", "agreement_ms", "status", "take_confidence").collect())
+    assert found == [("a", 0, 10, 20, "x", 70, "acceptable", 0.76), ("a", 1, 7, 8, None, 70, "acceptable", 0.76)]
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
