@@ -206,18 +206,22 @@ def word_at(words: DataFrame, times: DataFrame, key: str = "media_id") -> DataFr
 
 
 def warp(times: DataFrame, anchors: DataFrame, key: str = "media_id", keep: Sequence[str] = ()) -> DataFrame:
-    """Piecewise-linear interpolation of ``t`` between anchors (source_ms, target_ms), clamped to the first and last: an as-of merge
-    for the anchor before and one for the anchor after.  The columns ``keep`` of ``times`` stay."""
-    a = anchors.select(key, F.col("source_ms").alias("t"), F.lit(0).alias("asked"), F.struct("source_ms", "target_ms").alias("a"))
-    empty = F.lit(None).cast(a.schema["a"].dataType)
-    both = a.unionByName(times.select(key, "t", F.lit(1).alias("asked"), empty.alias("a"), *keep), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("t", "asked")
-    x = both.withColumn("low", F.last("a", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("high", F.first("a", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("asked = 1")
-    low, high = F.coalesce("low", "high"), F.coalesce("high", "low")
-    span = high["source_ms"] - low["source_ms"]
-    part = F.when(span > 0, (F.col("t") - low["source_ms"]) / span).otherwise(F.lit(0.0))
-    return x.select(key, *keep, "t", js_round_int(low["target_ms"] + clamp(part, 0.0, 1.0) * (high["target_ms"] - low["target_ms"])).alias("warped_ms"))
+    """Piecewise-linear interpolation of ``t`` between anchors (source_ms, target_ms), clamped to the first and last.  The columns ``keep`` of ``times`` stay.
+
+    Each anchor knows the next one, and the first stands before all times too; so one as-of merge of running values tells both anchors of a time, and no
+    row looks through those after it.
+    """
+    order = Window.partitionBy(key).orderBy("source_ms")
+    a = anchors.select(key, "source_ms", "target_ms", F.lead("source_ms").over(order).alias("next_source"), F.lead("target_ms").over(order).alias("next_target"), (F.row_number().over(order) == 1).alias("opens"))
+    at = F.explode(F.when(F.col("opens"), F.array(F.lit(None).cast(times.schema["t"].dataType), F.col("source_ms"))).otherwise(F.array("source_ms")))  # nulls come first
+    a = a.select(key, at.alias("t"), F.lit(0).alias("asked"), F.struct("source_ms", "target_ms", "next_source", "next_target").alias("a"))
+    both = a.unionByName(times.select(key, "t", F.lit(1).alias("asked"), *keep), allowMissingColumns=True)
+    low = F.last("a", ignorenulls=True).over(Window.partitionBy(key).orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0))
+    x = both.withColumn("a", low).where("asked = 1")
+    span = F.col("a.next_source") - F.col("a.source_ms")
+    part = F.when(span > 0, (F.col("t") - F.col("a.source_ms")) / span).otherwise(F.lit(0.0))
+    rise = F.coalesce(F.col("a.next_target") - F.col("a.target_ms"), F.lit(0))
+    return x.select(key, *keep, "t", js_round_int(F.col("a.target_ms") + clamp(part, 0.0, 1.0) * rise).alias("warped_ms"))
 
 
 def increasing_anchors(anchors: DataFrame, key: str = "media_id", order: str = "target_ms") -> DataFrame:

@@ -43,21 +43,22 @@ def take_anchors(heard: DataFrame, segments: DataFrame, totals: DataFrame, key:
     """(key, source_ms, target_ms): estimated times and when they were heard, from (key, idx, start_ms, end_ms, heard_start, heard_end), with the
     recording's begin and end; of equal estimated times the first counts."""
     edge = totals.join(bounds(segments, key), key, "left")
-    begin = edge.select(key, F.lit(-1).cast("long").alias("ord"), F.lit(0).cast("long").alias("source_ms"), F.greatest(F.lit(0), F.coalesce("speech_start", F.lit(0)) - LEAD).alias("target_ms"))
-    end = edge.select(key, F.lit((1 << 62)).alias("ord"), F.col("total_ms").alias("source_ms"), F.least(F.col("total_ms"), F.coalesce("speech_end", "total_ms") + TAIL).alias("target_ms"))
-    starts = heard.select(key, (2 * F.col("idx")).alias("ord"), F.col("start_ms").alias("source_ms"), F.col("heard_start").alias("target_ms"))
-    stops = heard.select(key, (2 * F.col("idx") + 1).alias("ord"), F.col("end_ms").alias("source_ms"), F.col("heard_end").alias("target_ms"))
-    every = begin.unionByName(starts).unionByName(stops).unionByName(end)
+    anchor = lambda order, source, target: F.struct(order.cast("long").alias("ord"), source.cast("long").alias("source_ms"), target.cast("long").alias("target_ms"))
+    begin = anchor(F.lit(-1), F.lit(0), F.greatest(F.lit(0), F.coalesce("speech_start", F.lit(0)) - LEAD))
+    end = anchor(F.lit(1 << 62), F.col("total_ms"), F.least(F.col("total_ms"), F.coalesce("speech_end", "total_ms") + TAIL))
+    starts, stops = anchor(2 * F.col("idx"), F.col("start_ms"), F.col("heard_start")), anchor(2 * F.col("idx") + 1, F.col("end_ms"), F.col("heard_end"))
+    every = edge.select(key, F.inline(F.array(begin, end))).unionByName(heard.select(key, F.inline(F.array(starts, stops))))
     return every.groupBy(key, "source_ms").agg(F.min_by("target_ms", "ord").alias("target_ms"))
 
 
 def fused(words: DataFrame, heard: DataFrame, anchors: DataFrame, totals: DataFrame, key: str = "media_id") -> DataFrame:
-    """Estimated words (key, idx, start_ms, end_ms) at the times at which they were heard (``heard_start``, ``heard_end``), and where they were not, warped
-    between the ``anchors``; within the recording, and no end before its start."""
+    """Estimated words (key, idx, start_ms, end_ms) at the times at which they were heard (``heard_start``, ``heard_end``; a word at most once), and where they were
+    not, warped between the ``anchors``; within the recording, and no end before its start.  All is grouped by ``key``: what is dealt by it already is not dealt again."""
     times = words.select(key, "idx", F.posexplode(F.array("start_ms", "end_ms")).alias("side", "t"))
     warped = warp(times, anchors, key, keep=["idx", "side"])
-    x = warped.groupBy(key, "idx").agg(*(F.max(F.when(F.col("side") == i, F.col("warped_ms"))).alias(f"w{i}") for i in (0, 1)))
-    x = x.join(heard.select(key, "idx", "heard_start", "heard_end"), [key, "idx"], "left").join(totals, key)
+    both = warped.unionByName(heard.select(key, "idx", "heard_start", "heard_end"), allowMissingColumns=True)
+    x = both.groupBy(key, "idx").agg(F.count("side").alias("sides"), F.max("heard_start").alias("heard_start"), F.max("heard_end").alias("heard_end"), *(F.max(F.when(F.col("side") == i, F.col("warped_ms"))).alias(f"w{i}") for i in (0, 1)))
+    x = x.where("sides > 0").join(totals, key)
     x = x.withColumn("s", clamp(js_round_int(F.coalesce("heard_start", "w0")), F.lit(0), F.col("total_ms")))
     return x.select(key, "idx", F.col("s").alias("start_ms"), clamp(js_round_int(F.coalesce("heard_end", "w1")), F.col("s"), F.col("total_ms")).alias("end_ms"))
 
