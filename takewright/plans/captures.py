@@ -115,7 +115,7 @@ def local_corpora(t: Tables) -> DataFrame:
 @query("j13_q103_prompt_positions")
 def prompt_positions(t: Tables) -> DataFrame:
     """How far into its prompt each turn has come."""
-    return _turns(t).select("conv_id", "turn", alignment.align_spoken("expected", "observed").getField("position").alias("position"))
+    return alignment.dealt(_turns(t)).select("conv_id", "turn", alignment.align_spoken("expected", "observed").getField("position").alias("position"))
 
 
 @query("n10_frame_pace")

@@ -32,3 +32,36 @@ def test_words_are_not_sent(spark, name):
     assert sent
     assert all("idx" not in x for x in sent)
     assert "ENSURE_REQUIREMENTS" not in "".join(x for x in plan(catalog.QUERIES[name](spark, SF)).splitlines() if "Exchange hash" in x)
+
+
+def test_alignments_of_all_pairs_at_once(spark):
+    """Before, each pair was aligned by itself, a diagonal at a time, and turns lay in as few tasks as they were small."""
+    import random
+
+    from takewright.functions import sequences as Q
+
+    some = random.Random(3)
+    word = lambda: some.choice(["a", "ab", "word", "words", "wordy", "café", "zzz", "x" * 70, "x" * 69 + "y", ""])
+    pairs = [([word() for _ in range(some.randrange(25))], [word() for _ in range(some.randrange(25))]) for _ in range(60)]
+    found = Q.align_all(pairs, cells=3000)
+    assert found == [Q.align_spoken(a, b) for a, b in pairs]
+    for (a, b), got in zip(pairs, found, strict=True):
+        best = [[-0.34 * i - 0.58 * j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                s = Q.token_similarity(a[i - 1], b[j - 1])
+                best[i][j] = max(best[i - 1][j - 1] + (0.35 + s if s >= 0.5 else -0.82), best[i - 1][j] - 0.34, best[i][j - 1] - 0.58)
+        if a and b:
+            assert max(r[len(b)] for r in best) <= got["matched"] * 0.35 + got["score"] * len(b) + 1e-6
+    for name in ("j11_align_spoken", "j13_q103_prompt_positions"):
+        assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_edits_of_many_pairs(spark):
+    import numpy as np
+
+    from takewright.functions import sequences as Q
+
+    words = ["", "a", "abc", "abd", "café", "cafe", "x" * 64, "x" * 65, "y" + "x" * 63, "\U0001f600b"]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    assert Q.edit_distances(words, left, right, pairs=7).tolist() == [Q.edit_distance(words[i], words[j]) for i, j in zip(left, right, strict=True)]
