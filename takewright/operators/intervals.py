@@ -28,7 +28,7 @@ def overlap_ms(words: DataFrame, segments: DataFrame, key: str = "media_id") ->
     speech = F.sum("d").over(before) * F.col("t") - F.sum(F.col("d") * F.col("t")).over(before)
     x = both.withColumn("speech", speech).where("w is not null").groupBy(key, F.col("w.idx").alias("idx"))
     at = lambda side: F.max(F.when(F.col("side") == side, F.col("speech")))
-    return x.agg(F.first("w").alias("w"), (at(1) - at(0)).cast("long").alias("overlap_ms")).select("w.*", "overlap_ms")
+    return x.agg(F.first("w").alias("w"), (at(1) - at(0)).cast("long").alias("overlap_ms")).select(*(F.col(c if c == key else f"w.{c}") for c in words.columns), "overlap_ms")
 
 
 def speech_overlap(words: DataFrame, segments: DataFrame) -> DataFrame:

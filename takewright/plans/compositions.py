@@ -225,7 +225,8 @@ def priority_score(t: Tables) -> DataFrame:
 )
 def bias_phrases(t: Tables) -> DataFrame:
     ws = X.tokens_by_space("text")
-    x = t.documents.select("doc_id", F.explode(F.zip_with(ws, F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))), lambda w, n: F.struct(w.alias("w"), n.alias("next")))).alias("x")).select("doc_id", "x.*")
+    texts = t.documents.select("doc_id", "text").repartition(3 * int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # phrases are counted where their text is
+    x = texts.select("doc_id", F.explode(F.zip_with(ws, F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))), lambda w, n: F.struct(w.alias("w"), n.alias("next")))).alias("x")).select("doc_id", "x.*")
     single = x.where(F.length("w") >= 5).select("doc_id", F.col("w").alias("phrase"), F.lit(3.2).alias("boost"))
     pairs = x.where("next is not null").select("doc_id", F.concat_ws(" ", "w", "next").alias("phrase"), F.lit(2.4).alias("boost"))
     return single.unionByName(pairs).groupBy("doc_id", "phrase").agg(F.max("boost").alias("boost"))

@@ -25,12 +25,12 @@ def test_warp_looks_at_no_rows_after(spark):
     assert "unboundedfollowing" not in plan(found)
 
 
-@pytest.mark.parametrize("name", ["i16_i17_fused_words"])
+@pytest.mark.parametrize("name", ["i16_i17_fused_words", "d15_speech_overlap", "d16_supported_rate", "k09_assess_words", "a22_timeline_csv", "f12_bias_phrases"])
 def test_words_are_not_sent(spark, name):
     """Texts, or numbers of media, are dealt, and nothing that is made of their words."""
     sent = re.findall(r"Exchange hashpartitioning\((.*?)\)", plan(catalog.QUERIES[name](spark, SF)))
     assert sent
-    assert all("idx" not in x for x in sent)
+    assert all("idx" not in x and "phrase" not in x for x in sent)
     assert "ENSURE_REQUIREMENTS" not in "".join(x for x in plan(catalog.QUERIES[name](spark, SF)).splitlines() if "Exchange hash" in x)
 
 
@@ -65,3 +65,16 @@ def test_edits_of_many_pairs(spark):
     words = ["", "a", "abc", "abd", "café", "cafe", "x" * 64, "x" * 65, "y" + "x" * 63, "\U0001f600b"]
     left, right = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
     assert Q.edit_distances(words, left, right, pairs=7).tolist() == [Q.edit_distance(words[i], words[j]) for i, j in zip(left, right, strict=True)]
+
+
+def test_consensus_counts_edits_at_once(spark, monkeypatch):
+    """Before, each pair of words that might be alike was compared by itself, a letter at a time in Python."""
+    from takewright.functions import sequences as Q
+
+    words = ["segment", "segments", "segmant", "prompt", "promt", "prompts", "café", "cafés", "a", "ab", "x" * 70, "x" * 69]
+    wanted = {w: sorted(v for v in words if Q.compatible(w, v)) for w in words}
+    calls: list[int] = []
+    slow = Q.edit_distance
+    monkeypatch.setattr(Q, "edit_distance", lambda a, b: calls.append(1) or slow(a, b))
+    assert {w: sorted(v) for w, v in Q.compatible_words(words, rows=5).items()} == wanted
+    assert len(calls) <= 2  # words of more than 64 letters alone
