@@ -20,14 +20,14 @@ def recordings(t: Tables) -> DataFrame:
 
 
 def corpus_prompts(t: Tables) -> DataFrame:
-    return t.metrics.where("session_id % 13 <> 0").select((F.col("session_id") * 100 + F.col("take_ord")).alias("prompt_id")).distinct()
+    return t.metrics.where("session_id % 13 <> 0").select((F.col("session_id") * 100 + F.col("take_ord")).alias("prompt_id"))
 
 
 def stored_files(t: Tables) -> DataFrame:
     """What the store holds: not every recording, and under some names something else."""
     s, o = F.col("session_id"), F.col("take_ord")
     sound = F.when(s % 11 == 0, F.lit("other")).otherwise(F.concat_ws(":", F.lit("sound"), s, o))
-    return t.metrics.where((s + o) % 7 != 0).select(F.concat(s, F.lit("__"), s, F.lit("-"), o, F.lit(".wav")).alias("file_name"), F.sha2(sound.cast("binary"), 256).alias("sha256")).distinct()
+    return t.metrics.where((s + o) % 7 != 0).select(F.concat(s, F.lit("__"), s, F.lit("-"), o, F.lit(".wav")).alias("file_name"), F.sha2(sound.cast("binary"), 256).alias("sha256"))  # repeated names are met as one
 
 
 FINAL = f"""b01 AS ({ORACLE_SQL['b01_recorded_takes']}),
