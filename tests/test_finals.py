@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from takewright.operators import adaptive, finalize
+from takewright.plans import catalog
 from takewright.sources import packages, stores
 
 MEASURED = {"peak": -6.0, "true_peak": -5.0, "lufs": -20.0, "rms": -20.0, "floor": -70.0, "snr": 40.0, "active": 0.6, "reverb": 0.1, "plosive": 0.0, "mouth": 0.0, "voiced": 0.5, "dc": 0.0, "source_floor": None, "room_floor": -70.0}
@@ -99,3 +100,16 @@ def test_tiers_are_read_in_order(spark):
     wanted = table(spark, {"a": b"", "b": b"", "c": b"", "d": b""}).select("path")
     got = stores.first_of(wanted, table(spark, {"a": b"1"}), table(spark, {"a": b"8", "b": b"2"}), table(spark, {"b": b"9", "c": b"3", "z": b"0"}))
     assert sorted((r["path"], bytes(r["content"]), r["tier"], r["promote"]) for r in got.collect()) == [("a", b"1", 0, False), ("b", b"2", 1, True), ("c", b"3", 2, True)]
+
+
+def test_sessions_are_told_without_measures(spark):
+    """Before, all measures of a recording and its digest in 64 letters were sent twice, only to count ratings."""
+    import re
+
+    told = catalog.QUERIES["b15_completed_sessions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning", told)
+    assert told.count("Exchange hashpartitioning") <= 7
+    for line in re.split(r"Exchange hashpartitioning", told)[1:]:
+        sent = line.splitlines()[1]  # what is made right below an exchange
+        assert "AS true_peak" not in sent
+        assert not re.search(r"lufs#\d+(?:L)?,", sent)
