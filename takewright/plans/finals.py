@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import adaptive, finalize
+from ..operators import adaptive, finalize, takes
 from ..sources import stores
 from ..sources.shared import shared_folder
 from .base import CTES, ENTITIES, ORACLE_SQL, Tables, query
@@ -41,7 +41,7 @@ FINAL = f"""b01 AS ({ORACLE_SQL['b01_recorded_takes']}),
     CASE WHEN is_take THEN gates || CASE WHEN lost THEN ',audio_persistence:fail' ELSE '' END ELSE '' END AS gates FROM z""")
 def finalized_recordings(t: Tables) -> DataFrame:
     x = finalize.finalize(recordings(t), corpus_prompts(t), stored_files(t))
-    gates = F.coalesce(F.array_join(F.transform("gates", lambda g: F.concat_ws(":", g["id"], g["status"])), ","), F.lit(""))
+    gates = F.coalesce(takes.gates_text(F.col("levels")), F.lit(""))
     return x.select("session_id", "take_ord", "file_name", "sha256", *(F.col(f"evidence.{s}").alias(s) for s in finalize.STAGES), "verdict", "rating", gates.alias("gates"))
 
 

@@ -107,3 +107,27 @@ def test_sessions_are_told_without_measures(spark):
     told = catalog.QUERIES["b15_completed_sessions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert told.count("unhex(") == 2
     assert told.count("sha2(") <= 5
+
+
+def test_gates_go_along_as_a_number(spark):
+    """Before, all measures were sent to make 25 gates of them after the joins, in code too long to be compiled, and each gate was joined by itself."""
+    from takewright.operators import takes
+
+    told = catalog.QUERIES["b15_finalized_recordings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rms#" not in told.split("Join")[0] and "transform(" not in told
+    rows = [("s", f"{i}{'x' if i % 3 else ''}", i, b"") for i in range(12)]
+    i = F.col("prompt_id")
+    status = F.when(i % 5 == 0, "pass").when(i % 5 == 1, "review").when(i % 5 == 2, "fail").when(i % 5 == 3, "unheard")
+    x = recordings(spark, rows).withColumns({"transcript_status": status, "transcript_source": F.when(i % 2 == 0, "prompt_only"), "aligned": i % 4 < 2, "peak": F.when(i != 6, -6.0 - i * 5), "rms": F.when(i != 4, F.lit(1.0)), "room_tone": F.when(i != 8, i != 9), "voiced": F.when(i != 10, 0.5)})
+    done = takes.recorded(x).withColumn("levels", F.when(i == 11, F.col("levels").bitwiseOR(F.lit(takes.LOST))).otherwise(F.col("levels")))
+    for r in done.select("*", takes.gates_of(F.col("levels")).alias("list"), takes.gates_text(F.col("levels")).alias("text")).collect():
+        said = dict.fromkeys(takes.GATES, "pass") | {"transcript_match": r.transcript_status, "browser_asr_consistent": r.transcript_status}
+        said |= {g: "fail" for g, bad in (("clipping", r.clipping), ("energy_valid", r.rms is None)) if bad}
+        said |= {"signal_level": "review"} if r.peak is not None and -55 < r.peak < -34 else {"signal_level": "fail"} if r.peak is not None and r.peak <= -55 else {}
+        quiet = "pass" if r.room_tone else "review"
+        said |= {"noise_floor": quiet, "noise_floor_valid": quiet, "phoneme_alignment": "pass" if r.aligned else "review", "prosody_valid": "pass" if r.voiced else "review"}
+        clean = r.room_tone and said["signal_level"] == "pass" and (r.transcript_source == "prompt_only" or r.transcript_status == "pass")
+        assert r.verdict == ("reject" if "fail" in (said["clipping"], said["signal_level"]) else "pass" if clean else "review")
+        wanted = [*said.items(), *([("audio_persistence", "fail")] if r.prompt_id == 11 else [])]
+        assert [tuple(g) for g in r.list] == wanted
+        assert r.text == ",".join(g if s is None else f"{g}:{s}" for g, s in wanted)
