@@ -13,7 +13,7 @@ LABEL = r"^\s*([\p{L}\p{N}][\p{L}\p{N} _-]{0,31})\s*:\s+"
 def strip_speaker_labels(lines: DataFrame, key: str) -> DataFrame:
     """``label`` and ``text`` without it: a label counts if it occurs twice in its script, whatever its case, or is in capitals."""
     label = F.trim(F.regexp_extract("text", LABEL, 1))
-    x = lines.withColumn("label", F.when(label.rlike(r"\p{L}"), label).otherwise(""))
+    x = lines.withColumn("label", F.when(F.col("text").contains(":"), label).otherwise("")).withColumn("label", F.when(F.col("label").rlike(r"\p{L}"), F.col("label")).otherwise(""))
     count = F.count(F.when(F.col("label") != "", True)).over(Window.partitionBy(key, F.lower("label")))
     drop = (F.col("label") != "") & ((count >= 2) | (F.upper("label") == F.col("label")))
     return x.withColumn("text", F.when(drop, F.trim(F.regexp_replace("text", LABEL, ""))).otherwise(F.col("text")))
@@ -21,25 +21,37 @@ def strip_speaker_labels(lines: DataFrame, key: str) -> DataFrame:
 
 def pack_sentences(docs: DataFrame, key: str, most: int = 24) -> DataFrame:
     """Pieces that end in . ! ? ; or :, packed while they have ``most`` words together: a fold over each text's pieces."""
-    pieces = F.filter(F.transform(F.regexp_extract_all("text", F.lit("[^.!?;:]+[.!?;:]?"), F.lit(0)), X.clean_segment), lambda s: s != "")
-    count = "size(filter(split({0}, '\\\\s+'), w -> w != ''))"
-    fold = f"""aggregate(pieces, named_struct('now', '', 'n', 0, 'out', cast(array() as array<string>)), (a, s) ->
-      if(a.now = '', named_struct('now', s, 'n', {count.format('s')}, 'out', a.out),
-      if(a.n + {count.format('s')} <= {most}, named_struct('now', concat(a.now, ' ', s), 'n', a.n + {count.format('s')}, 'out', a.out),
-        named_struct('now', s, 'n', {count.format('s')}, 'out', array_append(a.out, a.now)))),
-      a -> if(a.now = '', a.out, array_append(a.out, a.now)))"""
-    x = docs.select(key, pieces.alias("pieces")).select(key, F.posexplode(F.expr(fold)).alias("idx", "text"))
-    return x.withColumn("idx", F.col("idx").cast("long"))
+    return docs.select(key, F.posexplode(packed(F.col("text"), most)).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))
+
+
+def packed(text: Column, most: int = 24) -> Column:
+    """Pieces of ``text``, packed; as the whole text is collapsed first, they are cleaned (``text.clean_segment``) without patterns, and their words are their spaces and one."""
+
+    def clean(p: Column) -> Column:
+        bare = F.ltrim(p)
+        return F.when(p.contains("﻿"), X.clean_segment(p)).when(bare.startswith("- ") | bare.startswith("* ") | bare.startswith("• "), F.trim(F.substring(bare, 3, 1 << 30))).otherwise(F.trim(bare))
+
+    pieces = F.transform(F.regexp_extract_all(F.regexp_replace(text, r"\s+", " "), F.lit("[^.!?;:]+[.!?;:]?"), F.lit(0)), clean)
+    counted = F.transform(F.array_remove(pieces, ""), lambda s: F.struct(s.alias("s"), (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    start = F.struct(F.lit("").alias("now"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    state = lambda now, n, out: F.struct(now.alias("now"), n.alias("n"), out.alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        more = state(F.concat(a["now"], F.lit(" "), p["s"]), a["n"] + p["n"], a["out"])
+        return F.when(a["now"] == "", state(p["s"], p["n"], a["out"])).when(a["n"] + p["n"] <= most, more).otherwise(state(p["s"], p["n"], F.array_append(a["out"], a["now"])))
+
+    return F.aggregate(counted, start, step, lambda a: F.when(a["now"] == "", a["out"]).otherwise(F.array_append(a["out"], a["now"])))
 
 
 def split_long(segments: DataFrame, most: int = 32, size: int = 24, place: str | None = None) -> DataFrame:
     """Segments of more than ``most`` words in chunks of ``size``; other columns go to each chunk, and as ``place``, if named, its number."""
-    words = X.tokens_by_space("text")
+    words = F.col("its_words")
     chunks = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(size)), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
     parts = F.when(F.size(words) > most, chunks).otherwise(F.array("text"))
+    x = segments.withColumn("its_words", F.array_remove(F.split("text", r"\s+"), ""))  # split once
     if place is None:
-        return segments.withColumn("text", F.explode(parts))
-    return segments.select(*(c for c in segments.columns if c != "text"), F.posexplode(parts).alias(place, "text"))
+        return x.withColumn("text", F.explode(parts)).drop("its_words")
+    return x.select(*(c for c in segments.columns if c != "text"), F.posexplode(parts).alias(place, "text"))
 
 
 def subtitle_cues(files: DataFrame, key: str) -> DataFrame:
@@ -60,13 +72,13 @@ def subtitle_cues(files: DataFrame, key: str) -> DataFrame:
 def segments(scripts: DataFrame, key: str, name: str = "source_name", place: str | None = None) -> DataFrame:
     """Prompt segments of scripts: cues of subtitles, else lines if three or more have words, else packed prose; labels stripped, long ones cut."""
     x = scripts.withColumn("text", X.normalize_corpus_text("text")).withColumn("subtitle", X.is_subtitle(F.col("text"), F.coalesce(name, F.lit(""))))
-    usable = F.filter(F.transform(F.split("text", "\n"), X.clean_segment), lambda s: s != "")
-    x = x.withColumn("lines", usable)
     none = F.lit(None).cast("long")
     cues = subtitle_cues(x.where("subtitle"), key).select(key, F.col("cue").alias("ord"), "text", "start_ms", "end_ms")
-    by_line = x.where("not subtitle and size(lines) >= 3").select(key, F.posexplode("lines").alias("ord", "text")).select(key, F.col("ord").cast("long"), "text", none.alias("start_ms"), none.alias("end_ms"))
-    prose = pack_sentences(x.where("not subtitle and size(lines) < 3"), key).select(key, F.col("idx").alias("ord"), "text", none.alias("start_ms"), none.alias("end_ms"))
-    return split_long(strip_speaker_labels(cues.unionByName(by_line).unionByName(prose), key), place=place)
+    # lines and prose in one pass
+    x = x.withColumn("lines", X.clean_lines("text"))
+    told = F.when(F.col("subtitle"), F.array().cast("array<string>")).when(F.size("lines") >= 3, F.col("lines")).otherwise(packed(F.col("text")))
+    others = x.select(key, F.posexplode(told).alias("ord", "text")).select(key, F.col("ord").cast("long"), "text", none.alias("start_ms"), none.alias("end_ms"))
+    return split_long(strip_speaker_labels(cues.unionByName(others), key), place=place)
 
 
 def prompt_defaults(words: Column) -> list[Column]:

@@ -141,3 +141,44 @@ def test_transcripts_are_matched_whole(spark, monkeypatch):
     assert [r.a for r in found] == [r.b for r in found] == [True, True, True, False, False, False, False]
     monkeypatch.setattr(imports, "folded", None)  # words are not folded one by one
     assert "from_json" in plan(catalog.QUERIES["c24_alignment_matches"](spark, SF))
+
+
+def test_segments_are_made_in_one_pass(spark):
+    """Before, each text was normalised once for each kind of script, a line and a piece at a time, and words were split for every chunk."""
+    import random
+    import re as r
+
+    from pyspark.sql import functions as F
+
+    from takewright.functions import text as X
+    from takewright.operators import corpus
+
+    some = random.Random(8)
+    bits = ["a", "b c", " ", "\n", "\n\n\n", "\r\n", "\r", "\t", "\v", "\f", "\u00a0", "\ufeff", "- ", "* ", "• ", ".", "...", "!", "; ", ": ", "w " * 9, "\u2028", "\u0085", "é", "one two. ", "- l\n", " - ."]
+    texts = ["", "\ufeff", "-", "- ", ". - .", "x\n\u2028", *("".join(some.choices(bits, k=some.randrange(1, 30))) for _ in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    collapse = lambda x: r.sub(r"[ \t\n\v\f\r]+", " ", x).strip(" ")
+    clean = lambda x: collapse(r.sub(r"\A[ \t\n\v\f\r]*[-*•][ \t\n\v\f\r]+", "", x).replace("\ufeff", ""))
+    found = rows.select("doc_id", X.normalize_corpus_text("text").alias("n"), X.hash_corpus_text("text").alias("h")).withColumn("lines", X.clean_lines("n")).collect()
+    for row, text in zip(sorted(found), texts, strict=True):
+        whole = r.sub("\n{3,}", "\n\n", "\n".join(map(collapse, r.sub("\r\n?", "\n", text).replace("\t", " ").split("\n"))))
+        whole = r.sub(r"\A[ \n]+|[ \n]+(?=[\n\u0085\u2028\u2029]?\Z)", "", whole)
+        assert row.n == whole
+        assert row.lines == [s for s in map(clean, whole.split("\n")) if s]
+        h = 0x811C9DC5
+        for c in text:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        assert int(row.h, 36) == h
+    got: dict[int, list[str]] = {}
+    for row in corpus.pack_sentences(rows, "doc_id", 5).orderBy("doc_id", "idx").collect():
+        got.setdefault(row.doc_id, []).append(row.text)
+    for i, text in enumerate(texts):
+        out: list[str] = []
+        for s in filter(None, map(clean, r.findall("[^.!?;:]+[.!?;:]?", text))):
+            if out and len(f"{out[-1]} {s}".split(" ")) <= 5:
+                out[-1] += f" {s}"
+            else:
+                out.append(s)
+        assert got.get(i, []) == out
+    told = catalog.QUERIES["f01_script_segments"](spark, SF)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2  # subtitles, and all others
