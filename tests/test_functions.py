@@ -193,3 +193,22 @@ def test_words_are_told_once_and_alike(monkeypatch):
     assert all(w["intervals"] == P.intervals(w["phonemes"], w["start_ms"], w["end_ms"]) and w["confidence"] == P.confidence(real(w["word"]), w["phonemes"]) for w in found)
     assert seen == sorted(set(seen), key=seen.index)
     P.told.cache_clear()
+
+
+def test_texts_are_hashed_together(spark):
+    """Before, each letter was a text of its own, met by three passes of an interpreted lambda."""
+    from takewright.functions import text as X
+
+    texts = ["", "a", None, "é\u2028", "\U0001f600x", "abc" * 50, "\ud7ff\uffff", *("x" * n for n in range(9))]
+
+    def plain(t):
+        h = 0x811C9DC5
+        for c in t:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        return h
+
+    wanted = [None if t is None else plain(t) for t in texts]
+    assert X.fnv1a_all(texts) == X.fnv1a_all(texts, most=7) == wanted
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.fnv1a("t").alias("h"))
+    assert [r.h for r in rows.orderBy("i").collect()] == wanted
+    assert "aggregate(" not in rows._jdf.queryExecution().toString()
