@@ -82,10 +82,15 @@ def phrase_timings(texts: DataFrame, words: DataFrame, key: str = "media_id") ->
     at = lambda words_before: js_round_int(words_before / F.col("all") * F.col("n"))
     many = many.withColumn("upto", upto).withColumn("from", F.least(F.col("n") - 1, at(F.col("upto") - F.col("x.counts"))))
     many = many.withColumn("to", F.least(F.col("n") - 1, F.greatest(F.col("from") + 1, at(F.col("upto"))) - 1))
-    starts = words.select(key, F.col("idx").alias("from"), "start_ms")
-    ends = words.select(key, F.col("idx").alias("to"), "end_ms")
-    timed = many.join(starts, [key, "from"], "left").join(ends, [key, "to"], "left")
-    return single.unionByName(timed.select(key, "ord", F.col("x.phrases").alias("phrase"), F.coalesce("start_ms", F.lit(0).cast("long")).alias("start_ms"), F.coalesce("end_ms", "total_ms").alias("end_ms")))
+    # phrases meet the words of their numbers by medium, so that no word is sent where texts and words are dealt by it
+    mark = lambda side, at: F.struct(F.lit(side).alias("side"), F.col(at).alias("idx"))
+    marks = many.select(key, "ord", F.col("x.phrases").alias("phrase"), "total_ms", F.inline(F.array(mark(0, "from"), mark(1, "to")))).withColumn("phrase", F.when(F.col("side") == 0, F.col("phrase")))
+    both = words.select(key, F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms").unionByName(marks, allowMissingColumns=True)
+    at = Window.partitionBy(key, "idx")
+    met = both.withColumn("start_ms", F.max("start_ms").over(at)).withColumn("end_ms", F.max("end_ms").over(at)).where("side is not null")
+    side = lambda i, c: F.max(F.when(F.col("side") == i, F.col(c)))
+    timed = met.groupBy(key, "ord").agg(F.first("phrase", ignorenulls=True).alias("phrase"), F.max("total_ms").alias("total_ms"), side(0, "start_ms").alias("start_ms"), side(1, "end_ms").alias("end_ms"))
+    return single.unionByName(timed.select(key, "ord", "phrase", F.coalesce("start_ms", F.lit(0).cast("long")).alias("start_ms"), F.coalesce("end_ms", "total_ms").alias("end_ms")))
 
 
 def uniform(texts: DataFrame, key: str = "media_id") -> DataFrame:

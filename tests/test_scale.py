@@ -182,3 +182,16 @@ def test_segments_are_made_in_one_pass(spark):
         assert got.get(i, []) == out
     told = catalog.QUERIES["f01_script_segments"](spark, SF)
     assert told._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2  # subtitles, and all others
+
+
+@pytest.mark.parametrize("name", ["i18_phrase_timings", "i19_review_words"])
+def test_words_meet_their_texts_where_they_are(spark, name):
+    """Before, words were sent to be joined by their numbers, or because texts were split before they were dealt."""
+    told = plan(catalog.QUERIES[name](spark, SF))
+    sent = re.findall(r"Exchange hashpartitioning\((.*?)\)", told)
+    assert sent
+    assert all("idx" not in x and "from" not in x and "ord" not in x for x in sent)
+    lines = told.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hash" in line and "ENSURE_REQUIREMENTS" in line:
+            assert not any("Generate" in x or "Union" in x for x in lines[i + 1 : i + 4])
