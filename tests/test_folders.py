@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from takewright.plans import catalog
 from takewright.sources import packages
 
 
@@ -19,3 +20,10 @@ def test_folders_are_listed_and_read_in_tasks(spark, tmp_path):
         assert "binaryFile" not in found._jdf.queryExecution().optimizedPlan().toString()
         assert not any(f.endswith("stray") for f in found.inputFiles())
     assert [tuple(r) for r in packages.validated(spark, str(tmp_path), []).collect()] == [("new/deep/stray", "unmanifested file")]
+
+
+def test_a_dataset_folder_has_voices_and_tells_what_is_missing(spark):
+    rows = catalog.QUERIES["a28_dataset_folder"](spark, "/root/testdata/sf0.001").collect()
+    kinds = {(r.path.split("/")[0], r.missing) for r in rows}
+    assert {("processed", False), ("processed", True), ("raw", True)} <= kinds
+    assert sum(r.path.startswith("processed/") for r in rows) == sum(r.path.startswith("transcripts/") for r in rows)
